@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, text
 from tidemark.scale import salted_lookup, skewed_join
+from tidemark.staging import stage
 
 
 def base_doc_pick(docs: DataFrame) -> DataFrame:
@@ -84,7 +85,8 @@ def staleness(
     generated from sources that have not changed since.
     """
     counted = code.select("repo", "path").join(churn.select("repo", "path", "commits"), ["repo", "path"], "left")
-    counted = counted.withColumn("commits", F.coalesce("commits", F.lit(0)))
+    counted = stage(counted.withColumn("commits", F.coalesce("commits", F.lit(0))), "code")
+    docs = stage(docs.select("repo", "path"), "docs")
 
     def subject(df: DataFrame, method: str, rank: int) -> DataFrame:
         return df.select(
@@ -217,14 +219,15 @@ def provenance(texts: DataFrame, files: DataFrame, config: DataFrame) -> DataFra
         "repo", F.col("path").alias("doc"), F.explode(text.provenance_sources(F.col("text"))).alias("raw")
     )
     front = _resolve_sources(stated, files).select("repo", "doc", "source", F.lit("frontmatter").alias("method"))
+    front = stage(front, "stated")
     above = texts.select(
         "repo",
         F.col("path").alias("doc"),
         F.explode(F.concat(paths.ancestors(F.col("path")), F.array("path"))).alias("prefix"),
     ).distinct()
-    rules = config.select("repo", "ordinal", F.regexp_replace("prefix", "^/+|/+$", "").alias("prefix"), F.col("source").alias("raw"))
+    rules = stage(config, "config").select("repo", "ordinal", F.regexp_replace("prefix", "^/+|/+$", "").alias("prefix"), F.col("source").alias("raw"))
     ruled = skewed_join(above, rules, ["repo", "prefix"]).select("repo", "doc", "ordinal", "raw")
-    resolved = _resolve_sources(ruled, files)
+    resolved = stage(_resolve_sources(ruled, files), "resolved")
     first = resolved.groupBy("repo", "doc").agg(F.min("ordinal").alias("ordinal"))
     configured = resolved.join(first, ["repo", "doc", "ordinal"]).select(
         "repo", "doc", "source", F.lit("config").alias("method")

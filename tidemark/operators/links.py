@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, text
 from tidemark.scale import skewed_join
+from tidemark.staging import stage
 
 
 def extract_links(texts: DataFrame) -> DataFrame:
@@ -78,6 +79,7 @@ def resolve_wikilinks(links: DataFrame, docs: DataFrame) -> DataFrame:
     wiki = links.where(
         (F.col("kind") == "wikilink") & (F.col("target") != "") & ~paths.is_external(F.col("target"))
     ).select("repo", "src", "target").distinct()
+    wiki = stage(wiki, "wikilinks")
     key = F.lower("target")
     slashed = F.contains("target", F.lit("/")) | F.contains("target", F.lit("\\"))
 
@@ -100,7 +102,7 @@ def resolve_wikilinks(links: DataFrame, docs: DataFrame) -> DataFrame:
             )
         ).alias("p"),
     ).select("repo", "src", "target", "dir", "p.*")
-    index = _name_index(docs)
+    index = stage(_name_index(docs), "names")
     whole = index.groupBy("repo", "index", "key").agg(
         F.when(F.first("index") == "rel", 1).otherwise(F.count(F.lit(1))).alias("n"),
         F.when(F.first("index") == "rel", F.max("path")).otherwise(F.min("path")).alias("first"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, text
 from tidemark.scale import carry_forward, running_sum, salted_lookup, skewed_join
+from tidemark.staging import stage
 
 WILDCARD = r"[*?\[]"
 
@@ -17,30 +18,31 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.trim("pattern"), "^/+", "")
     glob = F.regexp_replace(F.when(bare.endswith("/"), F.concat(bare, F.lit("*"))).otherwise(bare), r"\*\*", "*")
     anchored = F.startswith(F.trim("pattern"), F.lit("/")) | F.contains(F.regexp_replace(glob, r"\*+$", ""), F.lit("/"))
-    df = rules.select("repo", "pattern", glob.alias("glob"), anchored.alias("anchored"))
-    one = paths.glob_column_regex(F.col("glob"))
-    anywhere = F.replace(one, F.lit("(?s)^(?:"), F.lit("(?s)^(?:.*/)?(?:"))
-    literal_dir = F.regexp_extract("glob", r"^([^*?\[]*)/", 1)
-    last = paths.basename(F.col("glob"))
-    ext = F.regexp_extract("glob", r"(\.[^.*?\[\]/]+)$", 1)
-    has_wildcard = F.col("glob").rlike(WILDCARD)
-    kind = (
-        F.when(F.col("anchored") & ~has_wildcard, "path")
-        .when(F.col("anchored") & (literal_dir != ""), "dir")
-        .when(~last.rlike(WILDCARD), "name")
-        .when(ext != "", "ext")
-        .otherwise("scan")
+    df = rules.select("repo", "pattern", glob.alias("glob"), anchored.alias("anchored")).select(
+        "*",
+        F.regexp_extract("glob", r"^([^*?\[]*)/", 1).alias("dir"),
+        paths.basename(F.col("glob")).alias("last"),
+        F.regexp_extract("glob", r"(\.[^.*?\[\]/]+)$", 1).alias("ext"),
     )
+    df = df.withColumn(
+        "kind",
+        F.when(F.col("anchored") & ~F.col("glob").rlike(WILDCARD), "path")
+        .when(F.col("anchored") & (F.col("dir") != ""), "dir")
+        .when(~F.col("last").rlike(WILDCARD), "name")
+        .when(F.col("ext") != "", "ext")
+        .otherwise("scan"),
+    )
+    kind = F.col("kind")
     key = (
         F.when(kind == "path", F.col("glob"))
-        .when(kind == "dir", literal_dir)
-        .when(kind == "name", last)
-        .when(kind == "ext", ext)
+        .when(kind == "dir", F.col("dir"))
+        .when(kind == "name", F.col("last"))
+        .when(kind == "ext", F.col("ext"))
         .otherwise("")
     )
-    return df.select(
-        "repo", "pattern", F.when(F.col("anchored"), one).otherwise(anywhere).alias("regex"), kind.alias("kind"), key.alias("key")
-    )
+    prefix = F.when(F.col("anchored"), "").otherwise("(?:.*/)?")
+    body = F.regexp_replace(paths.glob_column_regex(F.col("glob")), r"^\(\?s\)\^", "")
+    return df.select("repo", "pattern", F.concat(F.lit("(?s)^"), prefix, body).alias("regex"), "kind", key.alias("key"))
 
 
 def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     literal part at all travel as one list per repository (an ownership file is
     a few kilobytes) and are tried on each file in place.
     """
-    keyed = _rule_keys(rules.select("repo", "pattern").distinct())
+    keyed = stage(_rule_keys(rules.select("repo", "pattern").distinct()), "rules")
 
     def probe(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("key"))

@@ -15,6 +15,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.staging import stage
+
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -145,7 +147,7 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         UNION ALL SELECT repo, concat('?*s', file_id, '.[pq]y'), 'CODEOWNERS' FROM {pages_of_repo} WHERE s_acctbal < -500""",
     "arch_lines": """SELECT repo, 'ARCHITECTURE.md' AS doc, nk * 100000 AS line_no, concat('## Nation ', nk, ' ##') AS text FROM (SELECT DISTINCT repo, nk FROM {pages_of_repo}) a
         UNION ALL SELECT repo, 'ARCHITECTURE.md', nk * 100000 + file_id + 1, CASE WHEN mix % 3 = 0 THEN concat('The page `r', rk, '/n', nk, '/s', file_id, '.py` owns this.')
-            WHEN mix % 3 = 1 THEN concat('See r', rk, '/n', nk, ', always.') ELSE concat('Refer to [[lost', file_id, '.py]] and s', file_id, '.py/') END FROM {pages_of_repo}""",
+            WHEN mix % 3 = 1 THEN concat('See r', rk, '/n', nk, ', always.') ELSE concat('Refer to [[lost', file_id, '.py]] and `s', file_id, '.py`.') END FROM {pages_of_repo}""",
     # --- lines -----------------------------------------------------------
     "line_facts": """SELECT l.repo, f.path, f.brand, f.file_id, l.l_orderkey * 16 + l.l_linenumber AS line_no, l.l_orderkey AS sha, l.l_linenumber AS ln,
         min(l.l_returnflag) AS rf, min(l.l_epoch) AS author_ts, min(CAST(l.l_suppkey AS BIGINT)) AS sk, min(CAST(l.l_quantity AS INT)) AS q
@@ -212,6 +214,10 @@ def _needs(name: str, dialect: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", _dialect(name, dialect))
 
 
+# Projections that several others read: written once, then read back.
+SHARED = {"pages_of_repo"}
+
+
 class Tables:
     """The given tables and their projections as DataFrames, made on demand."""
 
@@ -228,7 +234,8 @@ class Tables:
                 self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in PROJECTIONS:
                 needs = {n: getattr(self, n) for n in _needs(name, "spark")}
-                self._frames[name] = self.spark.sql(_dialect(name, "spark"), **needs)
+                frame = self.spark.sql(_dialect(name, "spark"), **needs)
+                self._frames[name] = stage(frame, name) if name in SHARED else frame
             else:
                 raise AttributeError(name)
         return self._frames[name]

@@ -5,8 +5,8 @@ The rules used throughout the package:
 * counts, sums, minima and maxima go through ``groupBy``: the map-side combine
   turns a hot key into one row per map task before anything is shuffled;
 * facts per repository are joined with :func:`salted_lookup`;
-* joins whose big side may hold a hot key use :func:`skewed_join`, which cuts
-  the hot keys, and only those, into slices;
+* joins whose big side may hold a hot key use :func:`skewed_join`: adaptive
+  execution splits the hot partitions, or the hot keys are cut into slices;
 * ordered work over long sequences is split into chunks
   (:func:`running_sum`, :func:`carry_forward`), so that no window sorts more
   than one chunk of a group;
@@ -56,7 +56,30 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     )
 
 
+def _adaptive_skew(df: DataFrame) -> bool:
+    conf = df.sparkSession.conf
+    return all(
+        str(conf.get(key, "true")).lower() == "true"
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    )
+
+
 def skewed_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int | None = None
+) -> DataFrame:
+    """Equi-join whose big side may hold a hot key.
+
+    With adaptive execution Spark measures the shuffled partitions and splits
+    the hot ones itself, at no cost when there are none; without it, or when
+    ``hot_rows`` asks for it, the hot keys are found and sliced here. Results
+    are then regrouped on other keys, so the split is never undone.
+    """
+    if hot_rows is None and _adaptive_skew(big):
+        return big.join(small, list(on), how)
+    return sliced_join(big, small, on, how, hot_rows or HOT_ROWS)
+
+
+def sliced_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Equi-join in which the hot keys of ``big`` are cut into slices.
