@@ -61,50 +61,59 @@ def pagerank(
     alpha: float = fv.PAGERANK_ALPHA,
     iterations: int = fv.PAGERANK_ITERATIONS,
     tolerance: float = fv.PAGERANK_TOLERANCE,
-    rounds_per_stage: int = 10,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Power iteration with dangling mass spread evenly (2.9.4)."""
+    """Power iteration with dangling mass spread evenly (2.9.4).
+
+    A node also sends its own record along a self row, so one join and one
+    aggregate make an iteration. Ranks of a repository sum to one, hence what
+    its links do not pass on is what every node receives in equal parts: that
+    share is read from the written state of the previous iteration.
+    """
     sliced, sources = _sliced(edges, hot_rows)
-    sliced = stage(sliced, "edges")
     sizes = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
-    linked = edges.select("repo", F.lit(True).alias("linked")).distinct()
-    state = salted_lookup(
-        salted_lookup(nodes.select("repo", "node"), sizes, ["repo"]), linked, ["repo"]
-    ).join(sources, ["repo", "node"], "left")
+    linked = edges.select("repo").distinct()
+    zero = F.lit(0).cast("long")
+    plain = salted_lookup(nodes.select("repo", "node"), sizes, ["repo"], "inner")
+    # repositories without links keep even ranks
+    even = salted_lookup(plain, linked, ["repo"], "left_anti").select(
+        "repo", "node", (F.lit(1.0) / F.col("n")).alias("pagerank")
+    )
+    state = salted_lookup(plain, linked, ["repo"], "left_semi").join(sources, ["repo", "node"], "left")
     state = stage(
         state.select(
-            "repo", "node", "n", F.coalesce("linked", F.lit(False)).alias("linked"),
-            F.coalesce("out_degree", F.lit(0)).alias("deg"), F.coalesce("slices", F.lit(1)).alias("slices"),
-            (F.lit(1.0) / F.col("n")).alias("pr"), F.lit(0.0).alias("moved"),
+            "repo", "node", "n", F.coalesce("out_degree", zero).alias("deg"), F.coalesce("slices", zero + 1).alias("slices"),
+            F.lit(0.0).alias("received"), F.lit(None).cast("double").alias("old"),
         ),
         "ranks",
     )
-    keep = ["repo", "node", "n", "linked", "deg", "slices"]
-    done = 0
-    while done < iterations:
-        for _ in range(min(rounds_per_stage, iterations - done)):
-            done += 1
-            shares = (
-                state.where(F.col("deg") > 0)
-                .select("repo", F.col("node").alias("src"), (F.lit(alpha) * F.col("pr") / F.col("deg")).alias("share"),
-                        _slices(F.col("slices")).alias("slice"))
-                .join(sliced, ["repo", "src", "slice"])
-                .groupBy("repo", F.col("dst").alias("node"))
-                .agg(F.sum("share").alias("received"))
-            )
-            dangling = state.groupBy("repo").agg(F.sum(F.when(F.col("deg") == 0, F.col("pr")).otherwise(0.0)).alias("loose"))
-            merged = salted_lookup(state.join(shares, ["repo", "node"], "left"), dangling, ["repo"])
-            fresh = (
-                F.lit(1.0 - alpha) / F.col("n") + F.lit(alpha) * F.col("loose") / F.col("n")
-                + F.coalesce("received", F.lit(0.0))
-            )
-            fresh = F.when(F.col("linked"), fresh).otherwise(F.col("pr"))
-            state = merged.select(*keep, fresh.alias("pr"), F.abs(fresh - F.col("pr")).alias("moved"))
-        state = stage(state, "ranks")
-        if _total(state.groupBy("repo").agg(F.sum("moved").alias("m")), F.max("m")) < tolerance:
+    own = state.select("repo", F.col("node").alias("src"), F.col("node").alias("dst"), zero.alias("slice"), F.lit(True).alias("own"))
+    links = stage(sliced.select("repo", "src", "dst", "slice", F.lit(False).alias("own")).unionByName(own), "links")
+
+    def ranks(df: DataFrame) -> DataFrame:
+        passed = df.groupBy("repo").agg(F.sum("received").alias("passed"))
+        pr = F.col("received") + (F.lit(1.0) - F.col("passed")) / F.col("n")
+        return salted_lookup(df, passed, ["repo"], "inner").withColumn("pr", pr).drop("passed")
+
+    for done in range(iterations + 1):
+        current = ranks(state)
+        if done == iterations:
             break
-    return state.select("repo", "node", F.col("pr").alias("pagerank"))
+        if done and done % 20 == 0:
+            moved = current.groupBy("repo").agg(F.sum(F.abs(F.col("pr") - F.col("old"))).alias("m"))
+            if _total(moved, F.max("m")) < tolerance:
+                break
+        sent = current.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("node", "src")
+        sent = sent.join(links, ["repo", "src", "slice"])
+        mine = F.when(F.col("own"), F.struct("n", "deg", "slices", "pr"))
+        share = F.when(F.col("own"), 0.0).otherwise(F.lit(alpha) * F.col("pr") / F.col("deg"))
+        state = stage(
+            sent.groupBy("repo", F.col("dst").alias("node"))
+            .agg(F.sum(share).alias("received"), F.max(mine).alias("mine"))
+            .select("repo", "node", "mine.n", "mine.deg", "mine.slices", "received", F.col("mine.pr").alias("old")),
+            "ranks",
+        )
+    return current.select("repo", "node", F.col("pr").alias("pagerank")).unionByName(even)
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
