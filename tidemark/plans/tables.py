@@ -198,6 +198,40 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         CASE WHEN c_acctbal < 0 THEN 'no-access' ELSE CAST(c_custkey % 4 AS VARCHAR(10)) END AS dependabot, CASE WHEN c_acctbal > 8000 THEN '3' ELSE '0' END AS code_scanning,
         CASE WHEN c_acctbal > 5000 THEN 'no-access' ELSE '0' END AS secret_scanning,
         CASE WHEN c_nationkey % 4 = 0 THEN 'protected' WHEN c_nationkey % 4 = 1 THEN 'unprotected' ELSE 'unknown' END AS protection FROM {customer}""",
+    "repo_files": """SELECT c_name AS repo, 'package.json' AS path, CASE WHEN c_custkey % 5 = 0 THEN '{"dependencies":{"prom-client":"1"},"scripts":{"lint":"x"}}' WHEN c_custkey % 5 = 1 THEN '{"winston":1}' ELSE '{}' END AS text FROM {customer}
+        UNION ALL SELECT c_name, 'pyproject.toml', CASE WHEN c_custkey % 4 = 0 THEN '[tool.mutmut] [tool.ruff]' WHEN c_custkey % 4 = 1 THEN '[tool.mypy]' ELSE 'structlog' END FROM {customer}
+        UNION ALL SELECT c_name, concat('svc', c_nationkey, '/pom.xml'), CASE WHEN c_nationkey % 3 = 0 THEN '<plugin>maven-checkstyle-plugin</plugin>' WHEN c_nationkey % 3 = 1 THEN '<!-- spotbugs-maven-plugin --> rewrite-maven-plugin' ELSE '<project/>' END FROM {customer} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+        UNION ALL SELECT c_name, '.github/workflows/ci.yml', CASE WHEN c_custkey % 3 = 0 THEN 'run: npx Stryker run && codecov' ELSE 'run: make' END FROM {customer} WHERE c_acctbal > 0
+        UNION ALL SELECT c_name, CASE WHEN c_nationkey % 2 = 0 THEN 'docs/runbook.md' ELSE 'docs/notes.md' END, CASE WHEN c_custkey % 3 = 0 THEN concat('Grafana and SLO alerting', chr(10), '```sh', chr(10), 'kubectl logs app', chr(10), '```') WHEN c_custkey % 3 = 1 THEN 'Grafana only' ELSE 'plain words' END FROM {customer}
+        UNION ALL SELECT c_name, '.mcp.json', CASE WHEN c_custkey % 7 = 0 THEN '{"servers":{"grafana":{}}}' ELSE '{"servers":{"files":{}}}' END FROM {customer} WHERE c_mktsegment = 'FURNITURE'
+        UNION ALL SELECT c_name, CASE WHEN c_custkey % 11 = 0 THEN 'skills/log-search/SKILL.md' ELSE 'skills/formatter/SKILL.md' END, 'x' FROM {customer} WHERE c_nationkey > 12
+        UNION ALL SELECT c_name, CASE WHEN c_custkey % 4 = 0 THEN 'src/app_test.go' WHEN c_custkey % 4 = 1 THEN 'tests/integration/test_x.py' WHEN c_custkey % 4 = 2 THEN 'web/a.spec.ts' ELSE 'src/MainTest.java' END, '' FROM {customer}
+        UNION ALL SELECT c_name, CASE WHEN c_custkey % 3 = 0 THEN '.golangci.yml' WHEN c_custkey % 3 = 1 THEN 'docs/sprint-plan.md' ELSE 'stryker.conf.json' END, 'threshold' FROM {customer}""",
+    "manual_docs": """SELECT c_name AS repo, CASE WHEN c_nationkey % 3 = 0 THEN 'CLAUDE.md' WHEN c_nationkey % 3 = 1 THEN 'AGENTS.md' ELSE 'notes.md' END AS path,
+        concat('Intro. ', CASE WHEN c_custkey % 5 = 0 THEN 'assess-archetype: wiki' WHEN c_custkey % 5 = 1 THEN 'Assess-Archetype = software' WHEN c_custkey % 5 = 2 THEN 'assess-archetype: unknown' ELSE 'none' END,
+        CASE WHEN c_custkey % 4 = 0 THEN ' Raw sources are append-only. The ingestion pipeline runs.' WHEN c_custkey % 4 = 1 THEN ' The schema file is the product.' ELSE '' END,
+        CASE WHEN c_custkey % 9 = 0 THEN ' See Karpathy on the LLM wiki.' ELSE '' END) AS text, c_custkey, c_acctbal, c_nationkey FROM {customer}""",
+    "test_files": """SELECT DISTINCT f.repo, f.path AS source_file, r.test_file, r.rk FROM {files_p} f JOIN (
+        SELECT file_id, concat(regexp_replace(path, '[^/]*$', ''), CASE p_size % 8 WHEN 0 THEN concat('p', file_id, '_test', x) WHEN 1 THEN concat('tests/test_p', file_id, x) WHEN 2 THEN concat('__tests__/p', file_id, '.test', x)
+            WHEN 3 THEN concat('p', file_id, 'Test', x) ELSE concat('spec/p', file_id, x) END) AS test_file, CASE p_size % 8 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS rk
+            FROM (SELECT *, regexp_replace(path, '^.*[.]', '.') AS x FROM {files_by_id}) a WHERE p_size % 8 < 5
+        UNION ALL SELECT file_id, concat(regexp_replace(path, '[^/]*$', ''), 'p', file_id, '.spec', regexp_replace(path, '^.*[.]', '.')), 0 FROM {files_by_id} WHERE p_size % 16 = 2) r ON r.file_id = f.file_id""",
+    "hot_s": """SELECT repo, path, commits, CAST(rank AS INT) AS rank FROM (SELECT repo, path, commits, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, path) AS rank FROM
+        (SELECT repo, path, count(*) AS commits FROM {commit_files} GROUP BY repo, path) a) b WHERE rank <= 10""",
+    "log_texts": """SELECT repo, sha AS log, array_agg(concat(ln, ':', rf, ':', q) ORDER BY ln) AS texts, array_agg(rf ORDER BY ln) AS marks, array_agg(q ORDER BY ln) AS qs
+        FROM (SELECT repo, sha, ln, min(rf) AS rf, min(q) AS q FROM {line_facts} GROUP BY repo, sha, ln) x GROUP BY repo, sha""",
+    "log_entries": {
+        "spark": """SELECT repo, log, pos + 1 AS n, texts[pos] AS text, CASE WHEN qs[pos] > 48 THEN 'deadbeefdeadbeef' WHEN marks[pos] = 'N' THEN NULL
+            ELSE aggregate(slice(texts, 1, pos + 1), 'genesis', (a, x) -> left(sha2(concat(a, x), 256), 16)) END AS stored FROM {log_texts} LATERAL VIEW posexplode(texts) e AS pos, t""",
+        "duckdb": """SELECT repo, log, n, texts[n] AS text, CASE WHEN qs[n] > 48 THEN 'deadbeefdeadbeef' WHEN marks[n] = 'N' THEN NULL
+            ELSE list_reduce(list_concat(['genesis'], texts[1:n]), lambda a, x: left(sha256(a || x), 16)) END AS stored FROM (SELECT *, unnest(generate_series(1, len(texts))) AS n FROM {log_texts}) y""",
+    },
+    "heuristics": """SELECT repo, file AS path, 'duplicate_truth' AS kind FROM {mutation} WHERE survived * 100 > total * 33 UNION ALL SELECT repo, file, 'assertion_on_internal' FROM {mutation} WHERE killed % 2 = 0""",
+    "findings_t": """SELECT repo, 'untrusted_hotspot' AS name, file AS path FROM {mutation} WHERE survived * 100 >= total * 36
+        UNION ALL SELECT repo, 'candidate_dead_weight', path FROM {dead_code} UNION ALL SELECT repo, 'candidate_dead_weight', path FROM {dead_code}
+        UNION ALL SELECT repo, 'hidden_coupling', path FROM {coverage} WHERE line_rate < 0.1 UNION ALL SELECT repo, 'self_referential_tests', file FROM {mutation} WHERE killed % 11 = 0
+        UNION ALL SELECT repo, 'lying_map', doc FROM {base_docs} WHERE length(dir) > 5 UNION ALL SELECT repo, 'refactor_boundary', dir FROM {base_docs} WHERE length(dir) < 3
+        UNION ALL SELECT repo, 'accretion_ratchet', path FROM {coverage} WHERE line_rate > 0.9 AND repo <> 'repo5'""",
     # --- labels, conversations -------------------------------------------
     "ab_cases": """SELECT l.doc_id % 10 AS pair_id, l.doc_id AS case_id, CASE WHEN toxic = 1 THEN 'candidate-regressed' WHEN quality = 0 THEN 'candidate-diverged' ELSE 'equivalent' END AS verdict,
         CAST(d.n_chars % 4 + 1 AS INT) AS original_directness, CAST(d.n_chars % 5 + 1 AS INT) AS candidate_directness FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
@@ -210,6 +244,12 @@ def _dialect(name: str, dialect: str) -> str:
     return entry if isinstance(entry, str) else entry[dialect]
 
 
+def _spark_text(name: str) -> str:
+    """Only ``{name}`` is a placeholder; other braces are text."""
+    doubled = _dialect(name, "spark").replace("{", "{{").replace("}", "}}")
+    return re.sub(r"\{\{(\w+)\}\}", r"{\1}", doubled)
+
+
 def _needs(name: str, dialect: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", _dialect(name, dialect))
 
@@ -234,7 +274,7 @@ class Tables:
                 self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in PROJECTIONS:
                 needs = {n: getattr(self, n) for n in _needs(name, "spark")}
-                frame = self.spark.sql(_dialect(name, "spark"), **needs)
+                frame = self.spark.sql(_spark_text(name), **needs)
                 self._frames[name] = stage(frame, name) if name in SHARED else frame
             else:
                 raise AttributeError(name)
