@@ -223,3 +223,8 @@ def vault_edges(queries: DataFrame, notes: DataFrame) -> DataFrame:
         .select("repo", "hub", F.col("path").alias("note"))
         .distinct()
     )
+
+
+def frontmatter_table(notes: DataFrame) -> DataFrame:
+    """Frontmatter as rows, so that any table of the same shape can stand in (2.13.3)."""
+    return notes.select("repo", "path", F.explode(text.frontmatter_fields(F.col("text"))).alias("key", "value"))

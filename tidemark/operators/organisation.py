@@ -125,7 +125,7 @@ def merge_readiness(
     ``prs(repo, pr, merge_state, in_sync, unanswered, markdown_only)``,
     ``checks(repo, pr, state, required, name)``,
     ``threads(repo, pr, resolved, addressed)``,
-    ``reviews(repo, pr, reviewer, submitted_at, state, dismissed)``,
+    ``reviews(repo, pr, reviewer, state, dismissed)``,
     ``base_ci(repo, name, failing)``.
     """
     key = ["repo", "pr"]
@@ -140,9 +140,9 @@ def merge_readiness(
     th = threads.groupBy(*key).agg(
         F.bool_or(~F.col("resolved")).alias("unresolved"), F.bool_or(~F.col("addressed")).alias("unaddressed")
     )
-    last = reviews.where(~F.col("dismissed")).groupBy(*key, "reviewer").agg(F.max_by("state", "submitted_at").alias("state"))
-    rv = last.groupBy(*key).agg(
-        F.count_if(F.col("state") == "APPROVED").alias("approvals"),
+    live = reviews.where(~F.col("dismissed"))
+    rv = live.groupBy(*key).agg(
+        F.count_distinct(F.when(F.col("state") == "APPROVED", F.col("reviewer"))).alias("approvals"),
         F.count_if(F.col("state") == "CHANGES_REQUESTED").alias("changes_requested"),
     )
     rows = prs.join(c, key, "left").join(th, key, "left").join(rv, key, "left").na.fill(False).na.fill(0)

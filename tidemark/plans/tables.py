@@ -232,6 +232,17 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         UNION ALL SELECT repo, 'hidden_coupling', path FROM {coverage} WHERE line_rate < 0.1 UNION ALL SELECT repo, 'self_referential_tests', file FROM {mutation} WHERE killed % 11 = 0
         UNION ALL SELECT repo, 'lying_map', doc FROM {base_docs} WHERE length(dir) > 5 UNION ALL SELECT repo, 'refactor_boundary', dir FROM {base_docs} WHERE length(dir) < 3
         UNION ALL SELECT repo, 'accretion_ratchet', path FROM {coverage} WHERE line_rate > 0.9 AND repo <> 'repo5'""",
+    "kb_files": """SELECT c_name AS repo, 'docs/a.md' AS path FROM {customer} UNION ALL SELECT c_name, 'docs/b.md' FROM {customer} UNION ALL SELECT c_name, CASE WHEN c_nationkey % 2 = 0 THEN 'docs/c.md' ELSE 'docs/c.txt' END FROM {customer}
+        UNION ALL SELECT c_name, CASE WHEN c_nationkey % 2 = 0 THEN 'src/x.py' ELSE 'node_modules/x.js' END FROM {customer} WHERE c_acctbal < 2000 UNION ALL SELECT c_name, CASE WHEN c_nationkey < 12 THEN 'app.csproj' ELSE 'sub/package.json' END FROM {customer} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+    "snap_prior": """SELECT repo, path, commits, CAST(floor(commits / 10) AS BIGINT) AS ccn, commits * 3 AS loc FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, path) AS rn FROM
+        (SELECT repo, path, count(*) AS commits FROM {commit_files} WHERE ts < 946684800 GROUP BY repo, path) a) b WHERE rn <= 10""",
+    "snap_current": """SELECT repo, path, commits, CASE WHEN file_id < 60 THEN CAST(floor(commits / 20) AS BIGINT) ELSE 0 END AS ccn, commits * 2 AS loc FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, path) AS rn FROM
+        (SELECT c.repo, c.path, f.file_id, count(*) AS commits FROM {commit_files} c JOIN {files_s} f ON f.path = c.path GROUP BY c.repo, c.path, f.file_id) a) b WHERE rn <= 10""",
+    "build_lines": """SELECT repo, log, line_no, CASE line_no WHEN 1 THEN '[WARNING] Used undeclared dependencies found:' WHEN 2 THEN concat('[WARNING]    org.a:lib', q, ':jar:1.0:compile') WHEN 3 THEN '[WARNING] Unused declared dependencies found:'
+        WHEN 4 THEN concat('[WARNING]    org.b:tool-', q, ':jar:2.1') WHEN 5 THEN '' WHEN 6 THEN CASE WHEN q % 2 = 0 THEN '[INFO] BUILD done' ELSE concat('[INFO]  org.c:x', q, ':war:3') END ELSE concat(' org.d:y', q, ':jar:1:test') END AS text, q
+        FROM (SELECT repo, sha AS log, ln AS line_no, min(q) AS q FROM {line_facts} GROUP BY repo, sha, ln) x""",
+    "open_orders": "SELECT o.*, concat('repo', o_orderkey % 20) AS repo20 FROM {orders} o WHERE o_orderstatus = 'O'",
+    "open_lines": "SELECT l.*, concat('repo', l_orderkey % 20) AS repo20 FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'O'",
     # --- labels, conversations -------------------------------------------
     "ab_cases": """SELECT l.doc_id % 10 AS pair_id, l.doc_id AS case_id, CASE WHEN toxic = 1 THEN 'candidate-regressed' WHEN quality = 0 THEN 'candidate-diverged' ELSE 'equivalent' END AS verdict,
         CAST(d.n_chars % 4 + 1 AS INT) AS original_directness, CAST(d.n_chars % 5 + 1 AS INT) AS candidate_directness FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
