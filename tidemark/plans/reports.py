@@ -199,13 +199,13 @@ def scan_dead_code_knip(t: Tables):
     return reports.dead_code_knip(t.pages_of_repo.select("repo", doc.alias("json")))
 
 
-DEPS = """ev AS (SELECT *, CASE WHEN line_no = 1 THEN 'undeclared' WHEN line_no = 3 THEN 'unused' WHEN line_no = 6 AND q % 2 = 0 THEN 'closed' WHEN line_no = 6 THEN 'closed' END AS event, line_no IN (2, 4) OR line_no > 6 AS dep FROM build_lines),
+DEPS = """ev AS (SELECT *, CASE WHEN line_no = 1 THEN 'undeclared' WHEN line_no = 3 THEN 'unused' WHEN line_no = 6 AND q % 2 = 0 THEN 'closed' END AS event, line_no IN (2, 4) OR line_no > 6 OR line_no = 6 AND q % 2 = 1 AS dep FROM build_lines),
     sec AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY repo, log ORDER BY line_no) AS section FROM ev)"""
 
 
 @query(
     "scan_dependency_analyze",
-    f"WITH {DEPS} SELECT repo, log, line_no, section, CASE WHEN line_no = 2 THEN concat('org.a:lib', q) WHEN line_no = 4 THEN concat('org.b:tool-', q) ELSE concat('org.d:y', q) END AS symbol FROM sec WHERE dep",
+    f"WITH {DEPS} SELECT repo, log, line_no, section, CASE WHEN line_no = 2 THEN concat('org.a:lib', q) WHEN line_no = 4 THEN concat('org.b:tool-', q) WHEN line_no = 6 THEN concat('org.c:x', q) ELSE concat('org.d:y', q) END AS symbol FROM sec WHERE dep",
 )
 def scan_dependency_analyze(t: Tables):
     return reports.dependency_sections(t.build_lines, chunk_lines=3)
@@ -213,7 +213,7 @@ def scan_dependency_analyze(t: Tables):
 
 @query(
     "dead_code_union",
-    f"WITH {DEPS} {DEAD} UNION ALL SELECT repo, 'dependency-analyze', CAST(log AS VARCHAR), 0, 'unused declared dependency', CASE WHEN line_no = 4 THEN concat('org.b:tool-', q) ELSE concat('org.d:y', q) END FROM sec WHERE dep AND section = 'unused'",
+    f"WITH {DEPS} {DEAD} UNION ALL SELECT repo, 'dependency-analyze', CAST(log AS VARCHAR), 0, 'unused declared dependency', CASE WHEN line_no = 4 THEN concat('org.b:tool-', q) WHEN line_no = 6 THEN concat('org.c:x', q) ELSE concat('org.d:y', q) END FROM sec WHERE dep AND section = 'unused'",
 )
 def dead_code_union(t: Tables):
     unused = reports.unused_dependencies(reports.dependency_sections(t.build_lines))

@@ -218,8 +218,13 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         UNION ALL SELECT file_id, concat(regexp_replace(path, '[^/]*$', ''), 'p', file_id, '.spec', regexp_replace(path, '^.*[.]', '.')), 0 FROM {files_by_id} WHERE p_size % 16 = 2) r ON r.file_id = f.file_id""",
     "hot_s": """SELECT repo, path, commits, CAST(rank AS INT) AS rank FROM (SELECT repo, path, commits, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, path) AS rank FROM
         (SELECT repo, path, count(*) AS commits FROM {commit_files} GROUP BY repo, path) a) b WHERE rank <= 10""",
-    "log_texts": """SELECT repo, sha AS log, array_agg(concat(ln, ':', rf, ':', q) ORDER BY ln) AS texts, array_agg(rf ORDER BY ln) AS marks, array_agg(q ORDER BY ln) AS qs
-        FROM (SELECT repo, sha, ln, min(rf) AS rf, min(q) AS q FROM {line_facts} GROUP BY repo, sha, ln) x GROUP BY repo, sha""",
+    "log_lines": "SELECT repo, sha AS log, ln, min(rf) AS rf, min(q) AS q FROM {line_facts} GROUP BY repo, sha, ln",
+    "log_texts": {
+        "spark": """SELECT repo, log, transform(x, e -> concat(e.ln, ':', e.rf, ':', e.q)) AS texts, x.rf AS marks, x.q AS qs
+            FROM (SELECT repo, log, array_sort(collect_list(struct(ln, rf, q))) AS x FROM {log_lines} GROUP BY repo, log) y""",
+        "duckdb": """SELECT repo, log, array_agg(concat(ln, ':', rf, ':', q) ORDER BY ln) AS texts, array_agg(rf ORDER BY ln) AS marks, array_agg(q ORDER BY ln) AS qs
+            FROM {log_lines} GROUP BY repo, log""",
+    },
     "log_entries": {
         "spark": """SELECT repo, log, pos + 1 AS n, texts[pos] AS text, CASE WHEN qs[pos] > 48 THEN 'deadbeefdeadbeef' WHEN marks[pos] = 'N' THEN NULL
             ELSE aggregate(slice(texts, 1, pos + 1), 'genesis', (a, x) -> left(sha2(concat(a, x), 256), 16)) END AS stored FROM {log_texts} LATERAL VIEW posexplode(texts) e AS pos, t""",
