@@ -442,3 +442,19 @@ def epoch_days_since(t: Tables):
 def canonical_pair(t: Tables):
     pairs = coupling.co_change_pairs(t.commit_files)
     return pairs.select("repo", paths.canonical_pair(F.col("file_b"), F.col("file_a")).alias("p")).select("repo", "p.*").distinct()
+
+
+@query(
+    "months_label",
+    """SELECT repo, sha, CASE WHEN d < 1 THEN '<1mo' ELSE concat(CAST(round_even(d, 0) AS BIGINT), 'mo') END AS label FROM
+       (SELECT repo, sha, (max(author_ts) - min(author_ts)) / 86400.0 / 30.44 AS d FROM numstat GROUP BY repo, sha)""",
+)
+def months_label(t: Tables):
+    spans = t.numstat.groupBy("repo", "sha").agg(scores.span_months(F.min("author_ts"), F.max("author_ts")).alias("m"))
+    return spans.select("repo", "sha", scores.months_label(F.col("m")).alias("label"))
+
+
+@query("scope_slug", "SELECT DISTINCT repo, regexp_replace(path, '/[^/]*$', '') AS scope, replace(regexp_replace(path, '/[^/]*$', ''), '/', '-') AS slug FROM tracked")
+def scope_slug(t: Tables):
+    dirs = t.tracked.select("repo", paths.parent(F.col("path")).alias("scope")).distinct()
+    return dirs.select("repo", "scope", paths.scope_slug(F.col("scope")).alias("slug"))

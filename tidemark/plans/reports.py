@@ -459,3 +459,9 @@ def sink_actions_contract(t: Tables):
 @query("actions_by_rank", f"WITH {ACTIONS} SELECT repo, rank, action, row_number() OVER (PARTITION BY repo ORDER BY rank, action) AS position FROM act QUALIFY position <= 3")
 def actions_by_rank(t: Tables):
     return records.actions_by_rank(records.carry_status(action_rows(t), prior_actions(t))).select("repo", "rank", "action", "position")
+
+
+@query("major", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_nationkey END AS major FROM customer")
+def major(t: Tables):
+    version = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('V', c_nationkey, '.1') WHEN 1 THEN concat(' ', c_nationkey) ELSE 'none.1' END")
+    return t.customer.select("c_custkey", scores.major_version(version).alias("major"))

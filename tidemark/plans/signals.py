@@ -818,3 +818,63 @@ def signal_block_maps(t: Tables):
     return units.groupBy("repo").agg(
         F.count(F.lit(1)).alias("docs"), F.round(F.sum("freshness"), 3).alias("freshness_sum"), F.count_if(F.col("complexity") > 0).alias("covering")
     )
+
+
+# --- variants that share an implementation ---------------------------------
+
+
+@query(
+    "bleeding_module",
+    f"WITH {STATIC} SELECT repo, dir AS path, round(containment, 6) AS containment FROM st WHERE containment < 0.3 AND NOT has_static",
+)
+def bleeding_module(t: Tables):
+    found = findings.coupling_findings(static_of(t)).where("finding = 'bleeding_module'")
+    return found.select("repo", "path", r6("containment"))
+
+
+@query(
+    "candidate_dead_weight",
+    f"WITH {INTENT} SELECT DISTINCT d.repo, d.path FROM dead_code d JOIN mutation m ON m.repo = d.repo AND m.file = d.path JOIN (SELECT repo, greatest(quantile_cont(survived, 0.5), 10.0) AS th FROM mutation GROUP BY repo) t ON t.repo = d.repo ANTI JOIN covered c ON c.repo = d.repo AND c.path = d.path WHERE m.survived >= th",
+)
+def candidate_dead_weight(t: Tables):
+    high = findings.high_complexity(ccn_s(t), threshold_s(t))
+    return testing.dead_weight(high, t.dead_code, findings.intent_source(t.tracked, nation_docs(t)))
+
+
+@query("untrusted_hotspot", "SELECT h.repo, h.path FROM hot_s h JOIN mutation m ON m.repo = h.repo AND m.file = h.path WHERE survived / total >= 0.34")
+def untrusted_hotspot(t: Tables):
+    return testing.untrusted_hotspots(t.hot_s, t.mutation, density=0.34)
+
+
+@query(
+    "self_referential_tests",
+    "SELECT DISTINCT x.repo, x.source_file AS path FROM (SELECT repo, source_file, arg_min(test_file, rk) AS test_file FROM test_files GROUP BY repo, source_file) x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file WHERE n.added % 5 = 0",
+)
+def self_referential_tests(t: Tables):
+    pairs = t.test_files.select("repo", F.col("source_file").alias("path"), "test_file")
+    touched = t.numstat.where("added % 5 = 0").join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
+    history = stage(t.numstat.select("repo", "sha", "path").unionByName(touched).distinct(), "touched")
+    mapped = testing.colocated_tests(t.files_p, sources_and_tests(t))
+    return coupling.co_commit_pairs(mapped, history).select("repo", F.col("source_file").alias("path")).distinct()
+
+
+@query("display_name", "SELECT name, CASE name WHEN 'self_referential_tests' THEN 'self-referential tests' ELSE replace(name, '_', ' ') END AS shown, count(*) AS n FROM findings_t GROUP BY name")
+def display_name(t: Tables):
+    counted = t.findings_t.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("name", scores.display_name(F.col("name")).alias("shown"), "n")
+
+
+@query(
+    "badge_color",
+    "SELECT repo, CASE WHEN concerns = 0 AND survived % 5 = 0 THEN 'green' WHEN concerns <= 2 THEN 'yellow' ELSE 'orange' END AS color, file FROM (SELECT repo, file, killed % 5 AS concerns, survived FROM mutation)",
+)
+def badge_color(t: Tables):
+    return t.mutation.select("repo", "file", scores.badge_color(F.col("killed") % 5, F.col("survived") % 5).alias("color"))
+
+
+@query(
+    "score_color",
+    "SELECT repo, file, CASE WHEN s >= 0.875 THEN 'brightgreen' WHEN s >= 0.6875 THEN 'green' WHEN s >= 0.5 THEN 'yellowgreen' WHEN s >= 0.3125 THEN 'yellow' WHEN s >= 0.125 THEN 'orange' ELSE 'red' END AS color FROM (SELECT repo, file, killed % 17 / 16 AS s FROM mutation)",
+)
+def score_color(t: Tables):
+    return t.mutation.select("repo", "file", scores.score_color(F.col("killed") % 17, F.lit(16)).alias("color"))
