@@ -6,6 +6,7 @@ Patterns come from other tools where ``\\w`` and ``\\b`` know Unicode letters;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -26,10 +27,21 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, _lit(pattern), F.lit(group))
 
 
-def count_matches(text: Column, patterns: Iterable[str], flags: str = "(?i)" + UNICODE) -> Column:
+def folded(text: Column) -> Column:
+    """Lower case that also folds letters whose only link is their upper case."""
+    return F.lower(F.upper(text))
+
+
+def count_matches(text: Column, folded_text: Column, patterns: Iterable[tuple[str, str]], flags: str = "(?i)" + UNICODE) -> Column:
+    """Matches of all patterns, case ignored.
+
+    A pattern runs only where the literal it cannot match without occurs; the
+    literal test costs a fraction of the regex on a long text.
+    """
     total = F.lit(0)
-    for pattern in patterns:
-        total = total + F.regexp_count(text, _lit(flags + pattern))
+    for pattern, literal in patterns:
+        hits = F.regexp_count(text, _lit(flags + pattern))
+        total = total + F.when(F.contains(folded_text, F.lit(literal)), hits).otherwise(0)
     return total
 
 
@@ -83,12 +95,11 @@ def declares_boundaries(text: Column) -> Column:
 
 def in_comment(line: Column, pattern: str, is_prose: Column) -> Column:
     """A hit counts in prose, after a comment leader, or at the line start (2.2.12)."""
-    # everything before the first match
-    prefix = F.regexp_extract(line, rf"(?s)^(.*?)(?:{pattern})", 1)
-    leader = F.lit(False)
-    for mark in fv.COMMENT_LEADERS:
-        leader = leader | F.contains(prefix, F.lit(mark))
-    return is_prose | (line.rlike(pattern) & (leader | (F.trim(prefix) == "")))
+    # everything before the first match, looked at once
+    before = F.array(F.regexp_extract(line, rf"(?s)^(.*?)(?:{pattern})", 1))
+    leaders = "|".join(re.escape(mark) for mark in fv.COMMENT_LEADERS)
+    marked = F.exists(before, lambda prefix: prefix.rlike(rf"(?s){leaders}|^\s*$"))
+    return is_prose | (line.rlike(pattern) & marked)
 
 
 def is_linked(text: Column, family: Column) -> Column:

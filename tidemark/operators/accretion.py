@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import scores
 from tidemark.scale import running_sum, top_k
+from tidemark.staging import stage
 
 
 def running_net_delta(numstat: DataFrame) -> DataFrame:
@@ -24,13 +25,9 @@ def running_net_delta(numstat: DataFrame) -> DataFrame:
         (F.col("added") - F.col("deleted")).alias("delta"),
         F.floor(F.col("author_ts") / 86400).alias("_day"),
     )
-    net = running_sum(rows, ["repo", "path"], "_day", ["author_ts", "sha"], "delta", "net")
-    first = numstat.groupBy("repo", "path").agg(F.min(F.struct("author_ts", "sha")).alias("_first"))
-    is_first = F.col("_first") == F.struct("author_ts", "sha")
-    return (
-        net.join(first, ["repo", "path"])
-        .select("repo", "path", "sha", "net", F.when(~is_first, F.col("net") - F.col("delta")).alias("prev_net"))
-    )
+    rows = stage(rows, "deltas")
+    net = running_sum(rows, ["repo", "path"], "_day", ["author_ts", "sha"], "delta", "net", "prev_net")
+    return net.select("repo", "path", "sha", "net", "prev_net")
 
 
 def accretion(numstat: DataFrame, deletion_fraction: float = fv.ACCRETION_DELETION_FRACTION) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions import identity, paths, scores, text
 from tidemark.operators import churn
 from tidemark.scale import running_sum, salted_lookup, top_k
+from tidemark.staging import stage
 
 PROSE_FREE = ["suppression", "disabled_test"]
 COMMENT_BOUND = ["todo", "deprecation"]
@@ -51,7 +52,7 @@ def survived_touches(intros: DataFrame, commit_times: DataFrame) -> DataFrame:
     line = counts.select("repo", "path", "ts", F.lit(0).alias("kind"), "n").unionByName(
         intros.select("repo", "path", F.col("intro_ts").alias("ts"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n")).distinct()
     )
-    line = line.withColumn("_day", F.floor(F.col("ts") / 86400))
+    line = stage(line.withColumn("_day", F.floor(F.col("ts") / 86400)), "timeline")
     summed = running_sum(line, ["repo", "path"], "_day", ["ts", "kind"], "n", "upto")
     totals = commit_times.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("all_commits"))
     marks = summed.where(F.col("kind") == 1).select("repo", "path", F.col("ts").alias("intro_ts"), "upto")
@@ -72,6 +73,7 @@ def age(markers: DataFrame, blame: DataFrame, commit_times: DataFrame, authored:
     dated = markers.join(
         blame.select("repo", "path", "line_no", "sha", F.col("author_ts").alias("intro_ts")), ["repo", "path", "line_no"], "left"
     )
+    dated = stage(dated, "dated")
     survived = survived_touches(dated.where(F.col("intro_ts").isNotNull()), commit_times)
     deciles = churn.commit_count_decile(churn.churn_per_file(commit_times)).select("repo", "path", "decile")
     aged = marker_author(dated, authored).join(survived, ["repo", "path", "intro_ts"], "left")

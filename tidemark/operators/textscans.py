@@ -53,16 +53,17 @@ def sensitive_content(docs: DataFrame) -> DataFrame:
 
 def instruction_features(docs: DataFrame) -> DataFrame:
     """Directives, trade-offs, path references, checks, size and delegation (2.10.4)."""
-    t = F.col("text")
-    return docs.select(
-        "*",
-        text.count_matches(t, fv.DIRECTIVE_PATTERNS).alias("directives"),
-        text.count_matches(t, fv.TRADEOFF_PATTERNS).alias("tradeoffs"),
-        text.count_matches(t, [fv.PATH_REFERENCE_PATTERN], text.UNICODE).alias("path_refs"),
-        text.count_matches(t, fv.VERIFIABLE_PATTERNS).alias("verifiable"),
+    t, low = F.col("text"), F.col("_folded")
+    slashed = F.contains(t, F.lit("/")) | F.contains(t, F.lit("\\"))
+    return docs.withColumn("_folded", text.folded(t)).select(
+        *docs.columns,
+        text.count_matches(t, low, fv.DIRECTIVE_PATTERNS).alias("directives"),
+        text.count_matches(t, low, fv.TRADEOFF_PATTERNS).alias("tradeoffs"),
+        F.when(slashed, F.regexp_count(t, F.lit(text.UNICODE + fv.PATH_REFERENCE_PATTERN))).otherwise(0).alias("path_refs"),
+        text.count_matches(t, low, fv.VERIFIABLE_PATTERNS).alias("verifiable"),
         text.line_count(t).alias("lines"),
         text.word_count(t).alias("words"),
-        text.count_matches(t, fv.DELEGATION_PATTERNS).alias("delegations"),
+        text.count_matches(t, low, fv.DELEGATION_PATTERNS).alias("delegations"),
     )
 
 

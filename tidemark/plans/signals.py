@@ -18,8 +18,8 @@ def sql_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def sql_count(patterns: list[str], flags: str = "(?i)") -> str:
-    return " + ".join(f"len(regexp_extract_all(text, {sql_text(flags + p)}))" for p in patterns)
+def sql_count(patterns: list[tuple[str, str]], flags: str = "(?i)") -> str:
+    return " + ".join(f"len(regexp_extract_all(text, {sql_text(flags + p)}))" for p, _ in patterns)
 
 
 # --- markers ---------------------------------------------------------------
@@ -186,8 +186,8 @@ def content_hash(t: Tables):
 
 OVER_STOP = "'the', 'a', 'an', 'time', 'all', 'here', 'there', 'to', 'in', 'on', 'with'"
 FEATURES = f"""feat AS (SELECT repo, path, doc_id, freshness_days, text, {sql_count(fv.DIRECTIVE_PATTERNS)} AS directives,
-        {sql_count([p for p in fv.TRADEOFF_PATTERNS if '(?!' not in p])} + len(list_filter(regexp_extract_all(text, '(?i)\\bover\\s+([\\pL\\pN_]+)', 1), lambda w: lower(w) NOT IN ({OVER_STOP}))) AS tradeoffs,
-        {sql_count([fv.PATH_REFERENCE_PATTERN], '')} AS path_refs, {sql_count(fv.VERIFIABLE_PATTERNS)} AS verifiable,
+        {sql_count([x for x in fv.TRADEOFF_PATTERNS if '(?!' not in x[0]])} + len(list_filter(regexp_extract_all(text, '(?i)\\bover\\s+([\\pL\\pN_]+)', 1), lambda w: lower(w) NOT IN ({OVER_STOP}))) AS tradeoffs,
+        {sql_count([(fv.PATH_REFERENCE_PATTERN, '')], '')} AS path_refs, {sql_count(fv.VERIFIABLE_PATTERNS)} AS verifiable,
         len(string_split(rtrim(text, chr(10)), chr(10))) + greatest(length(text) - length(rtrim(text, chr(10))) - 1, 0) AS lines, len(regexp_extract_all(text, '\\S+')) AS words, {sql_count(fv.DELEGATION_PATTERNS)} AS delegations FROM guides)"""
 
 

@@ -271,7 +271,24 @@ def _needs(name: str, dialect: str) -> list[str]:
 
 
 # Projections that several others read: written once, then read back.
-SHARED = {"pages_of_repo"}
+SHARED = {"pages_of_repo", "part_use", "line_facts"}
+
+
+# Row key of the text tables: long rows, much work per row.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def read_table(spark: SparkSession, path: str, key: str | None) -> DataFrame:
+    """A given table; texts that come in fewer files than there are cores are spread.
+
+    A single file with one row group would be scanned for all patterns by one
+    task. Tables in many files are left alone.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if key and len(df.inputFiles()) < cores:
+        return df.repartition(cores, key)
+    return df
 
 
 class Tables:
@@ -287,7 +304,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._frames:
             if name in GIVEN:
-                self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._frames[name] = read_table(self.spark, f"{self.folder}/{name}.parquet", TEXT_KEYS.get(name))
             elif name in PROJECTIONS:
                 needs = {n: getattr(self, n) for n in _needs(name, "spark")}
                 frame = self.spark.sql(_spark_text(name), **needs)

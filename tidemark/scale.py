@@ -99,22 +99,25 @@ def sliced_join(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, out: str
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, out: str, previous: str | None = None
 ) -> DataFrame:
     """Running total of ``value`` per key, computed chunk by chunk.
 
     ``chunk`` must follow ``order`` (a day of a timestamp, a block of line
     numbers). Totals per chunk are small; only they are scanned per key.
+    ``previous`` names a column for the total before the row, null at the first.
+    ``df`` is read twice: hand in a written table when it is costly to make.
     """
     totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.join(offsets, [*keys, chunk])
-        .withColumn(out, F.col("_before") + F.sum(value).over(inside))
-        .drop("_before")
-    )
+    offsets = totals.select(*keys, chunk, F.sum("_total").over(before).alias("_before"))
+    order_inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    inside = order_inside.rowsBetween(Window.unboundedPreceding, 0)
+    base = F.coalesce(F.col("_before"), F.lit(0))
+    summed = df.join(offsets, [*keys, chunk]).withColumn(out, base + F.sum(value).over(inside))
+    if previous:
+        summed = summed.withColumn(previous, F.coalesce(F.lag(out).over(order_inside), F.col("_before")))
+    return summed.drop("_before")
 
 
 def carry_forward(

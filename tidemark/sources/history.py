@@ -42,13 +42,11 @@ def commit_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _numstat_rows(df: DataFrame) -> DataFrame:
     """``added<TAB>deleted<TAB>path`` rows; binary files carry no numbers."""
-    cells = F.split("row", "\t")
-    rows = df.withColumn("row", F.explode("rows")).where(F.size(cells) >= 3)
-    digits = cells[0].rlike(r"^\d+$") & cells[1].rlike(r"^\d+$")
-    return rows.where(digits).select(
-        *[c for c in df.columns if c != "rows"],
-        cells[0].cast("long").alias("added"), cells[1].cast("long").alias("deleted"), cells[2].alias("path"),
-    )
+    keep = [c for c in df.columns if c != "rows"]
+    cells = df.select(*keep, F.explode(F.transform("rows", lambda r: F.split(r, "\t"))).alias("c"))
+    number = lambda i: F.try_element_at("c", F.lit(i)).try_cast("long")
+    rows = cells.select(*keep, number(1).alias("added"), number(2).alias("deleted"), F.try_element_at("c", F.lit(3)).alias("path"))
+    return rows.where((F.col("added") >= 0) & (F.col("deleted") >= 0) & F.col("path").isNotNull())
 
 
 def numstat_log(raw: DataFrame) -> DataFrame:
