@@ -19,10 +19,13 @@ STATS_SCHEMA = (
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """Whole files landed below ``repo=<name>/`` as ``(repo, path, text)``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
-    inside = F.regexp_extract("_metadata.file_path", r"/repo=([^/]+)/(.+)$", 2)
-    repo = F.regexp_extract("_metadata.file_path", r"/repo=([^/]+)/(.+)$", 1)
-    return raw.select(repo.alias("repo"), F.url_decode(inside).alias("path"), F.col("value").alias("text"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    place = r"/repo=([^/]+)/(.+)$"
+    return raw.select(
+        F.regexp_extract("path", place, 1).alias("repo"),
+        F.regexp_extract("path", place, 2).alias("path"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+    )
 
 
 def scan_files(
