@@ -10,26 +10,46 @@ from tidemark.functions import identity, paths
 from tidemark.scale import salted_lookup, skewed_join, top_k
 
 
-def bulk_commit_filter(commit_files: DataFrame, max_files: int = fv.MAX_COMMIT_FILES) -> DataFrame:
-    """Files of commits that touch 2 to ``max_files`` files (2.2.8).
+def _without_bulk(commit_files: DataFrame, max_files: int) -> DataFrame:
+    """Drop the rows of commits with more than ``max_files`` files.
 
-    Bulk commits can be enormous; they are counted with a partial aggregate and
-    dropped by an anti join against their ids, of which there are at most
-    ``rows / max_files``.
+    Such commits can be enormous. They are counted with a partial aggregate
+    and dropped by a salted anti join against their ids, of which there are at
+    most ``rows / max_files``; their rows are never gathered.
     """
     sizes = commit_files.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"))
     bulk = sizes.where(F.col("n") > max_files).select("repo", "sha")
-    small = salted_lookup(commit_files, bulk, ["repo", "sha"], "left_anti")
-    pairable = sizes.where(F.col("n").between(2, max_files)).select("repo", "sha")
-    return small.join(pairable, ["repo", "sha"], "left_semi")
+    return salted_lookup(commit_files, bulk, ["repo", "sha"], "left_anti")
+
+
+def bulk_commit_filter(commit_files: DataFrame, max_files: int = fv.MAX_COMMIT_FILES) -> DataFrame:
+    """Files of commits that touch 2 to ``max_files`` files (2.2.8)."""
+    small = _without_bulk(commit_files, max_files)
+    single = small.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2).select("repo", "sha")
+    return small.join(single, ["repo", "sha"], "left_anti")
 
 
 def co_change_pairs(commit_files: DataFrame, max_files: int = fv.MAX_COMMIT_FILES) -> DataFrame:
-    """Unordered file pairs per commit; a commit yields at most 1,225 (2.3.1)."""
-    files = bulk_commit_filter(commit_files, max_files).select("repo", "sha", "path")
-    a = files.withColumnRenamed("path", "file_a")
-    b = files.withColumnRenamed("path", "file_b")
-    return a.join(b, ["repo", "sha"]).where(F.col("file_a") < F.col("file_b"))
+    """Unordered file pairs per commit; a commit yields at most 1,225 (2.3.1).
+
+    Without bulk commits a commit's files fit one short array, so pairs come
+    from the row itself and the history is not joined with itself.
+    """
+    sets = (
+        _without_bulk(commit_files, max_files)
+        .groupBy("repo", "sha")
+        .agg(F.sort_array(F.collect_set("path")).alias("files"))
+        .where(F.size("files") >= 2)
+    )
+    pairs = F.flatten(
+        F.transform(
+            "files",
+            lambda a, i: F.transform(
+                F.slice("files", i + 2, F.size("files")), lambda b: F.struct(a.alias("file_a"), b.alias("file_b"))
+            ),
+        )
+    )
+    return sets.select("repo", "sha", F.explode(pairs).alias("p")).select("repo", "sha", "p.*")
 
 
 def coupling_pairs(
