@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, exact, packing, simhash
+from tidemark.llm import codec, exact, html, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,8 +20,17 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it."""
+    home = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}" if known else home
+    return spark
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[build.__name__] = build
+    QUERIES[build.__name__] = lambda spark, folder: build(reachable(spark), folder)
     return build
 
 
@@ -57,3 +67,29 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"), width=3, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _held_out(parts: int, part: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == part
+
+
+def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = _table(spark, folder, "labels").where(~_held_out(5, 0))
+    return _judged(quality.classify(_table(spark, folder, "documents"), labels, "quality"), _held_out(5, 0))
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = toxicity.fit(documents, _table(spark, folder, "labels").where(~_held_out(4, 2)), "toxic")
+    return _judged(documents.select("doc_id", toxicity.score_column(documents, model).alias("score")), _held_out(4, 2))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
