@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, exact, html, packing, quality, simhash, toxicity
+from tidemark.llm import codec, embeddings, exact, html, packing, quality, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(_table(spark, folder, "pages"))
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.remove_repeats(_table(spark, folder, "documents"), least=200)
+    kept_bytes = F.length("kept").cast("long")
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - kept_bytes).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
