@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, embeddings, exact, html, packing, quality, simhash, suffixes, toxicity
+from tidemark.llm import chunking, codec, embeddings, exact, html, packing, quality, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,14 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - kept_bytes).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the bytes in repeated runs of chunks, what of them goes (all but first occurrences), and the rest's digest."""
+    cut = chunking.remove_repeats(_table(spark, folder, "documents"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return cut.select(
+        "doc_id", n_bytes.alias("n_bytes"), F.col("_cut.repeated").alias("n_repeated"), (n_bytes - F.octet_length("_cut.kept")).alias("n_removed"),
+        F.size("_cut.spans").cast("long").alias("n_spans"), F.sha2("_cut.kept", 256).alias("kept_sha256"),
+    )

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.bpe import text_chunks
 from tidemark.llm.components import connected_components, roots
+from tidemark.llm.rows import NO_ID, text_digest
 from tidemark.staging import stage
 
 SEED = 42
@@ -58,16 +59,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id, bits`` of every row; ``bits`` holds the 64 bits as a signed long."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("bits", T.LongType())])
+    """``doc_id, digest, bits`` of every row: MD5 of the text, and its 64 bits as a signed long."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_chunks(batch.column("text")):
                 found = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(found.view(np.int64))], names=schema.names)
+                own = (batch.column(c).slice(first, len(texts)) for c in ("doc_id", "digest"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found.view(np.int64))], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def block_masks(distance: int) -> list[int]:
@@ -146,11 +148,19 @@ def fingerprint_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """``doc_id, bits, component_id`` per row: the smallest id that links of ``distance`` bits or fewer reach."""
+    """``doc_id, digest, bits, component_id, kept`` per row.
+
+    ``component_id`` is the smallest id that links of ``distance`` bits or fewer
+    reach; its document (of several with that id, the one with the smallest
+    digest) is ``kept``, and so are rows that repeat it.
+    """
     rows = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = rows.groupBy("bits").agg(F.min("doc_id").alias("_least"))
+    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "digest")
+    nodes = rows.groupBy("bits").agg(F.min(order).alias("_least"))
     linked = connected_components(fingerprint_links(nodes, distance))
     member = nodes.join(linked, F.col("bits") == F.col("node"), "left").select("bits", "_least", F.coalesce("component", "bits").alias("_component"))
-    least = member.groupBy("_component").agg(F.min("_least").alias("component_id"))
-    of_bits = member.join(least, "_component").select("bits", "component_id")
-    return rows.join(of_bits, "bits").select("doc_id", "bits", "component_id")
+    least = member.groupBy("_component").agg(F.min("_least").alias("_first"))
+    of_bits = member.join(least, "_component").select("bits", "_first")
+    return rows.join(of_bits, "bits").select(
+        "doc_id", "digest", "bits", F.nullif(F.col("_first.id"), F.lit(NO_ID)).alias("component_id"), (order == F.col("_first")).alias("kept")
+    )

@@ -38,9 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
+from tidemark.llm.filters import bit_table, in_table
+from tidemark.llm.rows import text_digest
 from tidemark.staging import stage
 
-FILTER_BITS = 1 << 25  # 4 MB: broadcast, whatever the corpus
 GROUP_ROWS = 50_000
 ROWS_PER_TASK = 20_000
 _GEAR = np.random.default_rng(20_041).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -90,10 +91,6 @@ class Anchors:
         return np.fromiter((xxhash.xxh64_intdigest(joined[a : a + k]) for a in anchor.tolist()), np.uint64, len(anchor))
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
-
-
 def _texts(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
@@ -117,21 +114,6 @@ def _anchor_rows(texts: DataFrame, least: int, schema: str, emit: Callable) -> D
     return texts.mapInArrow(run, schema)
 
 
-def _marks(keys: DataFrame, column: str) -> np.ndarray:
-    """A table of ``FILTER_BITS`` bits with the bit of every key set; at most ``FILTER_BITS / 64`` rows reach the driver."""
-    word = F.expr(f"pmod({column}, {FILTER_BITS}L) div 64").alias("word")
-    words = keys.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({column}, {FILTER_BITS}L) % 64 AS INT))")).alias("bits"))
-    table = words.toPandas()
-    marks = np.zeros(FILTER_BITS // 64, np.uint64)
-    marks[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).view(np.uint64)
-    return marks
-
-
-def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.int64) % FILTER_BITS
-    return (marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
 def _common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     low, high = 0, min(len(a), len(b))
@@ -257,7 +239,7 @@ def repeated_windows(docs: DataFrame, least: int = 200, text_col: str = "text",
     context = docs.sparkSession.sparkContext
     text = _texts(docs, text_col)
     plain = docs.select(text.alias("text"))
-    named = docs.select(text.alias("text"), _digest(text).alias("digest"))
+    named = docs.select(text.alias("text"), text_digest(text_col).alias("digest"))
     signed = lambda x: pa.array(x.view(np.int64))
     batch = lambda names, *columns: pa.RecordBatch.from_arrays(list(columns), names=names.split())
 
@@ -266,13 +248,13 @@ def repeated_windows(docs: DataFrame, least: int = 200, text_col: str = "text",
         return batch("key n", signed(one), pa.array(n))
 
     twice = _anchor_rows(plain, least, "key long, n long", count).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    marks = context.broadcast(_marks(twice.select("key"), "key"))
+    marks = context.broadcast(bit_table(twice.select("key"), "key"))
 
     def hashes(joined: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(first.tolist(), (last + least).tolist(), strict=True)), np.uint64, len(first))
 
     def meet(joined, offsets, digests, anchor, first, last, keys):  # noqa: ANN001, ANN202
-        keep = np.flatnonzero(_marked(marks.value, keys))
+        keep = np.flatnonzero(in_table(marks.value, keys))
         if not len(keep):
             return None
         anchor, first, last, keys = anchor[keep], first[keep], last[keep], keys[keep]
@@ -285,10 +267,10 @@ def repeated_windows(docs: DataFrame, least: int = 200, text_col: str = "text",
     classes = stage(rows.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n")), "segments")
     mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least_n")).where("kinds > 1 AND least_n = 1")
     open_keys = stage(mixed.select("key", "kinds"), "mixed")
-    open_marks = context.broadcast(_marks(open_keys.select("key"), "key"))
+    open_marks = context.broadcast(bit_table(open_keys.select("key"), "key"))
 
     def contents(joined, offsets, digests, anchor, first, last, keys):  # noqa: ANN001, ANN202
-        keep = np.flatnonzero(_marked(open_marks.value, keys))
+        keep = np.flatnonzero(in_table(open_marks.value, keys))
         if not len(keep):
             return None
         anchor, first, last, keys = anchor[keep], first[keep], last[keep], keys[keep]
@@ -359,7 +341,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     """``doc_id, n_bytes, spans, kept`` per row: the removed runs and the remaining bytes."""
     text = _texts(docs, text_col)
     spans = repeated_windows(docs, least, text_col, group_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _digest(text).alias("digest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_digest(text_col).alias("digest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
