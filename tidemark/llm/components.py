@@ -40,13 +40,45 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def spanning(links: np.ndarray) -> np.ndarray:
+    """A forest that joins the same nodes as ``links`` (two rows: ends), by the smallest node of each tree."""
+    nodes, at = np.unique(links, return_inverse=True)
+    at = at.reshape(links.shape)
+    label = roots(len(nodes), at[0], at[1])
+    linked = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[linked], nodes[label[linked]]])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches in portions that never part rows with equal first ``keys`` columns."""
+    held: list[list[np.ndarray]] = []
+    join = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        same = np.ones(len(columns[0]), bool)
+        for c in columns[:keys]:
+            same &= c == c[-1]
+        before = np.flatnonzero(~same)
+        at = int(before[-1]) + 1 if len(before) else 0
+        if at:
+            held.append([c[:at] for c in columns])
+        elif held and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], columns[:keys], strict=True)):
+            yield join()
+            held = []
+        if at:
+            yield join()
+            held = []
+        held.append([c[at:] for c in columns])
+    if held:
+        yield join()
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label = roots(len(nodes), at[: len(a)], at[len(a) :])
-        linked = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], names=["a", "b"])
+        forest = spanning(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
+        yield pa.RecordBatch.from_arrays([pa.array(forest[0]), pa.array(forest[1])], names=["a", "b"])
 
 
 def delete_staged(spark: SparkSession, path: str) -> None:

@@ -20,7 +20,9 @@ table gives none. Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import text_chunks
-from tidemark.llm.components import connected_components, roots
+from tidemark.llm.components import connected_components, grouped, roots, spanning
 from tidemark.llm.rows import NO_ID, text_digest
 from tidemark.staging import stage
 
 SEED = 42
+SKETCH = 256  # bits that verify pairs of wide fingerprints
+SMALL_GROUP = 32
 COMPARE_ALL = 512  # groups up to this size are compared row by row; the result is the same
 
 
@@ -111,39 +115,18 @@ def fingerprint_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     met = met.repartition("choice", "key").sortWithinPartitions("choice", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            choice, key, bits = (np.concatenate(x) for x in zip(*rows, strict=True))
+        for choice, key, bits in grouped(batches, 2):
             edge = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
             begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
             left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for x, y in zip(begin[end - begin > 1], end[end - begin > 1], strict=True):
-                a, b = _group_links(bits[x:y], masks[choice[x]], distance)
+                a, b = _group_links(bits[x:y].view(np.uint64), masks[choice[x]], distance)
                 left.append(a)
                 right.append(b)
             a, b = np.concatenate(left), np.concatenate(right)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
-            choice, key, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(key):
-                continue
-            # The last group of a batch may go on in the next.
-            last = np.flatnonzero((choice != choice[-1]) | (key != key[-1]))
-            at = last[-1] + 1 if len(last) else 0
-            if at:
-                held.append((choice[:at], key[:at], bits[:at].view(np.uint64)))
-                yield from flush(held)
-                held = []
-            elif held and (held[-1][0][-1] != choice[0] or held[-1][1][-1] != key[0]):
-                yield from flush(held)
-                held = []
-            held.append((choice[at:], key[at:], bits[at:].view(np.uint64)))
-        if held:
-            yield from flush(held)
-
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -164,3 +147,145 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_bits, "bits").select(
         "doc_id", "digest", "bits", F.nullif(F.col("_first.id"), F.lit(NO_ID)).alias("component_id"), (order == F.col("_first")).alias("kept")
     )
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """How wide fingerprints are split: ``count`` blocks of ``bits``, and ``SKETCH`` more bits to verify with."""
+
+    bits: int
+    count: int
+    distance: int
+
+    @property
+    def total(self) -> int:
+        return 1 << max(11, (self.bits * self.count + SKETCH - 1).bit_length())
+
+
+def split_for(rows: int, similarity: float, recall: float) -> Blocks:
+    """Blocks long enough that chance meetings stay in proportion to the rows, and so many that close pairs share one.
+
+    Two sets of Jaccard similarity s have a cosine of 2s / (1 + s) and differ in a
+    bit with probability arccos(cosine) / pi. ``distance`` allows what pairs at the
+    similarity asked for differ by, and 1.3 standard deviations more.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(8, math.ceil(math.log2(max(rows, 2))))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
+    return Blocks(bits, count, round(SKETCH * differ + 1.3 * math.sqrt(SKETCH * differ * (1 - differ))))
+
+
+def shingle_vector(text: bytes, width: int, size: int) -> np.ndarray:
+    """The set of a text's shingles, each added with its sign at one of ``size`` places."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_digest
+    shingles = {b" ".join(words)} if 0 < len(words) <= width else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
+    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64)
+    return np.bincount((hashes & np.uint64(size - 1)).astype(np.intp), np.where(hashes >> np.uint64(63), 1.0, -1.0), size)
+
+
+def mixed(rows: np.ndarray) -> np.ndarray:
+    """Rows turned by two rounds of random signs and a Walsh-Hadamard transform: as many random projections as columns."""
+    n, size = rows.shape
+    rows = rows.astype(np.float32)
+    signs = np.random.default_rng([SEED, size]).integers(0, 2, (2, size)).astype(np.float32) * 2 - 1
+    for sign in signs:
+        rows = rows * sign
+        half = 1
+        while half < size:
+            pair = rows.reshape(n, -1, 2, half)
+            rows = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], axis=2).reshape(n, size)
+            half *= 2
+    return rows
+
+
+def close_links(group: np.ndarray, sketch: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all rows of a group within ``distance`` bits of each other; ``group`` is sorted.
+
+    Small groups are compared row by row. In a large one a search spreads from row
+    to row and compares each only with rows not yet reached, so a group of many
+    near copies costs little more than its size, and gives one link per row.
+    """
+    near = lambda a, b: np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=-1, dtype=np.int64) <= distance
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(begin, len(group)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(size <= SMALL_GROUP, size)
+    for off in range(1, SMALL_GROUP):
+        i = np.flatnonzero(small[:-off] & (group[:-off] == group[off:])) if off < len(group) else []
+        if not len(i):
+            break
+        hit = i[near(i, i + off)]
+        left.append(hit)
+        right.append(hit + off)
+    for b, n in zip(begin[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
+        unseen = np.arange(b, b + n)
+        while len(unseen):
+            reached, unseen = [int(unseen[0])], unseen[1:]
+            for row in reached:
+                if not len(unseen):
+                    break
+                hit = near(unseen, row)
+                left.append(np.full(int(hit.sum()), row))
+                right.append(unseen[hit])
+                reached.extend(unseen[hit].tolist())
+                unseen = unseen[~hit]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, digest, component_id, kept`` per row, for documents that share ``similarity`` of their shingles of ``width`` words.
+
+    64 bits cannot tell such pairs apart by shared blocks: at 0.8 they differ in
+    ten bits. So fingerprints are as wide as blocks of about log2(rows) bits must
+    be many for pairs at the threshold to share one with probability ``recall``;
+    closer pairs share one more surely. Rows grow as documents ** 1.24, chance
+    meetings with them. ``kept`` is as in ``near_duplicates``.
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    blocks = split_for(docs.count(), similarity, recall)
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_chunks(batch.column("text")):
+                for at in range(0, len(texts), 256):
+                    part = texts[at : at + 256]
+                    bits = np.packbits(mixed(np.stack([shingle_vector(t, width, blocks.total) for t in part])) > 0, axis=1)
+                    own = (batch.column(c).slice(first + at, len(part)) for c in ("doc_id", "digest"))
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "digest", "bits"])
+
+    rows = stage(named.mapInArrow(wide, "doc_id long, digest binary, bits binary"), "fingerprints")
+    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "digest")
+    nodes = stage(rows.groupBy("bits").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.uint64(1) << np.arange(blocks.bits, dtype=np.uint64)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(begin, 1_000)
+                n = batch.num_rows
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, -1), axis=1)
+                sketch = np.packbits(bits[:, :SKETCH], axis=1).view(np.int64)
+                keys = bits[:, SKETCH : SKETCH + blocks.bits * blocks.count].reshape(n, blocks.count, blocks.bits) @ weight
+                keys = (np.arange(blocks.count, dtype=np.uint64) << np.uint64(40) | keys.astype(np.uint64)).view(np.int64)
+                again = lambda x: pa.array(np.repeat(x, blocks.count))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), again(batch.column("node").to_numpy()), *(again(sketch[:, k]) for k in range(SKETCH // 64))], names=["key", "node", *(f"s{k}" for k in range(SKETCH // 64))])
+
+    sketches = "".join(f", s{k} long" for k in range(SKETCH // 64))
+    met = nodes.select("node", "bits").mapInArrow(spread, f"key long, node long{sketches}").repartition("key").sortWithinPartitions("key")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[np.ndarray] = []
+        for key, node, *sketch in grouped(batches):
+            a, b = close_links(key, np.stack(sketch, axis=1).view(np.uint64), blocks.distance)
+            links.append(np.stack([node[a], node[b]]))
+            if sum(x.shape[1] for x in links) > 1_000_000:
+                links = [spanning(np.concatenate(links, axis=1))]
+        if links and (forest := spanning(np.concatenate(links, axis=1))).shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(forest[0]), pa.array(forest[1])], names=["a", "b"])
+
+    linked = connected_components(met.mapInArrow(link, "a long, b long"))
+    member = nodes.join(linked, "node", "left").select("bits", "first", F.coalesce("component", "node").alias("_component"))
+    least = member.groupBy("_component").agg(F.min("first").alias("_first"))
+    of_bits = member.join(least, "_component").select("bits", "_first")
+    return rows.join(of_bits, "bits").select("doc_id", "digest", F.nullif(F.col("_first.id"), F.lit(NO_ID)).alias("component_id"), (order == F.col("_first")).alias("kept"))
