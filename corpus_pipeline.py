@@ -32,9 +32,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of three-word shingles, the one with the smallest id."""
+    """Of documents that share 0.8 of their five-word shingles, by way of others too, the one with the smallest id."""
     reachable(spark)
-    found = simhash.near_duplicates(docs)
+    found = simhash.similar_documents(docs, similarity=0.8, width=5)
     return without(docs, found.where(~F.col("kept")).select("doc_id", "digest"))
 
 
