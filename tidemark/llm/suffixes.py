@@ -144,14 +144,14 @@ class BlindTrie:
             node = node[1].get(key) or next(iter(node[1].values()))
         other = self.strings[node[2][0]]
         same = _common(new, other)
+        if same == len(new) == len(other):
+            node[2].append(i)
+            return
         parent, key, node = None, 0, self.root
         while node[0] is not None and node[0] < same:
             parent, key = node, new[node[0]] if node[0] < len(new) else -1
             node = node[1][key]
         mine = new[same] if same < len(new) else -1
-        if node[0] is None and same == len(new) == len(other):
-            node[2].append(i)
-            return
         leaf = [None, {}, [i]]
         if node[0] == same:
             node[1][mine] = leaf
