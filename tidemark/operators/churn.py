@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import identity, paths, scores
-from tidemark.scale import salted_lookup, top_k, value_counts
+from tidemark.scale import first_of, salted_lookup, value_counts
 
 
 def months_before(as_of: int, months: int) -> int:
@@ -141,8 +141,8 @@ def hotspot_risk_band(ranked: DataFrame, position: str = "rank") -> DataFrame:
     return ranked.withColumn("risk_band", band).where(F.col("risk_band").isNotNull())
 
 
-def candidate_dirs(commit_files: DataFrame) -> DataFrame:
-    """Busiest directories: at least five commits, at most fifty kept (2.4.6)."""
+def candidate_dirs(commit_files: DataFrame, k: int | None = fv.MAX_CONTAINMENT_DIRS) -> DataFrame:
+    """Busiest directories with at least five commits: the first ``k``, or all with None; ``eligible`` counts all (2.4.6)."""
     touched = (
         commit_files.select("repo", "sha", paths.parent(F.col("path")).alias("dir"))
         .distinct()
@@ -152,4 +152,4 @@ def candidate_dirs(commit_files: DataFrame) -> DataFrame:
     )
     counted = touched.groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("n_commits"))
     eligible = counted.where(F.col("n_commits") >= fv.MIN_DIR_COMMITS)
-    return top_k(eligible, ["repo"], [F.desc("n_commits"), F.asc("dir")], fv.MAX_CONTAINMENT_DIRS)
+    return first_of(eligible, ["repo"], [F.desc("n_commits"), F.asc("dir")], k, "eligible")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, scores
-from tidemark.scale import top_k, value_counts
+from tidemark.scale import first_of, top_k, value_counts
 
 
 def file_complexity(functions: DataFrame, files: DataFrame, source: str = "functions") -> DataFrame:
@@ -102,13 +102,12 @@ def max_ccn_union(*lists: DataFrame) -> DataFrame:
     return union.where(F.col("ccn").isNotNull()).groupBy("repo", "path").agg(F.max("ccn").alias("ccn"))
 
 
-def budget_subtrees(files: DataFrame, budget: int = fv.CONTEXT_BUDGET_TOKENS) -> DataFrame:
-    """Top-level subtrees over the token budget, ten largest (2.4.11)."""
+def budget_subtrees(files: DataFrame, budget: int = fv.CONTEXT_BUDGET_TOKENS, k: int | None = fv.TOP_LIST) -> DataFrame:
+    """Top-level subtrees over the token budget: the ``k`` largest, or all with None; ``over_budget`` counts all (2.4.11)."""
     top = F.element_at(F.split("path", "/"), 1)
     per_tree = files.groupBy("repo", top.alias("subtree")).agg(F.sum("est_tokens").alias("est_tokens"))
-    return top_k(
-        per_tree.where(F.col("est_tokens") > budget), ["repo"], [F.desc("est_tokens"), F.asc("subtree")], fv.TOP_LIST
-    )
+    over = per_tree.where(F.col("est_tokens") > budget)
+    return first_of(over, ["repo"], [F.desc("est_tokens"), F.asc("subtree")], k, "over_budget")
 
 
 def budget_rollup(files: DataFrame, budget: int = fv.CONTEXT_BUDGET_TOKENS) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths
-from tidemark.scale import HOT_ROWS, running_sum, salted_lookup, top_k
-from tidemark.staging import stage
+from tidemark.scale import HOT_ROWS, positions, salted_lookup, top_k
+from tidemark.staging import stage, unstage
 
 
 def _sliced(edges: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -60,15 +60,18 @@ def pagerank(
     edges: DataFrame,
     alpha: float = fv.PAGERANK_ALPHA,
     iterations: int = fv.PAGERANK_ITERATIONS,
-    tolerance: float = fv.PAGERANK_TOLERANCE,
     hot_rows: int = HOT_ROWS,
+    rounds_per_stage: int = 10,
 ) -> DataFrame:
     """Power iteration with dangling mass spread evenly (2.9.4).
 
-    A node also sends its own record along a self row, so one join and one
-    aggregate make an iteration. Ranks of a repository sum to one, hence what
-    its links do not pass on is what every node receives in equal parts: that
-    share is read from the written state of the previous iteration.
+    Let z(0) be even and z(j + 1) be ``alpha`` times what links pass on of z(j).
+    Jumps and dangling nodes give every node of a repository the same, so a rank
+    after k iterations is the sum of u(k - j) z(j) with numbers u that follow
+    from the sums of z alone: u(0) = 1, u(k + 1) = 1 - sum of u(k - j) |z(j + 1)|.
+    The loop therefore needs no number per repository between iterations. A node
+    sends its own record along a self row, so one join and one aggregate make an
+    iteration, and ``rounds_per_stage`` of them are planned between two writes.
     """
     sliced, sources = _sliced(edges, hot_rows)
     sizes = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
@@ -79,41 +82,48 @@ def pagerank(
     even = salted_lookup(plain, linked, ["repo"], "left_anti").select(
         "repo", "node", (F.lit(1.0) / F.col("n")).alias("pagerank")
     )
+    each = F.lit(1.0) / F.col("n")
     state = salted_lookup(plain, linked, ["repo"], "left_semi").join(sources, ["repo", "node"], "left")
     state = stage(
         state.select(
-            "repo", "node", "n", F.coalesce("out_degree", zero).alias("deg"), F.coalesce("slices", zero + 1).alias("slices"),
-            F.lit(0.0).alias("received"), F.lit(None).cast("double").alias("old"),
+            "repo", "node", F.coalesce("out_degree", zero).alias("deg"), F.coalesce("slices", zero + 1).alias("slices"),
+            each.alias("z"), F.array(each).alias("past"),
         ),
         "ranks",
     )
     own = state.select("repo", F.col("node").alias("src"), F.col("node").alias("dst"), zero.alias("slice"), F.lit(True).alias("own"))
     links = stage(sliced.select("repo", "src", "dst", "slice", F.lit(False).alias("own")).unionByName(own), "links")
 
-    def ranks(df: DataFrame) -> DataFrame:
-        passed = df.groupBy("repo").agg(F.sum("received").alias("passed"))
-        pr = F.col("received") + (F.lit(1.0) - F.col("passed")) / F.col("n")
-        return salted_lookup(df, passed, ["repo"], "inner").withColumn("pr", pr).drop("passed")
-
-    for done in range(iterations + 1):
-        current = ranks(state)
-        if done == iterations:
-            break
-        if done and done % 20 == 0:
-            moved = current.groupBy("repo").agg(F.sum(F.abs(F.col("pr") - F.col("old"))).alias("m"))
-            if _total(moved, F.max("m")) < tolerance:
-                break
-        sent = current.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("node", "src")
-        sent = sent.join(links, ["repo", "src", "slice"])
-        mine = F.when(F.col("own"), F.struct("n", "deg", "slices", "pr"))
-        share = F.when(F.col("own"), 0.0).otherwise(F.lit(alpha) * F.col("pr") / F.col("deg"))
-        state = stage(
+    def step(df: DataFrame) -> DataFrame:
+        sent = df.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("node", "src").join(links, ["repo", "src", "slice"])
+        mine = F.when(F.col("own"), F.struct("deg", "slices", "past"))
+        share = F.when(F.col("own"), 0.0).otherwise(F.lit(alpha) * F.col("z") / F.col("deg"))
+        return (
             sent.groupBy("repo", F.col("dst").alias("node"))
-            .agg(F.sum(share).alias("received"), F.max(mine).alias("mine"))
-            .select("repo", "node", "mine.n", "mine.deg", "mine.slices", "received", F.col("mine.pr").alias("old")),
-            "ranks",
+            .agg(F.sum(share).alias("z"), F.max(mine).alias("mine"))
+            .select("repo", "node", "mine.deg", "mine.slices", "z", F.array_append("mine.past", F.col("z")).alias("past"))
         )
-    return current.select("repo", "node", F.col("pr").alias("pagerank")).unionByName(even)
+
+    written, done = [(0, state)], 0
+    while done < iterations:
+        rounds = min(rounds_per_stage, iterations - done)
+        fresh = state.withColumn("past", F.array().cast("array<double>"))
+        state = stage(reduce(lambda df, _: step(df), range(rounds), fresh), "ranks")
+        written.append((done + 1, state))
+        done += rounds
+    unstage(links)
+    parts = reduce(DataFrame.unionByName, [df.select("repo", "node", F.lit(at).alias("at"), "past") for at, df in written])
+    sums = parts.select("repo", "at", F.posexplode("past").alias("k", "z")).groupBy("repo", (F.col("at") + F.col("k")).alias("j")).agg(F.sum("z").alias("s"))
+    later = sums.where("j > 0").groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda x: x["s"]).alias("s"))
+    next_u = lambda u, s: F.array_append(
+        u, 1.0 - F.aggregate(F.zip_with(F.reverse(u), F.slice(s, 1, F.size(u)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    )
+    u = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.array(F.lit(1.0)), lambda u, _: next_u(u, F.col("s")))
+    weights = (later.select("repo", u.alias("u")) if iterations else linked.select("repo", F.array(F.lit(1.0)).alias("u")))
+    mixed = salted_lookup(parts, weights, ["repo"], "inner")
+    own_u = F.slice(F.reverse("u"), F.col("at") + 1, F.size("past"))
+    part = F.aggregate(F.zip_with("past", own_u, lambda z, w: z * w), F.lit(0.0), lambda a, x: a + x)
+    return mixed.groupBy("repo", "node").agg(F.sum(part).alias("pagerank")).unionByName(even)
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,21 +150,29 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        unstage(labels, lower)
         if _total(fresh, F.count_if(F.col("old") != F.col("label"))) == 0:
+            unstage(both)
             return fresh.select("repo", "node", F.col("label").alias("component"))
-        labels = fresh.select("repo", "node", "label")
+        labels = fresh
+
 
+def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame, gather: int = 8) -> DataFrame:
+    """Hops from the entry set; null for nodes out of reach (2.9.6, 2.9.7).
 
-def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """Hops from the entry set; null for nodes out of reach (2.9.6, 2.9.7)."""
+    A step joins the links with the last frontier only. Frontiers are gathered
+    into one table of visited nodes every ``gather`` steps, so a step reads that
+    table and a few frontiers, however deep the graph is.
+    """
     edges = stage(edges.select("repo", "src", "dst"), "edges")
     frontier = stage(
         entries.select("repo", "node").join(nodes, ["repo", "node"], "left_semi").distinct().withColumn("dist", F.lit(0)),
         "frontier",
     )
     seen = [frontier]
+    step = 0
     while True:
-        step = len(seen)
+        step += 1
         reached = edges.join(frontier.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_semi")
         visited = reduce(DataFrame.unionByName, seen).select("repo", "node")
         frontier = stage(
@@ -165,8 +183,14 @@ def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFra
             "frontier",
         )
         if frontier.isEmpty():
+            unstage(frontier, edges)
             break
         seen.append(frontier)
+        if len(seen) > gather:
+            # the last frontier stays a table of its own: the next step starts from it
+            gathered = stage(reduce(DataFrame.unionByName, seen[:-1]), "visited")
+            unstage(*seen[:-1])
+            seen = [gathered, frontier]
     return nodes.select("repo", "node").join(reduce(DataFrame.unionByName, seen), ["repo", "node"], "left")
 
 
@@ -174,10 +198,7 @@ def hop_shells(dist: DataFrame) -> DataFrame:
     """Shell per node: its distance, or a growing ring after the last shell (2.9.7)."""
     last = dist.groupBy("repo").agg(F.coalesce(F.max("dist"), F.lit(0)).alias("last"))
     inside = dist.where(F.col("dist").isNotNull()).select("repo", "node", F.col("dist").cast("long").alias("shell"))
-    outside = dist.where(F.col("dist").isNull()).select(
-        "repo", "node", F.left("node", F.lit(12)).alias("_chunk"), F.lit(1).alias("_one")
-    )
-    ranked = running_sum(outside, ["repo"], "_chunk", ["node"], "_one", "pos")
+    ranked = positions(dist.where(F.col("dist").isNull()).select("repo", "node"), "repo", "node", "pos")
     # rings hold 24, 36, 48, ... nodes, so k rings hold 6k^2 + 18k
     position = F.col("pos") - 1
     linear = F.lit(2 * fv.RING_FIRST - fv.RING_STEP)
@@ -251,6 +272,22 @@ def curated_subgraph(nodes: DataFrame, edges: DataFrame, raw_dirs: DataFrame) ->
     return kept, inner.select("repo", "src", "dst")
 
 
+def _trimmed(edges: DataFrame, rounds_per_stage: int = 4) -> DataFrame:
+    """Edges between nodes that have edges on both sides; chains that lead in or out of cycles go end by end."""
+    live = stage(edges, "edges")
+    size = live.count()
+    while True:
+        left = live
+        for _ in range(rounds_per_stage):
+            left = left.join(left.select("repo", F.col("dst").alias("src")).distinct(), ["repo", "src"], "left_semi")
+            left = left.join(left.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi")
+        after = stage(left.select("repo", "src", "dst"), "edges")
+        unstage(live)
+        live, before, size = after, size, after.count()
+        if size == before:
+            return live
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """Members of every cycle, labelled by the smallest member (2.9.12).
 
@@ -258,7 +295,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     reaches. Equal labels put a node into that component; edges between nodes
     with different labels cannot lie on a cycle and are cut.
     """
-    live = stage(edges.where(F.col("src") != F.col("dst")).select("repo", "src", "dst").distinct(), "edges")
+    live = _trimmed(edges.where(F.col("src") != F.col("dst")).select("repo", "src", "dst").distinct())
     found: list[DataFrame] = []
     while True:
         # only nodes with edges on both sides can lie on a cycle
@@ -267,6 +304,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         nodes = has_out.join(has_in, ["repo", "node"], "left_semi")
         labels = stage(nodes.select("repo", "node", F.col("node").alias("fwd"), F.col("node").alias("bwd")), "labels")
         if labels.isEmpty():
+            unstage(labels, live)
             break
         while True:
             src = labels.select("repo", F.col("node").alias("src"), F.col("fwd").alias("v"))
@@ -294,7 +332,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 ),
                 "labels",
             )
-            labels = fresh.select("repo", "node", "fwd", "bwd")
+            unstage(labels, lower)
+            labels = fresh
             if _total(fresh, F.count_if((F.col("of") != F.col("fwd")) | (F.col("ob") != F.col("bwd")))) == 0:
                 break
         same = labels.where(F.col("fwd") == F.col("bwd"))
@@ -302,10 +341,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rest = labels.where(F.col("fwd") != F.col("bwd"))
         a = rest.select("repo", F.col("node").alias("src"), F.struct("fwd", "bwd").alias("sa"))
         b = rest.select("repo", F.col("node").alias("dst"), F.struct("fwd", "bwd").alias("sb"))
-        live = stage(
+        cut = stage(
             live.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).where(F.col("sa") == F.col("sb")).select("repo", "src", "dst"),
             "edges",
         )
+        unstage(live, labels)
+        live = cut
     if not found:
         return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     members = reduce(DataFrame.unionByName, found)
@@ -343,13 +384,14 @@ def modularity_q(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return every.join(linked, "repo", "left").select("repo", F.coalesce("q", F.lit(0.0)).alias("modularity_q"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Greedy modularity merging, many disjoint merges per round (2.9.14).
 
     In each round every community picks the neighbour with the largest gain;
     pairs that pick each other merge, and communities with a single neighbour
-    join it. Rounds end when no merge gains. The partition is one local optimum;
-    its Q is the contract, not the labels.
+    join it. Rounds end when no merge gains. They do end: gains are in one total
+    order, so the pair with the largest picks each other and every round has
+    fewer communities than the one before. The partition is one local optimum; its Q is the contract, not the labels.
     """
     links = undirected(edges)
     totals = links.groupBy("repo").agg(F.count(F.lit(1)).cast("double").alias("m"))
@@ -360,7 +402,7 @@ def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Da
         "between",
     )
     totals = stage(totals, "totals")
-    for _ in range(max_rounds):
+    while True:
         # inner weight (x = y) is counted from both ends, so row sums are degrees
         deg = between.groupBy("repo", "x").agg(F.sum("w").alias("d"))
         outer = between.where(F.col("x") != F.col("y"))
@@ -377,6 +419,7 @@ def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Da
             "best",
         )
         if best.isEmpty():
+            unstage(best, between, totals)
             break
         neighbours = outer.groupBy("repo", "x").agg(F.count(F.lit(1)).alias("all_n"))
         back = best.select("repo", F.col("x").alias("y"), F.col("y").alias("back"))
@@ -392,18 +435,22 @@ def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Da
             moves.join(hop, ["repo", "target"], "left").select("repo", "community", F.coalesce("final", "target").alias("target")),
             "moves",
         )
-        part = stage(
+        moved = stage(
             part.join(moves, ["repo", "community"], "left").select("repo", "node", F.coalesce("target", "community").alias("community")),
             "communities",
         )
+        unstage(part)
+        part = moved
         mx = moves.select("repo", F.col("community").alias("x"), F.col("target").alias("tx"))
         my = moves.select("repo", F.col("community").alias("y"), F.col("target").alias("ty"))
-        between = stage(
+        merged = stage(
             between.join(mx, ["repo", "x"], "left").join(my, ["repo", "y"], "left")
             .groupBy("repo", F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y"))
             .agg(F.sum("w").alias("w")),
             "between",
         )
+        unstage(between, best, moves)
+        between = merged
     return part.select("repo", "node", "community")
 
 

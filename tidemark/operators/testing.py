@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, text
-from tidemark.scale import salted_lookup, skewed_join, top_k
+from tidemark.scale import first_of, salted_lookup, skewed_join, top_k
 
 
 def survivor_density(mutation: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def has_sibling_test(sources: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("repo", "path", verdict.alias("has_tests"))
 
 
-def test_focus(ranked: DataFrame, coverage: DataFrame, heuristics: DataFrame) -> DataFrame:
+def test_focus(ranked: DataFrame, coverage: DataFrame, heuristics: DataFrame, k: int | None = fv.TOP_LIST) -> DataFrame:
     """Hotspot band, coverage and hollow kinds to a focus list (2.3.21, 2.6.8).
 
     Without any coverage rows a repository is unknown, never clean.
@@ -111,7 +111,7 @@ def test_focus(ranked: DataFrame, coverage: DataFrame, heuristics: DataFrame) ->
     focus = rows.withColumn("test_signal", signal).withColumn("hollow_kinds", F.coalesce(hollow, F.lit("")))
     focus = focus.where(F.col("test_signal") != "covered_clean").withColumn("suggested_action", action)
     focus = focus.withColumn("band_order", band).withColumn("severity", severity)
-    return top_k(focus, ["repo"], [F.desc("band_order"), F.desc("severity"), F.asc("rank")], 10, rank="position")
+    return first_of(focus, ["repo"], [F.desc("band_order"), F.desc("severity"), F.asc("rank")], k, "listed", rank="position")
 
 
 def internal_assertions(lines: DataFrame) -> DataFrame:

@@ -310,21 +310,24 @@ def provenance_token_join(t: Tables):
     return records.token_check(rec, issued)
 
 
-KILL = "SELECT l_orderkey AS contract, l_linenumber AS id, CASE WHEN l_tax > 0.005 THEN l_returnflag = 'R' END AS passed FROM lineitem WHERE l_discount > 0.005"
+# results without a discount carry an id that no criterion has; criteria of large amounts one that no result has
+RESULT_ID = "CASE WHEN l_discount <= 0.005 THEN l_linenumber + 1000 ELSE l_linenumber END"
+CRITERION_ID = "CASE WHEN l_quantity >= 45 THEN l_linenumber + 2000 ELSE l_linenumber END"
+KILL = f"SELECT l_orderkey AS contract, {RESULT_ID} AS id, CASE WHEN l_tax > 0.005 THEN l_returnflag = 'R' END AS passed FROM lineitem"
 
 
 def kill_results(t: Tables):
-    return t.lineitem.where("l_discount > 0.005").selectExpr("l_orderkey AS contract", "l_linenumber AS id", "CASE WHEN l_tax > 0.005 THEN l_returnflag = 'R' END AS passed")
+    return t.lineitem.selectExpr("l_orderkey AS contract", f"{RESULT_ID} AS id", "CASE WHEN l_tax > 0.005 THEN l_returnflag = 'R' END AS passed")
 
 
 @query(
     "criterion_result_join",
-    f"""WITH k AS ({KILL}), c AS (SELECT DISTINCT l_orderkey AS contract, l_linenumber AS id FROM lineitem WHERE l_quantity < 45), g AS (SELECT contract, id, count(*) AS n, count(*) FILTER (passed IS NULL) AS unclear, bool_and(passed) AS passed FROM k GROUP BY ALL)
+    f"""WITH k AS ({KILL}), c AS (SELECT DISTINCT l_orderkey AS contract, {CRITERION_ID} AS id FROM lineitem), g AS (SELECT contract, id, count(*) AS n, count(*) FILTER (passed IS NULL) AS unclear, bool_and(passed) AS passed FROM k GROUP BY ALL)
     SELECT contract, id, reason FROM (SELECT coalesce(c.contract, g.contract) AS contract, coalesce(c.id, g.id) AS id, CASE WHEN c.id IS NULL THEN 'unknown' WHEN g.id IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN unclear > 0 THEN 'not_boolean' WHEN passed THEN 'vacuous' END AS reason
         FROM c FULL JOIN g ON g.contract = c.contract AND g.id = c.id) WHERE reason IS NOT NULL""",
 )
 def criterion_result_join(t: Tables):
-    criteria = t.lineitem.where("l_quantity < 45").selectExpr("l_orderkey AS contract", "l_linenumber AS id")
+    criteria = t.lineitem.selectExpr("l_orderkey AS contract", f"{CRITERION_ID} AS id")
     return records.criterion_results(criteria, kill_results(t))
 
 

@@ -41,12 +41,10 @@ def rank_sql(rounds: int) -> str:
     rank AS (SELECT repo, node, pr AS pagerank FROM pr WHERE i = {rounds})"""
 
 
-# rankings that only need an order stop earlier, in both engines
-ROUNDS = 20
-RANK = rank_sql(ROUNDS)
+RANK = rank_sql(100)
 
 
-@query("pagerank", f"WITH RECURSIVE {rank_sql(100)} SELECT repo, node, round(pagerank, 7) AS pagerank FROM rank")
+@query("pagerank", f"WITH RECURSIVE {RANK} SELECT repo, node, round(pagerank, 7) AS pagerank FROM rank")
 def pagerank(t: Tables):
     return graph.pagerank(*staged_graph(t)).select("repo", "node", F.round("pagerank", 7).alias("pagerank"))
 
@@ -58,7 +56,7 @@ def pagerank(t: Tables):
 )
 def top_hubs(t: Tables):
     n, e = staged_graph(t)
-    return graph.top_hubs(graph.pagerank(n, e, iterations=ROUNDS), graph.degree(n, e)).withColumnRenamed("rank", "position")
+    return graph.top_hubs(graph.pagerank(n, e), graph.degree(n, e)).withColumnRenamed("rank", "position")
 
 
 # entry pages: the root README and the index page with the highest rank
@@ -66,7 +64,7 @@ ENTRY = """entry AS (SELECT DISTINCT repo, 'README.md' AS node FROM doc_nodes UN
 
 
 def entries_of(n, e):
-    ranks = graph.pagerank(n, e, iterations=ROUNDS).withColumn("pagerank", F.round("pagerank", 12))
+    ranks = graph.pagerank(n, e).withColumn("pagerank", F.round("pagerank", 12))
     return stage(graph.entry_points(n, ranks), "entries")
 
 
@@ -170,22 +168,14 @@ def curated_subgraph(t: Tables):
     return graph.curated_subgraph(nodes(t), t.doc_graph_edges, raw_dirs(t))[1]
 
 
-# half of the links, so that there are islands
-SPARSE = "sparse AS (SELECT repo, src, dst FROM doc_graph_edges WHERE length(src) > 9 AND length(src) + length(dst) > 18 AND src > dst)"
-
-
-def sparse(t: Tables):
-    return t.doc_graph_edges.where("length(src) > 9 AND length(src) + length(dst) > 18 AND src > dst")
-
-
 @query(
     "weak_components",
-    f"""WITH RECURSIVE {SPARSE}, und AS (SELECT repo, src AS a, dst AS b FROM sparse UNION SELECT repo, dst, src FROM sparse),
+    """WITH RECURSIVE und AS (SELECT repo, src AS a, dst AS b FROM doc_graph_edges UNION SELECT repo, dst, src FROM doc_graph_edges),
     lab AS (SELECT repo, doc AS node, doc AS label FROM doc_nodes UNION SELECT l.repo, u.b, l.label FROM lab l JOIN und u ON u.repo = l.repo AND u.a = l.node AND l.label < u.b)
     SELECT repo, node, min(label) AS component FROM (SELECT * FROM lab UNION ALL SELECT repo, node, node FROM lab) GROUP BY repo, node""",
 )
 def weak_components(t: Tables):
-    return graph.weak_components(nodes(t), sparse(t))
+    return graph.weak_components(nodes(t), t.doc_graph_edges)
 
 
 @query(
@@ -195,7 +185,7 @@ def weak_components(t: Tables):
 )
 def hub_staleness_join(t: Tables):
     n, e = staged_graph(t)
-    hubs = graph.pagerank(n, e, iterations=ROUNDS).select("repo", F.col("node").alias("doc"), F.round("pagerank", 4).alias("pagerank"))
+    hubs = graph.pagerank(n, e).select("repo", F.col("node").alias("doc"), F.round("pagerank", 4).alias("pagerank"))
     out = documents.hub_staleness(hubs, staleness_of(t))
     return out.select("repo", "doc", "pagerank", r6("ratio"), "confidence", F.round("priority", 4).alias("priority"))
 

@@ -132,7 +132,7 @@ def commit_count_decile(t: Tables):
     "candidate_dirs",
     """WITH d AS (SELECT DISTINCT repo, sha, unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir FROM commit_files),
        n AS (SELECT repo, dir, count(*) AS n_commits FROM d GROUP BY repo, dir HAVING count(*) >= 5)
-       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_commits DESC, dir) AS rank FROM n) WHERE rank <= 50""",
+       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_commits DESC, dir) AS rank, count(*) OVER (PARTITION BY repo) AS eligible FROM n) WHERE rank <= 50""",
 )
 def candidate_dirs(t: Tables):
     return churn.candidate_dirs(t.commit_files)
@@ -349,7 +349,7 @@ def keyhole_budget_rollup(t: Tables):
 
 @query(
     "budget_subtrees",
-    """SELECT repo, subtree, CAST(est_tokens AS BIGINT) AS est_tokens, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY est_tokens DESC, subtree) AS rank FROM
+    """SELECT repo, subtree, CAST(est_tokens AS BIGINT) AS est_tokens, rank, over_budget FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY est_tokens DESC, subtree) AS rank, count(*) OVER (PARTITION BY repo) AS over_budget FROM
        (SELECT repo, split_part(path, '/', 1) AS subtree, sum(est_tokens) AS est_tokens FROM files_p GROUP BY ALL HAVING sum(est_tokens) > 200000)) WHERE rank <= 10""",
 )
 def budget_subtrees(t: Tables):

@@ -169,9 +169,18 @@ def is_concrete_credential(t: Tables):
     return t.events.select("event_id", "event_type", both.alias("concrete"))
 
 
-@query("redact", "SELECT doc_id, CASE WHEN length(trim(left(text, 6))) <= 4 THEN '***' ELSE left(trim(left(text, 6)), 4) || '***' END AS redacted FROM documents")
+# tokens and the long digit groups that documents spell out
+SECRET = r'token = "([0-9a-f]+)"|\b([0-9]{13,16})\b'
+
+
+@query(
+    "redact",
+    f"""SELECT doc_id, found, CASE WHEN length(trim(found)) <= 4 THEN '***' ELSE left(trim(found), 4) || '***' END AS redacted
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{SECRET}')) AS found FROM documents)""",
+)
 def redact(t: Tables):
-    return t.documents.select("doc_id", text.redact(F.left("text", F.lit(6)), 4).alias("redacted"))
+    found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(SECRET), F.lit(0))).alias("found"))
+    return found.select("doc_id", "found", text.redact(F.col("found"), 4).alias("redacted"))
 
 
 @query("est_tokens", "SELECT doc_id, greatest(1, (length(text) + 3) // 4) AS tokens FROM documents")
@@ -511,12 +520,12 @@ def has_sibling_test(t: Tables):
 
 @query(
     "co_commit_semi_join",
-    "SELECT DISTINCT x.repo, x.test_file, x.source_file FROM test_files x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file WHERE n.added % 5 = 0",
+    "SELECT DISTINCT x.repo, x.test_file, x.source_file FROM test_files x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file",
 )
 def co_commit_semi_join(t: Tables):
     touched = t.numstat.select("repo", "sha", "path")
     pairs = t.test_files.select("repo", F.col("source_file").alias("path"), "test_file")
-    test_rows = t.numstat.where("added % 5 = 0").join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
+    test_rows = t.numstat.join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
     both = touched.unionByName(test_rows).distinct()
     return coupling.co_commit_pairs(t.test_files.select("repo", "test_file", "source_file"), both)
 
@@ -848,11 +857,11 @@ def untrusted_hotspot(t: Tables):
 
 @query(
     "self_referential_tests",
-    "SELECT DISTINCT x.repo, x.source_file AS path FROM (SELECT repo, source_file, arg_min(test_file, rk) AS test_file FROM test_files GROUP BY repo, source_file) x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file WHERE n.added % 5 = 0",
+    "SELECT DISTINCT x.repo, x.source_file AS path FROM (SELECT repo, source_file, arg_min(test_file, rk) AS test_file FROM test_files GROUP BY repo, source_file) x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file",
 )
 def self_referential_tests(t: Tables):
     pairs = t.test_files.select("repo", F.col("source_file").alias("path"), "test_file")
-    touched = t.numstat.where("added % 5 = 0").join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
+    touched = t.numstat.join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
     history = stage(t.numstat.select("repo", "sha", "path").unionByName(touched).distinct(), "touched")
     mapped = testing.colocated_tests(t.files_p, sources_and_tests(t))
     return coupling.co_commit_pairs(mapped, history).select("repo", F.col("source_file").alias("path")).distinct()

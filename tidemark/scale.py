@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.staging import stage
+
 LOOKUP_COPIES = 16
 HOT_ROWS = 1_000_000
 
@@ -136,11 +138,36 @@ def carry_forward(
     )
 
 
+def positions(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """Position of each row of a key in the order of a column, from 1.
+
+    Rows are dealt out by ranges of key and order, so the rows of a hot key
+    lie in many partitions whatever their values look like; a partition counts its
+    own, and sums over the partitions before it complete the positions.
+    """
+    dealt = stage(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
+    return dealt.withColumn("_row", inside).join(offsets, [key, "_part"]).withColumn(out, F.col("_row") + F.col("_before")).drop("_row", "_before", "_part")
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Histogram ``(keys, value, n)``: the pre-aggregate for ranks and percentiles."""
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, total: str, rank: str = "rank") -> DataFrame:
+    """``top_k``, or all rows ranked with None; ``total`` names a column with the number of rows before the cut."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
+    if k is None:
+        ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        ranked = top_k(df, keys, order, k, rank)
+    return salted_lookup(ranked, counts, keys)
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key under a total order.
 
