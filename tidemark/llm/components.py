@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.staging import staged_path
+from tidemark.staging import delete_staged, staged_path
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,12 +81,6 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(forest[0]), pa.array(forest[1])], names=["a", "b"])
 
 
-def delete_staged(spark: SparkSession, path: str) -> None:
-    """Remove a table this package has written."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node that stands in a link; ``component`` is its smallest node.
 

@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         for batch in batches:
             for t, y in zip(batch.column("_text"), batch.column("_label"), strict=True):
                 seen[y.as_py()].update(features(WORDS.findall(t.as_py().lower())))
-                if len(seen[0]) + len(seen[1]) > 400_000:
+                if len(seen[0]) + len(seen[1]) > 150_000:
                     yield out()
                     seen[0].clear()
                     seen[1].clear()
