@@ -202,7 +202,7 @@ def score(text: str, up: float, down: float, linked: float, tag: str) -> float:
     length = min(2.0, math.log1p(len(text)) / 3) - 1.2
     ended = 0.5 if text[-1] in ".!?…:;\"'”»" else -0.2
     heading = 0.8 if tag in ("h1", "h2", "h3") else 0.0
-    item = -0.4 if tag in ("li", "td", "th") else 0.0
+    item = -0.4 if tag in ("li", "td", "th") else 0.6 if tag in ("p", "pre", "blockquote") else 0.0
     return up + down + length + ended + heading + item - 2.5 * linked
 
 
