@@ -1,5 +1,6 @@
 import pytest
 
+from tidemark import staging
 from tidemark.operators import graph, structure
 
 
@@ -67,6 +68,39 @@ def test_breakup_needs_clear_clusters(spark, rows):
     assert clusters.count() == 8
 
 
+def test_imports_of_every_form(spark, rows):
+    files = ["src/pkg/__init__.py", "src/pkg/a.py", "src/pkg/b.py", "src/pkg/sub/__init__.py", "src/pkg/sub/m.py", "lone.py", "src/tool.py", "top/__init__.py", "src/pkg/loose/x.py"]
+    f = spark.createDataFrame([("r", p) for p in files], "repo string, path string")
+    modules = structure.python_modules(f)
+    assert rows(modules, "module", "is_package") == [("pkg", True), ("pkg.a", False), ("pkg.b", False), ("pkg.sub", True), ("pkg.sub.m", False), ("top", True)]
+    forms = {
+        "lone.py": ["import pkg.a"],
+        "src/pkg/__init__.py": ["from . import a"],
+        "src/pkg/a.py": ["import pkg.b as q; import pkg.sub.m", "from pkg import (  # several", "    sub,", "    nothing)", "sub = 1"],
+        "src/pkg/b.py": ["import pkg.a, pkg.sub", "import os, pkg.missing"],
+        "src/pkg/sub/m.py": ["from .. import a, b as c", "from . import nothing", "from ..b import thing", "from pkg.sub import *"],
+        "top/__init__.py": ["from pkg import a, b", "x = 'from pkg import sub'"],
+    }
+    lines = spark.createDataFrame([("r", p, i, x) for p, own in forms.items() for i, x in enumerate(own)], "repo string, path string, line_no long, text string")
+    assert rows(structure.import_edges(lines, modules), "src", "dst") == [
+        ("pkg", "pkg.a"), ("pkg.a", "pkg"), ("pkg.a", "pkg.b"), ("pkg.a", "pkg.sub"), ("pkg.a", "pkg.sub.m"), ("pkg.b", "pkg.a"), ("pkg.b", "pkg.sub"),
+        ("pkg.sub.m", "pkg.a"), ("pkg.sub.m", "pkg.b"), ("pkg.sub.m", "pkg.sub"), ("top", "pkg.a"), ("top", "pkg.b"),
+    ]
+
+
+def test_loops_leave_a_fixed_number_of_tables(spark, tmp_path, monkeypatch):
+    n, e = net(spark, [f"n{i:03d}" for i in range(40)], [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(39)])
+    runs = [
+        (lambda: graph.weak_components(n, e), 2), (lambda: graph.distances(n, e, n.limit(1)), 10),
+        (lambda: graph.strong_components(e), 1), (lambda: graph.pagerank(n, e), 11),
+    ]
+    for k, (run, most) in enumerate(runs):
+        folder = tmp_path / str(k)
+        monkeypatch.setattr(staging, "staging_root", lambda _, folder=folder: str(folder))
+        run().collect()
+        assert len(list(folder.iterdir())) <= most
+
+
 def test_reach_of_a_ring_tree(spark, rows):
     n, e = net(spark, ["README.md", "a", "b", "c", "d", "e"], [("README.md", "a"), ("a", "b"), ("d", "e"), ("e", "d")])
     roots = graph.entry_points(n, n.withColumn("pagerank", n["node"].isNotNull().cast("double")))

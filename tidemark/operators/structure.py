@@ -8,13 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import paths
 from tidemark.operators import graph
-from tidemark.scale import skewed_join, top_k
-
-
-def module_name(path):
-    """Dotted module of a Python path; a package is its directory."""
-    dotted = F.replace(F.regexp_replace(path, r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))
-    return dotted
+from tidemark.scale import carry_forward, skewed_join, top_k
 
 
 def module_surface(lines: DataFrame) -> DataFrame:
@@ -28,32 +22,91 @@ def module_surface(lines: DataFrame) -> DataFrame:
     )
 
 
+def python_modules(files: DataFrame) -> DataFrame:
+    """``repo, path, module, is_package`` of the Python files inside packages, wherever those lie.
+
+    A directory with an ``__init__.py`` is a package; a name starts at the
+    outermost package of an unbroken chain, so ``src/pkg/m.py`` is ``pkg.m``
+    when ``src`` is none. Files outside packages have no module.
+    """
+    python = files.where(F.endswith("path", F.lit(".py"))).select("repo", "path").distinct()
+    where = python.withColumn("dir", paths.parent(F.col("path")))
+    packages = where.where(paths.basename(F.col("path")) == "__init__.py").select("repo", "dir", F.lit(True).alias("is_pkg"))
+    dirs = where.where("dir <> ''").select("repo", "dir").distinct()
+    chain = dirs.select("repo", F.col("dir").alias("leaf"), F.posexplode(F.concat(paths.ancestors(F.col("dir")), F.array("dir"))).alias("depth", "dir"))
+    broken = (
+        skewed_join(chain.where("dir <> ''"), packages, ["repo", "dir"], "left")
+        .groupBy("repo", F.col("leaf").alias("dir"))
+        .agg(F.max(F.when(F.col("is_pkg").isNull(), F.size(F.split("dir", "/")))).alias("outside"), F.bool_or((F.col("dir") == F.col("leaf")) & F.col("is_pkg")).alias("inside"))
+    )
+    named = skewed_join(where, broken.where("inside"), ["repo", "dir"])
+    parts = F.split(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/")
+    module = F.array_join(F.slice(parts, F.coalesce("outside", F.lit(0)) + 1, F.size(parts)), ".")
+    return named.select("repo", "path", module.alias("module"), (paths.basename(F.col("path")) == "__init__.py").alias("is_package"))
+
+
+OPENS = r"^\s*from\s+\S+\s+import\s*\([^)]*$"
+
+
+def import_statements(lines: DataFrame, chunk_lines: int = 10_000) -> DataFrame:
+    """``repo, path, line_no, statement``: one import statement per row.
+
+    Comments go, ``;`` parts statements, and each line inside parentheses that an
+    import opened becomes a statement with that import's head. Long files are
+    carried chunk by chunk.
+    """
+    code = lines.select("repo", "path", "line_no", F.regexp_replace("text", r"\s*#.*$", "").alias("text"))
+    plain = code.where(F.col("text").rlike(r"(^|;)\s*(import|from)\s"))
+    single = plain.where(~F.col("text").rlike(OPENS)).select(
+        "repo", "path", "line_no", F.explode(F.split(F.translate("text", "()", ""), ";")).alias("statement")
+    )
+    opened = skewed_join(code, code.where(F.col("text").rlike(OPENS)).select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    head = F.regexp_extract("text", r"^\s*(from\s+\S+\s+import)\s*\(", 1)
+    # an event before a line opens a list, one after it closes the list
+    events = opened.select(
+        "*", F.explode(F.array(
+            F.struct((F.col("line_no") * 2).alias("at"), F.when(F.col("text").rlike(OPENS), head).alias("mark"), F.lit(True).alias("is_line")),
+            F.struct((F.col("line_no") * 2 + 1).alias("at"), F.when(F.contains("text", F.lit(")")), F.lit("")).alias("mark"), F.lit(False).alias("is_line")),
+        )).alias("e")
+    ).select("repo", "path", "line_no", "text", "e.*")
+    carried = carry_forward(events.withColumn("chunk", F.floor(F.col("at") / (2 * chunk_lines))), ["repo", "path"], "chunk", ["at"], "mark", "head")
+    names = F.translate(F.regexp_replace("text", r"^\s*from\s+\S+\s+import\s*\(", ""), "()", "")
+    inside = carried.where("is_line AND head <> ''").select("repo", "path", "line_no", F.concat_ws(" ", "head", names).alias("statement"))
+    return single.unionByName(inside).where(F.col("statement").rlike(r"^\s*(import|from)\s"))
+
+
 def import_edges(lines: DataFrame, modules: DataFrame) -> DataFrame:
     """Imports between known modules (2.9.2).
 
-    ``lines(repo, path, text)``; ``modules(repo, module)``. ``from a import b``
+    ``lines(repo, path, line_no, text)``; ``modules`` as ``python_modules`` makes
+    them. Every name of a statement counts, by its real name. ``from a import b``
     is an import of ``a.b`` when that is a module, else of ``a``. Relative
-    imports start at the importer's package. Only single-line imports are seen.
+    imports start at the importer's package, which is the importer itself if it is one.
     """
-    importer = module_name(F.col("path"))
-    package = F.regexp_replace(importer, r"(^|\.)[^.]+$", "")
-    plain = F.regexp_extract("text", r"^\s*import\s+([\w.]+)", 1)
-    source = F.regexp_extract("text", r"^\s*from\s+(\.*[\w.]*)\s+import\s+(\w+)", 1)
-    name = F.regexp_extract("text", r"^\s*from\s+(\.*[\w.]*)\s+import\s+(\w+)", 2)
+    importers = modules.select("repo", "path", F.col("module").alias("src"), "is_package")
+    rows = skewed_join(import_statements(lines), importers, ["repo", "path"])
+    statement = F.trim("statement")
+    source = F.regexp_extract(statement, r"^from\s+(\.*[\w.]*)\s+import\b", 1)
+    listed = F.regexp_replace(statement, r"^(from\s+\.*[\w.]*\s+import|import)\b", "")
+    names = F.filter(
+        F.transform(F.split(listed, ","), lambda x: F.regexp_extract(x, r"^\s*([\w.*]+)", 1)), lambda x: x != ""
+    )
     dots = F.length(F.regexp_extract(source, r"^(\.*)", 1))
     tail = F.regexp_replace(source, r"^\.+", "")
-    parts = F.split(package, r"\.")
-    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - dots + 1, F.lit(0))), ".")
+    parts = F.split("src", r"\.")
+    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - dots + F.when(F.col("is_package"), 1).otherwise(0), F.lit(0))), ".")
     absolute = F.when(dots == 0, tail).otherwise(F.array_join(F.filter(F.array(base, tail), lambda x: x != ""), "."))
-    wanted = F.when(plain != "", F.array(plain)).otherwise(F.array(F.concat_ws(".", absolute, name), absolute))
-    tries = (
-        lines.where(F.col("text").rlike(r"^\s*(import|from)\s"))
-        .select("repo", importer.alias("src"), F.trim("text").alias("statement"), F.posexplode(wanted).alias("rank", "dst"))
+    each = rows.select(
+        "repo", "src", "path", "line_no", F.startswith(statement, F.lit("from")).alias("is_from"), absolute.alias("absolute"), statement.alias("statement"),
+        F.explode(F.array_distinct(names)).alias("name"),
     )
+    joined = F.array_join(F.filter(F.array("absolute", F.when(F.col("name") != "*", F.col("name"))), lambda x: x.isNotNull() & (x != "")), ".")
+    wanted = F.when(F.col("is_from"), F.array(joined, "absolute")).otherwise(F.array("name"))
+    tries = each.select("*", F.posexplode(wanted).alias("rank", "dst")).where("dst <> ''")
     known = modules.select("repo", F.col("module").alias("dst")).distinct()
     hit = skewed_join(tries, known, ["repo", "dst"])
-    # both readings of a statement are tried; the more precise one wins
-    best = hit.groupBy("repo", "src", "statement").agg(F.min_by("dst", "rank").alias("dst"))
+    # both readings of a name are tried; the more precise one wins
+    best = hit.groupBy("repo", "src", "path", "line_no", "statement", "name").agg(F.min_by("dst", "rank").alias("dst"))
     return best.where(F.col("src") != F.col("dst")).select("repo", "src", "dst").distinct()
 
 

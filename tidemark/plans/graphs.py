@@ -201,8 +201,11 @@ def module_surface(t: Tables):
     return structure.module_surface(t.file_lines)
 
 
-PY = """py AS (SELECT DISTINCT repo, brand || '.p' || file_id AS module FROM line_facts WHERE ends_with(path, '.py') UNION SELECT DISTINCT repo, brand FROM line_facts),
-    imp AS (SELECT f.repo, f.brand || '.p' || f.file_id AS src, f.brand || '.p' || f.sk AS full, CASE WHEN f.rf <> 'A' THEN f.brand END AS pkg FROM line_facts f WHERE f.ln = 6 AND ends_with(f.path, '.py'))"""
+PY = """py AS (SELECT DISTINCT repo, brand || '.p' || file_id AS module FROM line_facts WHERE ends_with(path, '.py') UNION SELECT DISTINCT repo, brand FROM line_facts WHERE ends_with(path, '.py')),
+    imp AS (SELECT repo, brand || '.p' || file_id AS src, brand || '.p' || n AS full, pkg FROM (
+        SELECT repo, brand, file_id, sk AS n, brand AS pkg FROM py_forms WHERE form IN (0, 2, 4) UNION ALL SELECT repo, brand, file_id, q, brand FROM py_forms WHERE form IN (0, 4)
+        UNION ALL SELECT repo, brand, file_id, sk, NULL FROM py_forms WHERE form IN (1, 3) UNION ALL SELECT repo, brand, file_id, q, NULL FROM py_forms WHERE form IN (1, 3))
+        UNION ALL SELECT repo, brand, brand || '.p' || min(file_id), NULL FROM line_facts WHERE ends_with(path, '.py') GROUP BY repo, brand)"""
 
 
 @query(
@@ -211,10 +214,12 @@ PY = """py AS (SELECT DISTINCT repo, brand || '.p' || file_id AS module FROM lin
         WHERE coalesce(p.module, q.module) IS NOT NULL AND coalesce(p.module, q.module) <> i.src""",
 )
 def import_edge_build(t: Tables):
-    lines = t.file_lines.where("path LIKE '%.py'").withColumn("path", F.regexp_replace("path", "^src/", ""))
-    packages = t.files_p.select("repo", F.col("brand").alias("module"))
-    modules = lines.select("repo", structure.module_name(F.col("path")).alias("module")).unionByName(packages).distinct()
-    return structure.import_edges(lines, modules)
+    return structure.import_edges(t.py_lines, structure.python_modules(t.py_files))
+
+
+@query("python_modules", f"WITH {PY} SELECT repo, module, NOT contains(module, '.') AS is_package FROM py")
+def python_modules(t: Tables):
+    return structure.python_modules(t.py_files).select("repo", "module", "is_package")
 
 
 FOOT = """foot AS (SELECT m.repo, m.module, m.size, CAST(coalesce((SELECT sum(d.surface) FROM import_edges e JOIN modules d ON d.repo = e.repo AND d.module = e.dst WHERE e.repo = m.repo AND e.src = m.module), 0) AS BIGINT) AS dep_surface,

@@ -173,6 +173,21 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         WHEN ln = 6 AND rf = 'A' THEN concat('import ', brand, '.p', sk, ' as helper')
         WHEN ln = 6 THEN concat('from . import p', sk)
         WHEN rf = 'R' THEN '' ELSE concat('y = ', q) END AS text FROM {line_facts}""",
+    # import lines of every form, spread over all Python files, and the packages' own files
+    "py_forms": "SELECT repo, path, brand, file_id, line_no * 10 AS line_no, sk, q, (sk + q) % 6 AS form FROM {line_facts} WHERE ln = 6 AND path LIKE '%.py'",
+    "py_lines": """SELECT repo, path, line_no, CASE form
+        WHEN 0 THEN concat('from ', brand, ' import p', sk, ', p', q, ' as other  # two names')
+        WHEN 1 THEN concat('import ', brand, '.p', sk, ' as helper, ', brand, '.p', q)
+        WHEN 2 THEN concat('    from . import p', sk)
+        WHEN 3 THEN concat('from .p', sk, ' import thing; import ', brand, '.p', q)
+        WHEN 4 THEN concat('from ', brand, ' import (  # a list')
+        ELSE concat('from .. import p', sk) END AS text FROM {py_forms}
+        UNION ALL SELECT repo, path, line_no + 1, concat('    p', sk, ', # first') FROM {py_forms} WHERE form = 4
+        UNION ALL SELECT repo, path, line_no + 2, concat('    p', q, ' as x)') FROM {py_forms} WHERE form = 4
+        UNION ALL SELECT repo, path, line_no + 3, 'p1 = 2' FROM {py_forms} WHERE form = 4
+        UNION ALL SELECT repo, concat('src/', brand, '/__init__.py'), CAST(1 AS BIGINT), concat('from . import p', min(file_id)) FROM {line_facts} WHERE path LIKE '%.py' GROUP BY repo, brand""",
+    "py_files": """SELECT DISTINCT repo, path FROM {line_facts} WHERE path LIKE '%.py'
+        UNION SELECT DISTINCT repo, concat('src/', brand, '/__init__.py') FROM {line_facts} WHERE path LIKE '%.py'""",
     "blame_lines": "SELECT repo, path, line_no, sha, author_ts FROM {line_facts}",
     # --- texts -----------------------------------------------------------
     "docs": "SELECT concat('docs/', source, '/d', doc_id, '.md') AS path, source AS repo, doc_id, lang, text FROM {documents}",
