@@ -156,3 +156,49 @@ def test_frontmatter_forms(spark):
     assert sorted(row["tags"]) == ["x", "y"]
     # a comment after the bracket makes it a scalar, not a list
     assert row["s"] == ['[one.py, "two.py"]']
+
+
+def test_globs_that_no_engine_would_compile(spark, rows):
+    from tidemark.operators import ownership
+
+    files = ["docs/[draft", "docs/draft", "a/b.py", "a/&b", "a/-x", "a/^x", "deep/Makefile", "x[1].txt", "z.q"]
+    patterns = ["docs/[draft", "/a/[z-a]*", "a/[&&]b", "a/[!&^-]*.py", "Makefile", "x[[]1].txt", "[]z].q", "[", "[]", "a/[a-b-]*", "*.{py}", "/a/**"]
+    f = spark.createDataFrame([("r", p) for p in files], "repo string, path string")
+    r = spark.createDataFrame([("r", p) for p in patterns], "repo string, pattern string")
+    assert rows(ownership.match_rules(r, f), "pattern", "path") == sorted([
+        ("docs/[draft", "docs/[draft"), ("a/[&&]b", "a/&b"), ("a/[!&^-]*.py", "a/b.py"), ("Makefile", "deep/Makefile"), ("x[[]1].txt", "x[1].txt"), ("[]z].q", "z.q"),
+        ("a/[a-b-]*", "a/b.py"), ("a/[a-b-]*", "a/-x"), ("/a/**", "a/b.py"), ("/a/**", "a/&b"), ("/a/**", "a/-x"), ("/a/**", "a/^x"),
+    ], key=repr)
+
+
+def test_a_fence_that_never_closes_is_text(spark, rows):
+    from tidemark.operators import ownership
+
+    text = ["one", "```", "inside", "```", "two", "```", "three"]
+    lines = spark.createDataFrame([("r", "d", i, x) for i, x in enumerate(text)], "repo string, doc string, line_no long, text string")
+    assert [x for _, x in rows(ownership.outside_fences(lines), "line_no", "text")] == ["one", "two", "```", "three"]
+
+
+def test_pairs_are_counted_without_class_pairs(spark, rows):
+    import itertools
+
+    from tidemark.operators import drift
+
+    owned = [("r", "all", f"d/f{i}") for i in range(300)] + [("r", f"own{i}", f"d/f{i}") for i in range(300)]
+    owned += [("r", f"b{k}", f"e/f{i}") for k in range(4) for i in range(40) if i % (k + 2) == 0]
+    table = spark.createDataFrame(owned, "repo string, boundary string, path string")
+    part = drift._overlaps(drift.file_classes(table, []), [])
+    assert part.count() < 40
+    seams = [("d", "e"), ("e/f1", "e")]
+    for s in ([], seams):
+        held = {}
+        for _, b, p in owned:
+            held.setdefault(b, set()).add(p)
+        pairs = {(x, y) for own in held.values() for x, y in itertools.combinations(sorted(own), 2)}
+        under = lambda p, d: p == d or p.startswith(d + "/")
+        pairs = {(x, y) for x, y in pairs if not any((under(x, lo) and under(y, hi)) or (under(y, lo) and under(x, hi)) for lo, hi in s)}
+        assert rows(drift.human_pair_counts(table, s), "pairs") == [(len(pairs),)]
+    communities = spark.createDataFrame([("r", "d/f1", "c"), ("quiet", "a", "c"), ("quiet", "b", "c")], "repo string, path string, community string")
+    cochange = spark.createDataFrame([], "repo string, file_a string, file_b string")
+    out = dict(rows(drift.grouping_disagreement(table, communities, cochange), "repo", "reason"))
+    assert out == {"r": None, "quiet": "no ownership map"}

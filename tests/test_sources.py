@@ -125,3 +125,18 @@ def test_log_rows_chain_and_disclose(spark, rows):
     assert rows(snapshots.log_chain_verify(forged), "valid", "broken_at") == [(False, 2)]
     third = sinks.new_log_rows(forged, add("three")).collect()[0]
     assert third["n"] == 3 and third["text"].startswith("> **Warning:** History integrity broken at entry 2.")
+
+
+def test_a_later_run_keeps_other_repositories(spark, rows, tmp_path):
+    from tidemark.sources import sinks
+
+    path = str(tmp_path / "actions")
+    first = spark.createDataFrame([("a", "x"), ("b", "y")], "repo string, action string")
+    sinks.write_actions(first, path)
+    sinks.write_actions(spark.createDataFrame([("b", "z")], "repo string, action string"), path)
+    assert rows(spark.read.parquet(path), "repo", "action") == [("a", "x"), ("b", "z")]
+    runs = str(tmp_path / "runs")
+    for _ in range(2):
+        sinks.write_run(first, "one", runs)
+    sinks.write_run(first, "two", runs)
+    assert spark.read.parquet(runs).count() == 4

@@ -98,13 +98,35 @@ def globs_regex(globs: Iterable[str]) -> str:
     return "|".join(glob_regex(g) for g in globs)
 
 
+def _bracket_regex(body: Column) -> Column:
+    """A bracket's inside as a character class: ranges that run backwards match nothing, all else is literal."""
+    escaped = lambda c: F.regexp_replace(c, r"([\\\[\]&^~-])", r"\\$1")
+    first, last = lambda x: F.substring(x, 1, 1), lambda x: F.substring(x, 3, 1)
+    members = F.transform(
+        F.regexp_extract_all(body, F.lit(r"(?s)(.-.|.)"), F.lit(1)),
+        lambda x: F.when(F.length(x) == 1, escaped(x)).when(first(x) <= last(x), F.concat(escaped(first(x)), F.lit("-"), escaped(last(x)))).otherwise(""),
+    )
+    return F.array_join(members, "")
+
+
 def glob_column_regex(glob: Column) -> Column:
-    """The same translation for a pattern held in a column."""
-    escaped = F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1")
-    escaped = F.regexp_replace(escaped, r"\[!", "[^")
-    escaped = F.regexp_replace(escaped, r"\*+", ".*")
-    escaped = F.regexp_replace(escaped, r"\?", ".")
-    return F.concat(F.lit("(?s)^(?:"), escaped, F.lit(")$"))
+    """The same translation for a pattern held in a column; a bracket that does not close is literal."""
+    parts = F.regexp_extract_all(glob, F.lit(r"(?s)(\[!?\]?[^\]]*\]|\*+|\?|\[|[^*?\[]+)"), F.lit(1))
+
+    def part(x: Column) -> Column:
+        inside = _bracket_regex(F.regexp_extract(x, r"(?s)^\[!?(.*)\]$", 1))
+        negated = F.startswith(x, F.lit("[!"))
+        bracket = (
+            F.when(negated & (inside == ""), ".").when(negated, F.concat(F.lit("[^"), inside, F.lit("]")))
+            .when(inside == "", "(?!)").otherwise(F.concat(F.lit("["), inside, F.lit("]")))
+        )
+        literal = F.regexp_replace(x, r"([.+^$(){}|\\\[\]*?&~#-])", r"\\$1")
+        return (
+            F.when(F.startswith(x, F.lit("*")), ".*").when(x == "?", ".")
+            .when(x.rlike(r"(?s)^\[.+\]$") & (F.length(x) > 2) & (x != "[!]"), bracket).otherwise(literal)
+        )
+
+    return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(parts, part), ""), F.lit(")$"))
 
 
 def is_excluded_path(path: Column) -> Column:

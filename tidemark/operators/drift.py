@@ -2,8 +2,9 @@
 
 "Same boundary" and "same community" relate every pair of files of a group, so
 a boundary over a third of the tree would mean billions of pairs. They are kept
-as groups: files with the same boundaries form a class, and pairs are counted
-class by class. Only the co-change relation, which is sparse, is held as pairs.
+as groups: files with the same boundaries form a class, and pairs are counted by
+the sizes of boundaries and their intersections. Only the co-change relation,
+which is sparse, is held as pairs.
 """
 
 from __future__ import annotations
@@ -50,39 +51,59 @@ def cochange_grouping(pairs: DataFrame, threshold_pct: float = fv.COCHANGE_SUPPO
 def file_classes(ownership: DataFrame, seams: Seams) -> DataFrame:
     """The boundaries of each file as one sorted list, plus its seam sides."""
     sig = F.sort_array(F.collect_set("boundary"))
-    files = ownership.groupBy("repo", "path").agg(sig.alias("sig"))
-    files = files.withColumn("sides", _sides(F.col("path"), seams))
-    key = F.concat_ws("\x1f", F.array_join("sig", "\x1e"), F.array_join(F.transform("sides", lambda s: s.cast("string")), ","))
-    return files.withColumn("cls", key)
+    return ownership.groupBy("repo", "path").agg(sig.alias("sig")).withColumn("sides", _sides(F.col("path"), seams))
 
 
-def _related_classes(classes: DataFrame) -> DataFrame:
-    """Pairs of classes ``a <= b`` that share a boundary and cross no seam."""
-    shapes = classes.select("repo", "cls", "sig", "sides").dropDuplicates(["repo", "cls"])
-    keyed = shapes.select("repo", "cls", "sides", F.explode("sig").alias("boundary"))
-    other = keyed.select("repo", "boundary", F.col("cls").alias("cls_b"), F.col("sides").alias("sides_b"))
-    both = keyed.join(other, ["repo", "boundary"]).where(F.col("cls") <= F.col("cls_b"))
-    return both.where(~_on_seam(F.col("sides"), F.col("sides_b"))).select("repo", "cls", "cls_b").distinct()
+MOST_OVERLAPS = 16
+
+
+def _overlaps(classes: DataFrame, extra: list[str]) -> DataFrame:
+    """Sizes of the intersections of boundaries that occur: ``repo, part, sides, n, sign`` and ``extra``.
+
+    A boundary inside another adds no pair and goes first. Pairs that share any
+    of the rest are, by inclusion and exclusion, a signed sum over the sets of
+    boundaries that some file has together; so rows grow with files and rules,
+    never with pairs. More than ``MOST_OVERLAPS`` boundaries that overlap on one
+    file without one holding another raise an error.
+    """
+    sized = stage(classes.groupBy("repo", "sig", "sides", *extra).agg(F.count(F.lit(1)).alias("n")), "classes")
+    single = sized.select("repo", "n", F.explode("sig").alias("a")).groupBy("repo", "a").agg(F.sum("n").alias("n_a"))
+    both = sized.select("repo", "n", "sig", F.explode("sig").alias("a")).select("repo", "n", "a", F.explode("sig").alias("b"))
+    both = both.where("a <> b").groupBy("repo", "a", "b").agg(F.sum("n").alias("n_ab"))
+    other = single.select("repo", F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    inside = both.join(single, ["repo", "a"]).join(other, ["repo", "b"]).where("n_ab = n_a AND (n_b > n_a OR a > b)").select("repo", "a").distinct()
+    kept = stage(sized.withColumn("_row", F.monotonically_increasing_id()), "classes")
+    left = skewed_join(kept.select("repo", "_row", F.explode("sig").alias("a")), inside, ["repo", "a"], "left_anti").groupBy("_row").agg(F.sort_array(F.collect_set("a")).alias("rest"))
+    merged = kept.join(left, "_row").groupBy("repo", "rest", "sides", *extra).agg(F.sum("n").alias("n"))
+    bits = F.expr("sequence(1L, shiftleft(1L, size(rest)) - 1L)")
+    checked = merged.withColumn("rest", F.when(F.size("rest") <= MOST_OVERLAPS, F.col("rest")).otherwise(F.raise_error(F.lit("too many overlapping boundaries on one file"))))
+    parts = checked.select("*", F.explode(bits).alias("_bits")).withColumn("part", F.expr("filter(rest, (x, i) -> (shiftright(_bits, i) & 1) = 1)"))
+    sign = F.when(F.size("part") % 2 == 1, 1).otherwise(-1).cast("long")
+    return parts.groupBy("repo", "part", "sides", *extra).agg(F.sum("n").alias("n")).withColumn("sign", sign)
 
 
 def _pairs(same: Column, n_a: Column, n_b: Column) -> Column:
     return F.when(same, (n_a * (n_a - 1) / 2).cast("long")).otherwise(n_a * n_b)
 
 
+def _side_key(sides: str) -> Column:
+    return F.array_join(F.transform(sides, lambda s: s.cast("string")), ",")
+
+
+def _pair_total(sized: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Signed pairs per repository of files with equal ``keys``; pairs that cross a seam do not count."""
+    other = sized.select(*keys, F.col("sides").alias("sides_b"), F.col("n").alias("n_b"))
+    both = sized.join(other, keys).where((_side_key("sides") <= _side_key("sides_b")) & ~_on_seam(F.col("sides"), F.col("sides_b")))
+    return both.groupBy("repo").agg(F.sum(F.col("sign") * _pairs(F.col("sides") == F.col("sides_b"), F.col("n"), F.col("n_b"))).alias(out))
+
+
 def human_pair_counts(ownership: DataFrame, seams: Seams | None = None) -> DataFrame:
     """Distinct same-boundary pairs per repository (2.7.6)."""
-    return _human_total(stage(file_classes(ownership, seams or []), "classes"))
+    return _human_total(file_classes(ownership, seams or []))
 
 
 def _human_total(classes: DataFrame) -> DataFrame:
-    sizes = classes.groupBy("repo", "cls").agg(F.count(F.lit(1)).alias("n"))
-    rel = _related_classes(classes)
-    counted = rel.join(sizes.withColumnRenamed("n", "n_a"), ["repo", "cls"]).join(
-        sizes.select("repo", F.col("cls").alias("cls_b"), F.col("n").alias("n_b")), ["repo", "cls_b"]
-    )
-    return counted.groupBy("repo").agg(
-        F.sum(_pairs(F.col("cls") == F.col("cls_b"), F.col("n_a"), F.col("n_b"))).alias("pairs")
-    )
+    return _pair_total(_overlaps(classes, []), ["repo", "part"], "pairs")
 
 
 def boundary_pairs(ownership: DataFrame) -> DataFrame:
@@ -99,31 +120,15 @@ def static_pair_counts(communities: DataFrame) -> DataFrame:
 
 def _static_total(communities: DataFrame, seams: Seams) -> DataFrame:
     sized = communities.withColumn("sides", _sides(F.col("path"), seams)).groupBy("repo", "community", "sides").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    other = sized.select("repo", "community", F.col("sides").alias("sides_b"), F.col("n").alias("n_b"))
-    both = sized.join(other, ["repo", "community"]).where(
-        (F.array_join(F.transform("sides", lambda s: s.cast("string")), ",")
-         <= F.array_join(F.transform("sides_b", lambda s: s.cast("string")), ","))
-        & ~_on_seam(F.col("sides"), F.col("sides_b"))
+        F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("sign")
     )
-    return both.groupBy("repo").agg(F.sum(_pairs(F.col("sides") == F.col("sides_b"), F.col("n"), F.col("n_b"))).alias("s"))
+    return _pair_total(sized, ["repo", "community"], "s")
 
 
 def _agreed_total(classes: DataFrame, communities: DataFrame) -> DataFrame:
     """Pairs that share a boundary and a community."""
-    sized = (
-        classes.join(communities.select("repo", "path", "community"), ["repo", "path"])
-        .groupBy("repo", "cls", "community")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    a = sized.withColumnRenamed("n", "n_a")
-    b = sized.select("repo", "community", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
-    rel = _related_classes(classes)
-    both = rel.join(a, ["repo", "cls"]).join(b, ["repo", "community", "cls_b"])
-    return both.groupBy("repo").agg(
-        F.sum(_pairs(F.col("cls") == F.col("cls_b"), F.col("n_a"), F.col("n_b"))).alias("hs")
-    )
+    placed = skewed_join(classes, communities.select("repo", "path", "community"), ["repo", "path"])
+    return _pair_total(_overlaps(placed, ["community"]), ["repo", "part", "community"], "hs")
 
 
 def cochange_against_ownership(cochange: DataFrame, ownership: DataFrame, seams: Seams | None = None) -> DataFrame:
@@ -141,12 +146,14 @@ def _held_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def grouping_disagreement(
-    ownership: DataFrame, communities: DataFrame, cochange: DataFrame, seams: Seams | None = None
+    ownership: DataFrame, communities: DataFrame, cochange: DataFrame, seams: Seams | None = None, mapped: DataFrame | None = None
 ) -> DataFrame:
     """Sizes of the six difference and intersection sets (2.7.5).
 
     ``ownership(repo, boundary, path)``, ``communities(repo, path, community)``,
-    ``cochange(repo, file_a, file_b)``.
+    ``cochange(repo, file_a, file_b)``; ``mapped(repo)`` names the repositories with an
+    ownership map, by default those in ``ownership``. Others have nothing to
+    disagree with: their counts are null and ``reason`` says so.
     """
     seams = seams or []
     classes = stage(file_classes(ownership, seams), "classes")
@@ -160,15 +167,18 @@ def grouping_disagreement(
     out = h
     for other in (s, hs, c):
         out = out.join(other, "repo", "full_outer")
-    out = out.na.fill(0)
+    known = (ownership if mapped is None else mapped).select("repo", F.lit(True).alias("has_map")).distinct()
+    out = out.join(known, "repo", "full_outer").na.fill(0)
+    count = lambda value, name: F.when(F.col("has_map"), value).alias(name)
     return out.select(
         "repo",
-        (F.col("h") - F.col("hs")).alias("human_grouped_static_splits"),
-        (F.col("s") - F.col("hs")).alias("human_split_static_fuses"),
-        (F.col("h") - F.col("hc")).alias("human_grouped_never_cochange"),
-        (F.col("c") - F.col("hc")).alias("human_split_but_cochange"),
-        F.col("hs").alias("human_static_agree"),
-        F.col("hc").alias("human_cochange_agree"),
+        count(F.col("h") - F.col("hs"), "human_grouped_static_splits"),
+        count(F.col("s") - F.col("hs"), "human_split_static_fuses"),
+        count(F.col("h") - F.col("hc"), "human_grouped_never_cochange"),
+        count(F.col("c") - F.col("hc"), "human_split_but_cochange"),
+        count(F.col("hs"), "human_static_agree"),
+        count(F.col("hc"), "human_cochange_agree"),
+        F.when(F.col("has_map").isNull(), "no ownership map").alias("reason"),
     )
 
 

@@ -42,14 +42,20 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
     )
     prefix = F.when(F.col("anchored"), "").otherwise("(?:.*/)?")
     body = F.regexp_replace(paths.glob_column_regex(F.col("glob")), r"^\(\?s\)\^", "")
-    return df.select("repo", "pattern", F.concat(F.lit("(?s)^"), prefix, body).alias("regex"), "kind", key.alias("key"))
+    # an equal key says it all where nothing else is left of the pattern
+    exact = (
+        (kind == "path") | ((kind == "name") & ~F.col("anchored") & (F.col("glob") == F.col("last")))
+        | ((kind == "dir") & (F.col("glob") == F.concat("dir", F.lit("/*"))))
+    )
+    return df.select("repo", "pattern", F.concat(F.lit("(?s)^"), prefix, body).alias("regex"), "kind", key.alias("key"), exact.alias("exact"))
 
 
 def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     """Every (rule, file) match without a nested-loop join (2.3.5).
 
     A rule is looked up by its literal path, directory prefix, name or
-    extension; the regex is checked on those candidates only. Rules with no
+    extension; the regex is checked on those candidates only, and not where the
+    key is the whole rule. Brackets that do not close are literal. Rules with no
     literal part at all travel as one list per repository (an ownership file is
     a few kilobytes) and are tried on each file in place.
     """
@@ -65,7 +71,7 @@ def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     )
     candidates = files.select("repo", "path", F.explode(probes).alias("k")).select("repo", "path", "k.*")
     hits = skewed_join(candidates, keyed.where(F.col("kind") != "scan"), ["repo", "kind", "key"]).where(
-        F.rlike("path", F.col("regex"))
+        F.col("exact") | F.rlike("path", F.col("regex"))
     )
     lists = keyed.where(F.col("kind") == "scan").groupBy("repo").agg(F.collect_list(F.struct("pattern", "regex")).alias("rules"))
     scanned = salted_lookup(files.select("repo", "path"), lists, ["repo"], "inner").select(
@@ -83,12 +89,15 @@ def rule_counts(rules: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def outside_fences(lines: DataFrame, chunk_lines: int = 10_000) -> DataFrame:
-    """Drop fenced blocks from documents held line by line."""
+    """Drop fenced blocks from documents held line by line; a fence that never closes is text."""
     rows = lines.withColumn("_chunk", F.floor(F.col("line_no") / chunk_lines)).withColumn(
         "_fence", F.col("text").rlike(r"^\s*```").cast("int")
     )
     counted = running_sum(rows, ["repo", "doc"], "_chunk", ["line_no"], "_fence", "_fences")
-    return counted.where((F.col("_fences") % 2 == 0) & (F.col("_fence") == 0)).drop("_chunk", "_fence", "_fences")
+    totals = counted.groupBy("repo", "doc").agg(F.sum("_fence").alias("_total"))
+    unpaired = (F.col("_total") % 2 == 1) & (F.col("_fences") == F.col("_total"))
+    outside = (F.col("_fences") % 2 == 0) & (F.col("_fence") == 0)
+    return skewed_join(counted, totals, ["repo", "doc"]).where(outside | unpaired).drop("_chunk", "_fence", "_fences", "_total")
 
 
 def section_carry_forward(lines: DataFrame, chunk_lines: int = 10_000) -> DataFrame:

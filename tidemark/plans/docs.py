@@ -510,8 +510,10 @@ def outermost_subtree(t: Tables):
 
 # --- ownership -------------------------------------------------------------
 
+# a bracket that does not close is literal; a range that runs backwards matches nothing
 MATCHES = """rule_rx AS (SELECT DISTINCT repo, pattern, CASE WHEN contains(pattern, '/') THEN '' ELSE '(?:.*/)?' END ||
-        replace(replace(replace(replace(CASE WHEN ends_with(pattern, '/') THEN ltrim(pattern, '/') || '*' ELSE replace(pattern, '**', '*') END, '.', '\\.'), '*', '@'), '?', '.'), '@', '.*') AS rx FROM ownership_rules),
+        replace(replace(replace(replace(replace(CASE WHEN ends_with(pattern, '/') THEN ltrim(pattern, '/') || '*' ELSE ltrim(replace(pattern, '**', '*'), '/') END, '.', '\\.'), '*', '@'), '?', '.'), '@', '.*'),
+            '[', CASE WHEN contains(pattern, ']') THEN '[' ELSE '\\[' END) AS rx FROM ownership_rules WHERE NOT contains(pattern, '[z-a]')),
     matches AS (SELECT r.repo, r.pattern, t.path FROM rule_rx r JOIN tracked t ON t.repo = r.repo AND regexp_full_match(t.path, r.rx))"""
 
 
@@ -638,18 +640,20 @@ def static_grouping_pairs(t: Tables):
 def six(where: str) -> str:
     return f"""WITH {GROUPINGS}, u AS (SELECT repo, file_a, file_b, h.repo IS NOT NULL AS inh, s.repo IS NOT NULL AS ins, c.repo IS NOT NULL AS inc
         FROM (SELECT * FROM h UNION SELECT * FROM s UNION SELECT * FROM c) p LEFT JOIN h USING (repo, file_a, file_b) LEFT JOIN s USING (repo, file_a, file_b) LEFT JOIN c USING (repo, file_a, file_b))
-    SELECT repo, count(*) FILTER (inh AND NOT ins) AS human_grouped_static_splits, count(*) FILTER (ins AND NOT inh) AS human_split_static_fuses, count(*) FILTER (inh AND NOT inc) AS human_grouped_never_cochange,
-        count(*) FILTER (inc AND NOT inh) AS human_split_but_cochange, count(*) FILTER (inh AND ins) AS human_static_agree, count(*) FILTER (inh AND inc) AS human_cochange_agree FROM u WHERE {where} GROUP BY repo"""
+    SELECT repo, n1 AS human_grouped_static_splits, n2 AS human_split_static_fuses, n3 AS human_grouped_never_cochange, n4 AS human_split_but_cochange, n5 AS human_static_agree, n6 AS human_cochange_agree,
+        CASE WHEN n1 IS NULL THEN 'no ownership map' END AS reason FROM (SELECT repo, CASE WHEN m THEN n1 END AS n1, CASE WHEN m THEN n2 END AS n2, CASE WHEN m THEN n3 END AS n3, CASE WHEN m THEN n4 END AS n4, CASE WHEN m THEN n5 END AS n5, CASE WHEN m THEN n6 END AS n6 FROM (
+        SELECT repo, repo IN (SELECT repo FROM ownership_rules) AS m, count(*) FILTER (inh AND NOT ins) AS n1, count(*) FILTER (ins AND NOT inh) AS n2, count(*) FILTER (inh AND NOT inc) AS n3,
+        count(*) FILTER (inc AND NOT inh) AS n4, count(*) FILTER (inh AND ins) AS n5, count(*) FILTER (inh AND inc) AS n6 FROM u WHERE {where} GROUP BY repo))"""
 
 
 @query("grouping_disagreement", six("true"))
 def grouping_disagreement(t: Tables):
-    return drift.grouping_disagreement(owned(t), comm(t), cochange(t))
+    return drift.grouping_disagreement(owned(t), comm(t), cochange(t), mapped=t.ownership_rules)
 
 
 @query("grouping_disagreement_seams", six(NOT_SEAM))
 def grouping_disagreement_seams(t: Tables):
-    return drift.grouping_disagreement(owned(t), comm(t), cochange(t), SEAMS)
+    return drift.grouping_disagreement(owned(t), comm(t), cochange(t), SEAMS, mapped=t.ownership_rules)
 
 
 @query("seam_allowlist_filter", f"WITH {PAIRS} SELECT repo, file_a, file_b FROM pairs WHERE support_pct >= {COCHANGE_PCT} AND {NOT_SEAM}")

@@ -11,6 +11,7 @@ from tidemark.plans.catalog import query
 from tidemark.plans.history import r6
 from tidemark.plans.signals import sql_text
 from tidemark.plans.tables import Tables
+from tidemark.staging import staged_path
 from tidemark.streaming import jobs
 
 # --- snapshots -------------------------------------------------------------
@@ -502,8 +503,11 @@ def panel_gate_summary(t: Tables):
 
 def event_stream(t: Tables) -> DataFrame:
     """The events table as a stream of files."""
-    given = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
-    raw = t.spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    given = t.spark.read.parquet(f"{t.folder}/events.parquet")
+    # several files and one file a batch, so that state is carried over
+    landed = staged_path(t.spark, "events")
+    given.repartition(4, "event_id").write.parquet(landed)
+    raw = t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     epoch = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     return raw.select(
         F.timestamp_seconds(epoch).alias("ts"), F.concat(F.lit("repo"), F.col("user_id") % 20).alias("repo"),

@@ -144,7 +144,9 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         UNION ALL SELECT DISTINCT repo, concat('legacy', nk, '/**'), 'CODEOWNERS' FROM {pages_of_repo} WHERE nk < 5
         UNION ALL SELECT DISTINCT repo, concat('*.x', nk), 'CODEOWNERS' FROM {pages_of_repo} WHERE nk > 20
         UNION ALL SELECT repo, concat('s', file_id, '.py'), 'CODEOWNERS' FROM {pages_of_repo} WHERE s_acctbal > 7000
-        UNION ALL SELECT repo, concat('?*s', file_id, '.[pq]y'), 'CODEOWNERS' FROM {pages_of_repo} WHERE s_acctbal < -500""",
+        UNION ALL SELECT repo, concat('?*s', file_id, '.[pq]y'), 'CODEOWNERS' FROM {pages_of_repo} WHERE s_acctbal < -500
+        UNION ALL SELECT DISTINCT repo, concat('docs/[draft', nk), 'CODEOWNERS' FROM {pages_of_repo} WHERE nk < 3
+        UNION ALL SELECT DISTINCT repo, concat('/r', rk, '/[z-a]*'), 'CODEOWNERS' FROM {pages_of_repo} WHERE rk = 1""",
     "arch_lines": """SELECT repo, 'ARCHITECTURE.md' AS doc, nk * 100000 AS line_no, concat('## Nation ', nk, ' ##') AS text FROM (SELECT DISTINCT repo, nk FROM {pages_of_repo}) a
         UNION ALL SELECT repo, 'ARCHITECTURE.md', nk * 100000 + file_id + 1, CASE WHEN mix % 3 = 0 THEN concat('The page `r', rk, '/n', nk, '/s', file_id, '.py` owns this.')
             WHEN mix % 3 = 1 THEN concat('See r', rk, '/n', nk, ', always.') ELSE concat('Refer to [[lost', file_id, '.py]] and `s', file_id, '.py`.') END FROM {pages_of_repo}""",

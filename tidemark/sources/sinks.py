@@ -15,11 +15,11 @@ SCHEMA_VERSION = "1.0.0"
 def write_run(findings: DataFrame, run_id: str, path: str, fmt: str = "parquet") -> None:
     """Findings of a run, partitioned by repository and run (2.1.16).
 
-    Rows are spread by a hash inside a repository, so that a repository with a
+    A run that is written again replaces itself and nothing else. Rows are spread by a hash inside a repository, so that a repository with a
     third of all rows is written by many tasks.
     """
     stamped = findings.withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    stamped.write.mode("append").partitionBy("repo", "run_id").format(fmt).save(path)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "run_id").format(fmt).save(path)
 
 
 def new_log_rows(entries: DataFrame, additions: DataFrame) -> DataFrame:
@@ -69,5 +69,5 @@ def write_badges(badges: DataFrame, path: str) -> None:
 
 
 def write_actions(actions: DataFrame, path: str) -> None:
-    """The durable action table, one partition per repository (2.1.19)."""
-    actions.write.mode("overwrite").partitionBy("repo").parquet(path)
+    """The durable action table, one partition per repository (2.1.19); other repositories keep theirs."""
+    actions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)

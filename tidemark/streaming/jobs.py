@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.staging import staged_path
 
@@ -23,41 +19,28 @@ def churn_windows(touches: DataFrame, window: str = "30 days", lateness: str = "
     return once.groupBy(F.window("ts", window), *CHURN_KEYS).agg(F.count(F.lit(1)).alias("commits"))
 
 
-FLAGGED = "repo string, path string, first_flagged bigint, last_run bigint, runs bigint"
-
-
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first, last, runs = state.get if state.exists else (None, None, 0)
-    for pdf in batches:
-        low, high = int(pdf["run"].min()), int(pdf["run"].max())
-        first = low if first is None else min(first, low)
-        last = high if last is None else max(last, high)
-        runs += len(pdf)
-    state.update((first, last, runs))
-    yield pd.DataFrame({"repo": [key[0]], "path": [key[1]], "first_flagged": [first], "last_run": [last], "runs": [runs]})
-
-
 def first_flagged(snapshots: DataFrame) -> DataFrame:
-    """First and last run that lists a path, kept as state (2.12.2).
+    """First and last run that lists a path, and the number of runs (2.12.2).
 
-    ``snapshots(repo, path, run BIGINT)`` as a stream; state per file is three
-    numbers, whatever the number of runs.
+    ``snapshots(repo, path, run BIGINT)`` as a stream; the state per file is three
+    numbers of a built-in aggregate, whatever the number of runs.
     """
-    return snapshots.groupBy(*CHURN_KEYS).applyInPandasWithState(
-        _track, FLAGGED, "first bigint, last bigint, runs bigint", "update", GroupStateTimeout.NoTimeout
+    return snapshots.groupBy(*CHURN_KEYS).agg(
+        F.min("run").alias("first_flagged"), F.max("run").alias("last_run"), F.count(F.lit(1)).alias("runs")
     )
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
-    Batches go to Parquet in the shared folder. In update mode a later batch
-    replaces the rows of the same keys.
+    Each batch overwrites a folder of its own, so one that is tried again is not
+    written twice. In update mode a later batch replaces the rows of the same keys.
     """
     path = staged_path(spark, name)
+    stream_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch_no={epoch}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -67,9 +50,9 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys: li
         .start()
     )
     query.awaitTermination()
-    written = spark.read.parquet(path)
+    written = spark.read.schema(f"{stream_schema}, epoch_no long").parquet(path)
     if keys:
-        fields = [c for c in written.columns if c != "_epoch"]
-        latest = written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "_epoch").alias("r"))
+        fields = [c for c in written.columns if c != "epoch_no"]
+        latest = written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "epoch_no").alias("r"))
         return latest.select("r.*")
-    return written.drop("_epoch")
+    return written.drop("epoch_no")
