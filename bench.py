@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark.plans import registered  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
+from tidemark.staging import clear_staged  # noqa: E402
 
 HEADLINE = [
     "top_hotspots", "complexity_percentiles", "churn_per_file", "churn_window_pick", "commit_count_decile",
@@ -21,7 +22,7 @@ HEADLINE = [
     "running_net_delta", "directory_rollup", "hotspot_transitions", "nearest_ancestor_join", "doc_staleness_ratio",
     "doc_edge_build", "glob_path_join", "grouping_disagreement", "age_markers", "scan_sensitive_content",
     "instruction_score", "scan_directive_clarity", "duplicate_statements", "import_edge_build", "comprehension_footprint",
-    "modularity_q", "reachability", "default_branch_ci", "run_certification", "scan_numstat_log", "pr_merge_readiness",
+    "modularity_q", "pagerank", "weak_components", "strong_components", "communities", "breakup_candidates", "dependency_levels", "hot_file_groups", "reachability", "default_branch_ci", "run_certification", "scan_numstat_log", "pr_merge_readiness",
 ]
 
 
@@ -40,6 +41,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        clear_staged(spark)
     print(
         json.dumps(
             {

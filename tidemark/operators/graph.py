@@ -472,7 +472,7 @@ def dependency_levels(deps: DataFrame, rounds_per_stage: int = 4) -> DataFrame:
         ),
         "levels",
     )
-    level = 0
+    level, written = 0, state
     while True:
         for _ in range(rounds_per_stage):
             ready = state.where(F.col("level") == level).select("repo", F.col("item").alias("blocked_by"))
@@ -487,7 +487,9 @@ def dependency_levels(deps: DataFrame, rounds_per_stage: int = 4) -> DataFrame:
                 F.coalesce("level", F.when((left == 0) & F.col("freed").isNotNull(), F.lit(level + 1))).alias("level"),
             )
             level += 1
-        state = stage(state, "levels")
+        state, before = stage(state, "levels"), written
+        unstage(before)
+        written = state
         if _total(state, F.max("level")) < level:
             return state.select("repo", "item", "level")
 

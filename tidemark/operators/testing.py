@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +54,38 @@ def test_names(path: Column) -> Column:
 
 
 def colocated_tests(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """First sibling test of each source, by place and name order (2.3.12)."""
-    src = sources.select("repo", F.col("path").alias("source_file")).where(~paths.is_test_stem(F.col("path"))).distinct()
+    """First sibling test of each source, by place and name order (2.3.12).
+
+    Looked up from the tests' side: a file whose name fits a template gives the
+    stem, extension and directory of the source it would test, so only such
+    files are shuffled, once, and not every name a source might have a test under.
+    """
     p = F.col("source_file")
-    folder = F.when(paths.parent(p) == "", "").otherwise(F.concat(paths.parent(p), F.lit("/")))
-    names = test_names(p)
-    here = F.transform(names, lambda n: F.concat(folder, n))
-    adjacent = F.concat(names, F.array(paths.basename(p)))
-
-    def inside(name: str) -> Column:
-        return F.transform(adjacent, lambda n: F.concat(folder, F.lit(name + "/"), n))
-
-    beside = [inside(name) for name in fv.ADJACENT_TEST_DIRS]
-    tries = src.select("repo", "source_file", F.posexplode(F.concat(here, *beside)).alias("rank", "path"))
-    found = skewed_join(tries, files.select("repo", "path").distinct(), ["repo", "path"])
-    return found.groupBy("repo", "source_file").agg(F.min_by("path", "rank").alias("test_file"))
+    ext = F.regexp_extract(paths.basename(p), r"^.+(\.[^.]+)$", 1)
+    src = sources.select("repo", F.col("path").alias("source_file")).where(~paths.is_test_stem(F.col("path"))).distinct()
+    src = src.select("repo", "source_file", paths.parent(p).alias("folder"), paths.stem(p).alias("stem"), ext.alias("ext"))
+    name, folder = paths.basename(F.col("path")), paths.parent(F.col("path"))
+    forms = []
+    for i, template in enumerate(fv.TEST_NAME_TEMPLATES):
+        pattern = "^" + re.escape(template).replace(r"\{stem\}", "(.+?)").replace(r"\{ext\}", r"((?:\.[^.]+)?)") + "$"
+        forms.append(F.when(name.rlike(pattern), F.struct(F.lit(i).alias("form"), F.regexp_extract(name, pattern, 1).alias("stem"), F.regexp_extract(name, pattern, 2).alias("ext"))))
+    n = len(forms)
+    same = F.struct(F.lit(n).alias("form"), paths.stem(F.col("path")).alias("stem"), F.regexp_extract(name, r"^.+(\.[^.]+)$", 1).alias("ext"))
+    above = F.when(F.contains(folder, F.lit("/")), paths.parent(folder)).otherwise(F.lit(""))
+    places = F.array(
+        F.struct(folder.alias("folder"), F.lit(0).alias("first")),
+        *[F.when(paths.basename(folder) == d, F.struct(above.alias("folder"), F.lit(n + j * (n + 1)).alias("first"))) for j, d in enumerate(fv.ADJACENT_TEST_DIRS)],
+    )
+    known = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    tests = (
+        files.select("repo", "path").distinct()
+        .select("repo", "path", F.explode(known(F.array(*forms, same))).alias("_form"), places.alias("places"))
+        .select("repo", "path", "_form.*", F.explode(known(F.col("places"))).alias("_place"))
+        .select("repo", F.col("path").alias("test_file"), "stem", "ext", "_place.folder", (F.col("_place.first") + F.col("form")).alias("rank"), ((F.col("_place.first") == 0) & (F.col("form") == n)).alias("itself"))
+        .where(~F.col("itself")).drop("itself")
+    )
+    found = skewed_join(src, tests, ["repo", "folder", "stem", "ext"])
+    return found.groupBy("repo", "source_file").agg(F.min_by("test_file", F.struct("rank", "test_file")).alias("test_file"))
 
 
 def has_sibling_test(sources: DataFrame, files: DataFrame) -> DataFrame:

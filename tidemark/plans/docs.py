@@ -255,7 +255,7 @@ def doc_code_edges(t: Tables):
 
 @query(
     "group_broken_links",
-    "SELECT repo, target AS missing, count(DISTINCT src) AS n_sources, min(src) AS first_source FROM doc_links_broken GROUP BY repo, target",
+    "SELECT repo, target AS missing, src, count(*) OVER (PARTITION BY repo, target) AS n_sources FROM (SELECT DISTINCT repo, target, src FROM doc_links_broken)",
 )
 def group_broken_links(t: Tables):
     return links.group_broken_links(links.broken_links(*resolved(t)))

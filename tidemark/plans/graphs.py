@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fv
 from tidemark.functions import paths
 from tidemark.operators import documents, graph, structure
 from tidemark.plans.catalog import query
@@ -287,6 +288,51 @@ def communities(t: Tables):
     return graph.communities(n, t.import_edges)
 
 
+def canonical(part):
+    """Communities named by their smallest member."""
+    first = part.groupBy("repo", "community").agg(F.min("node").alias("first"))
+    return part.join(first, ["repo", "community"]).select("repo", "node", F.col("first").alias("community"))
+
+
+@query("communities_of_groups", "SELECT repo, module AS node, min(module) OVER (PARTITION BY repo, brand, grp) AS community FROM triples")
+def communities_of_groups(t: Tables):
+    return canonical(graph.communities(t.triples.select("repo", F.col("module").alias("node")), t.triple_edges))
+
+
+@query(
+    "communities_check",
+    "SELECT repo, count(*) AS nodes, count(*) AS labelled, 0 AS gaining_merges FROM modules GROUP BY repo",
+)
+def communities_check(t: Tables):
+    """Each module has one label, and no two communities are better merged."""
+    n = t.modules.select("repo", F.col("module").alias("node"))
+    edges = stage(t.import_edges, "edges")
+    part = stage(graph.communities(n, edges), "communities")
+    links = graph.undirected(edges)
+    m = links.groupBy("repo").agg(F.count(F.lit(1)).alias("m"))
+    side = lambda c: part.select("repo", F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    ends = links.join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b"])
+    degree = ends.select("repo", F.explode(F.array("ca", "cb")).alias("c")).groupBy("repo", "c").agg(F.count(F.lit(1)).alias("d"))
+    between = ends.where("ca <> cb").groupBy("repo", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.count(F.lit(1)).alias("w"))
+    of = lambda c: degree.select("repo", F.col("c").alias(f"c{c}"), F.col("d").alias(f"d{c}"))
+    gain = F.round(F.col("w") / F.col("m") - F.col("da") * F.col("db") / (2.0 * F.col("m") * F.col("m")), 12)
+    gaining = between.join(of("a"), ["repo", "ca"]).join(of("b"), ["repo", "cb"]).join(m, "repo").where(gain > 0)
+    merges = gaining.groupBy("repo").agg(F.count(F.lit(1)).alias("gaining"))
+    counted = n.join(part, ["repo", "node"], "left").groupBy("repo").agg(F.count(F.lit(1)).alias("nodes"), F.count("community").alias("labelled"))
+    return counted.join(merges, "repo", "left").select("repo", "nodes", "labelled", F.coalesce("gaining", F.lit(0)).cast("int").alias("gaining_merges"))
+
+
+@query(
+    "breakup_of_groups",
+    f"""WITH e AS (SELECT repo, brand, grp, count(*) AS e FROM triple_edges GROUP BY ALL), q AS (SELECT repo, brand, 1 - sum(power(e / m, 2)) AS q FROM (SELECT *, sum(e) OVER (PARTITION BY repo, brand) AS m FROM e) GROUP BY ALL),
+    s AS (SELECT repo, brand, count(*) AS modules, count(DISTINCT grp) AS clusters FROM triples GROUP BY ALL)
+    SELECT s.repo, s.brand AS package, modules, clusters, round(q, 6) AS modularity_q FROM s JOIN q USING (repo, brand) WHERE modules >= {fv.BREAKUP_MIN_MODULES} AND clusters >= 2 AND q >= {fv.BREAKUP_MIN_Q}""",
+)
+def breakup_of_groups(t: Tables):
+    found = structure.breakup_candidates(t.triples.select("repo", "module"), t.triple_edges)[0]
+    return found.select("repo", "package", "modules", "clusters", r6("modularity_q"))
+
+
 @query("breakup_candidates")
 def breakup_candidates(t: Tables):
     return structure.breakup_candidates(t.modules, t.import_edges)[0]

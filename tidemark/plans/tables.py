@@ -132,6 +132,10 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
             FROM {part_use} a JOIN {part_use} b ON b.repo = a.repo AND b.part_id = a.mix % greatest(a.part_id, 1) AND a.part_id > 0
         UNION ALL SELECT a.repo, concat(a.brand, '.p', a.part_id), concat(b.brand, '.p', b.part_id)
             FROM {part_use} a JOIN {part_use} b ON b.repo = a.repo AND b.part_id = a.part_id + 1 + a.mix % 5 AND a.returned * 100 > a.n_lines * 40) e""",
+    # modules of a package in threes, each a chain: clusters whose best partition is unique
+    "triples": """SELECT repo, brand, concat(brand, '.p', part_id) AS module, floor((rn - 1) / 3) AS grp, rn
+        FROM (SELECT repo, brand, part_id, row_number() OVER (PARTITION BY repo, brand ORDER BY part_id) AS rn FROM {part_use}) x""",
+    "triple_edges": """SELECT a.repo, a.brand, a.grp, a.module AS src, b.module AS dst FROM {triples} a JOIN {triples} b ON b.repo = a.repo AND b.brand = a.brand AND b.grp = a.grp AND b.rn = a.rn + 1""",
     "work_deps": """SELECT repo, o_orderkey AS item, lag(o_orderkey) OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) AS blocked_by FROM {orders_t}""",
     "item_files": """SELECT DISTINCT repo, item, concat('f', part_id) AS path FROM (
         SELECT l.repo, l.l_orderkey AS item, min(l.l_partkey) AS part_id FROM {lineitem_t} l GROUP BY l.repo, l.l_orderkey
