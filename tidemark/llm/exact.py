@@ -49,7 +49,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         refined.where("digest IS NOT NULL").groupBy("n_bytes", "prefix_hash", "digest")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     )
-    joined = refined.join(groups, ["n_bytes", "prefix_hash", "digest"], "left")
+    # Joined by a key of its own, so that both sides are dealt out anew and a hot group of copies can be split.
+    facts = groups.select(F.substring("digest", 1, 32).alias("_key"), "keep_id", "group_size")
+    joined = refined.withColumn("_key", F.coalesce("digest", F.unhex(F.hex("prefix_hash")))).join(facts, "_key", "left")
     grouped = F.col("group_size").isNotNull()
     return joined.select(
         "doc_id", "n_bytes", "prefix_hash", "digest",
