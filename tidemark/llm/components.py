@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.staging import delete_staged, staged_path
@@ -75,6 +75,15 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[n
         yield join()
 
 
+def dealt_anew(key: str) -> Column:
+    """A long key as a value of its own, for the grouped side of a join with the rows it was grouped from.
+
+    Spark then deals both sides out anew, and so can split a key with very many
+    rows, which it cannot where it reuses the partitions of the grouping.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         forest = spanning(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
@@ -101,12 +110,13 @@ def connected_components(links: DataFrame) -> DataFrame:
             )
         mark = tuple(size)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("_low"))
+        own = dealt_anew("a").alias("a")
+        least = both.groupBy("a").agg(F.min("b").alias("_low")).select(own, F.least("a", "_low").alias("_low"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_low").alias("b"))
         kept = now.where("a > b").unionByName(large.where("a > b")).distinct()
         # Every larger node now points at smaller ones; they all move to the smallest.
         lowest = kept.groupBy("a").agg(F.min("b").alias("_low"))
-        small = kept.join(lowest, "a").where("b != _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        small = kept.join(lowest.select(own, "_low"), "a").where("b != _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
         ends = lowest.select("a", F.col("_low").alias("b"))
         after = staged_path(spark, "links")
         ends.unionByName(small).distinct().write.parquet(after)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, dealt_anew
 from tidemark.staging import stage
 
 SEED = 8_191
@@ -141,7 +141,7 @@ def near_duplicates(
     member = small.join(connected_components(pairs), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
     facts = (
-        member.join(least, "component").join(linked, "node", "left").join(classes.select("node", "label", "_h1", "_h2"), "node")
+        member.join(least.withColumn("component", dealt_anew("component")), "component").join(linked, "node", "left").join(classes.select("node", "label", "_h1", "_h2"), "node")
         .select("label", "_h1", "_h2", "component_id", (F.col("copies") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
     )
     narrow = rows.select("vec_id", "label", *hashes)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import text_chunks
-from tidemark.llm.components import connected_components, grouped, roots, spanning
+from tidemark.llm.components import connected_components, dealt_anew, grouped, roots, spanning
 from tidemark.llm.rows import NO_ID, text_digest
 from tidemark.staging import stage
 
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = connected_components(fingerprint_links(nodes, distance))
     member = nodes.join(linked, F.col("bits") == F.col("node"), "left").select("bits", "_least", F.coalesce("component", "bits").alias("_component"))
     least = member.groupBy("_component").agg(F.min("_least").alias("_first"))
-    of_bits = member.join(least, "_component").select("bits", "_first")
+    of_bits = member.join(least.withColumn("_component", dealt_anew("_component")), "_component").select("bits", "_first")
     return rows.join(of_bits, "bits").select(
         "doc_id", "digest", "bits", F.nullif(F.col("_first.id"), F.lit(NO_ID)).alias("component_id"), (order == F.col("_first")).alias("kept")
     )
@@ -287,5 +287,5 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     linked = connected_components(met.mapInArrow(link, "a long, b long"))
     member = nodes.join(linked, "node", "left").select("bits", "first", F.coalesce("component", "node").alias("_component"))
     least = member.groupBy("_component").agg(F.min("first").alias("_first"))
-    of_bits = member.join(least, "_component").select("bits", "_first")
+    of_bits = member.join(least.withColumn("_component", dealt_anew("_component")), "_component").select("bits", "_first")
     return rows.join(of_bits, "bits").select("doc_id", "digest", F.nullif(F.col("_first.id"), F.lit(NO_ID)).alias("component_id"), (order == F.col("_first")).alias("kept"))
