@@ -30,7 +30,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # Code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # Most distinct fragments remembered per Python worker; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 # Text bytes handled at once; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
 _NO_BYTE = 0xFF  # never occurs in UTF-8
@@ -308,6 +308,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         size += len(text)
     if held:
         yield start, held
+    pa.default_memory_pool().release_unused()
 
 
 def id_batches(batch: pa.RecordBatch, column: str, path: str) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
