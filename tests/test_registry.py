@@ -14,6 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "top_hotspots", "change_coupling_pairs", "containment_ratio", "accretion_ratchet", "glob_path_join", "mdlink_resolution_join",
     "age_markers", "scan_sensitive_content", "instruction_score", "scan_mutation_reports", "run_certification", "keyhole_summary",
+    "weak_components", "communities_of_groups", "stream_first_flagged", "sink_actions_contract", "colocated_test_join", "import_edge_build",
+    "grouping_disagreement", "hotspot_transitions", "directory_rollup", "authorship_class", "nearest_ancestor_join", "needs_attention",
 ]
 
 
