@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.staging import delete_staged, staged_path
 
 
+LINKS_HELD = 500_000  # links a task reads before it replaces them by a forest
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position reachable from each of ``n`` positions over the links ``a[i] - b[i]``."""
     label = np.arange(n)
@@ -85,9 +88,14 @@ def dealt_anew(key: str) -> Column:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = np.zeros((2, 0), np.int64)
+    held: list[np.ndarray] = []
     for batch in batches:
-        forest = spanning(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
-        yield pa.RecordBatch.from_arrays([pa.array(forest[0]), pa.array(forest[1])], names=["a", "b"])
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
+        if sum(x.shape[1] for x in held) > LINKS_HELD:
+            links, held = spanning(np.concatenate([links, *held], axis=1)), []
+    links = spanning(np.concatenate([links, *held], axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:
