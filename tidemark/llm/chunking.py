@@ -134,7 +134,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A key of its own: both sides are dealt out anew, and a chunk that very many documents share can be split.
     facts = facts.withColumn("chunk", F.substring("chunk", 1, 16))
     repeated = rows.join(facts, "chunk").select("_id", "_digest", "start", "end", (place == F.col("origin")).alias("first"))
-    return repeated.distinct().groupBy("_id", "_digest").agg(F.collect_list(F.struct("start", "end", "first")).alias("chunks"))
+    return repeated.groupBy("_id", "_digest").agg(F.collect_set(F.struct("start", "end", "first")).alias("chunks"))
 
 
 def runs(chunks: list[tuple[int, int, bool]], min_run: int) -> tuple[int, list[tuple[int, int]]]:
