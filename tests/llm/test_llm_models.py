@@ -129,6 +129,28 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_links_inside_a_dense_topic(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    x = centre / np.linalg.norm(centre) + rng.normal(size=(1_500, 64)) * 0.045  # cosines around 0.88, few links among many near ones
+    x[1_400:] = x[:100] + rng.normal(size=(100, 64)) * 0.032  # about the threshold
+    x = x.astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.triu(unit @ unit.T >= 0.93, 1)
+    want = (links | links.T).sum(axis=1)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()} == dict(enumerate(want.tolist()))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, bucket=150, tile=200, rows_per_task=2_000).collect()}
+    assert all(got[k] <= n for k, n in enumerate(want.tolist())) and sum(got.values()) >= 0.98 * want.sum() > 150
+
+
+@pytest.mark.parametrize("rows", [10**4, 10**6, 10**8])
+def test_passes_follow_the_rows_of_a_label(rows):
+    bits, passes = embeddings.passes_for(rows, 0.93, 0.999, 2_048, 8_192)
+    together = (1 - np.arccos(0.93) / np.pi) ** bits
+    assert rows / 2**bits <= 2_048 and 1 - (1 - together) ** passes >= 0.999
+
+
 def test_windows_follow_long_runs():
     unit = np.tile(np.eye(4)[:1], (300, 1))
     a, b = embeddings.window_pairs(np.zeros(300, np.int64), unit, 0.9, 3)

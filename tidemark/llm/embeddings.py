@@ -1,14 +1,18 @@
-"""Near duplicates among embeddings by sorted projection passes.
-
-Equal vectors of a label are one class from the start. In each pass every class
-gets a key: the signs of ``bits`` random projections, concatenated. The classes
-of a label are put in the lexicographic order of their keys, and each is
-compared with its neighbours: ``window`` of them, and as many more as it takes
-until ``window`` in a row are no links. So a group of any size is followed to
-its end, while the work per pass stays in proportion to the rows and links.
-Pairs are verified by their cosine in double precision and united over the
-passes. A pair at the threshold's angle needs only one pass in which its keys
-begin alike, so more passes raise recall; README gives what was measured.
+"""Near duplicates among embeddings by passes over signs of random projections.
+
+Equal vectors of a label are one class from the start. Labels of up to ``tile``
+classes are compared whole. A larger one is cut in each pass into groups whose
+signs under ``bits`` random projections agree, ``bucket`` classes on average if
+they are evenly spread, and each group is compared whole. A pair at the
+threshold's angle is in one group with a probability that the number of bits
+gives, whatever else lies near it, and there are as many passes as it takes to
+reach ``recall`` for such a pair; closer pairs are found more surely. So work
+per class stays in proportion to ``bucket`` and grows with the passes, but a
+topic whose vectors all lie close together stays together and is compared
+whole, with work by the square of its size: no choice of signs would tell its
+links from the rest in less. A group over ``tile`` is cut into tiles, and every
+two tiles meet in a task of their own. Pairs are verified by their cosine in
+double precision and united over the passes.
 
 Rows whose label is null, or whose vector is null, empty, zero or holds a null
 or non-finite component, link with nothing; neither do rows without an id.
@@ -18,6 +22,7 @@ any other. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,9 @@ from tidemark.staging import stage
 
 SEED = 8_191
 ROWS_PER_TASK = 20_000
+BUCKET = 2_048
+TILE = 8_192
+ROUNDING = 1e-9  # products of matrices are searched this far below the threshold, then taken pair by pair
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -50,10 +58,22 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[begins[at][:, None] + np.arange(d)]
 
 
+def passes_for(rows: int, threshold: float, recall: float, bucket: int, tile: int) -> tuple[int, int]:
+    """Signs that a label of so many classes is cut by, and passes that find a pair at ``threshold`` with probability ``recall``.
+
+    A sign differs with probability arccos(threshold) / pi, each on its own.
+    """
+    if rows <= tile:
+        return 0, 1
+    bits = min(64, math.ceil(math.log2(rows / bucket)))
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 1 if together >= recall else math.ceil(math.log(1 - recall) / math.log(1 - together))
+
+
 def keys(unit: np.ndarray, number: int, bits: int = 64) -> np.ndarray:
-    """Sort keys of a pass: the signs of its projections as unsigned longs in big-endian order."""
+    """Keys of a pass: the signs of its projections as unsigned longs, the first in the highest bit."""
     d = unit.shape[1]
-    directions = np.random.default_rng([SEED, number, d]).standard_normal((d, bits))
+    directions = np.random.default_rng([SEED, number, d]).standard_normal((bits, d)).T
     signs = np.zeros((len(unit), 64), bool)
     signs[:, :bits] = unit @ directions > 0
     return np.packbits(signs, axis=1).view(">u8").ravel().astype(np.uint64)
@@ -79,51 +99,100 @@ def window_pairs(group: np.ndarray, unit: np.ndarray, threshold: float, window:
         off += 1
 
 
-def linked_pairs(classes: DataFrame, threshold: float, passes: int, window: int, bits: int, rows_per_task: int) -> DataFrame:
+def block_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs with cosine at or over ``threshold`` between two matrices, or within one if ``right`` is None."""
+    other = left if right is None else right
+    for begin in range(0, len(left), rows):
+        skip = begin if right is None else 0
+        i, j = np.nonzero(left[begin : begin + rows] @ other[skip:].T >= threshold - ROUNDING)
+        i, j = i + begin, j + skip
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 100_000):
+            a, b = i[at : at + 100_000], j[at : at + 100_000]
+            hit = np.einsum("ij,ij->i", left[a], other[b]) >= threshold
+            yield a[hit], b[hit]
+
+
+def linked_pairs(classes: DataFrame, threshold: float, recall: float, bucket: int, tile: int, rows_per_task: int) -> DataFrame:
     """Distinct verified pairs ``a < b`` of ``node`` among ``node, label, vector``."""
-    label_type = classes.schema["label"].dataType
-    spread_schema = T.StructType([
-        T.StructField("number", T.IntegerType()), T.StructField("label", label_type), T.StructField("size", T.IntegerType()),
-        T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("vector", classes.schema["vector"].dataType),
-    ])
+    by = ["label", "size"]
+    sized = classes.select("node", "label", F.size("vector").alias("size"), "vector")
+    plan = F.udf(lambda rows: passes_for(rows, threshold, recall, bucket, tile), "bits int, passes int")
+    large = stage(sized.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > tile).select(*by, plan("rows").alias("plan")).select(*by, "plan.*"), "large")
+    schema = T.StructType([sized.schema[c] for c in ("node", "label", "size", "vector")] + [T.StructField("number", T.IntegerType()), T.StructField("key", T.LongType())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(begin, 2_000)
+                bits, passes = (batch.column(c).to_numpy() for c in ("bits", "passes"))
                 for at, matrix in _matrices(batch.column("vector")):
-                    part = batch.take(pa.array(at))
                     unit = _unit(matrix)
-                    for number in range(passes):
-                        key = (keys(unit, number, bits) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is unsigned order
-                        columns = [np.full(len(at), number, np.int32), None, np.full(len(at), matrix.shape[1], np.int32), key]
-                        columns = [part.column("label") if c is None else pa.array(c) for c in columns]
-                        yield pa.RecordBatch.from_arrays([*columns, part.column("node"), part.column("vector")], names=spread_schema.names)
-
-    rows = classes.count() * passes
-    order = ["number", "label", "size", "key", "node"]
-    tasks = max(1, -(-rows // rows_per_task))
-    dealt = classes.select("node", "label", "vector").mapInArrow(spread, spread_schema).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+                    for number in range(passes[at].max()):
+                        of = np.flatnonzero(passes[at] > number)
+                        part, own = batch.take(pa.array(at[of])), bits[at[of]].astype(np.uint64)
+                        key = keys(unit[of], number, int(own.max())) >> (np.uint64(64) - own)
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "size", "vector")), pa.array(np.full(len(of), number, np.int32)), pa.array(key.view(np.int64))], names=schema.names)
+
+    keyed = sized.join(large, by).mapInArrow(spread, schema)
+    group = [*by, "number", "key"]
+    counts = stage(keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")), "counts")
+    crowded = counts.where(F.col("rows") > tile).select(*group, F.ceil(F.col("rows") / tile).cast("int").alias("tiles"))
+    whole = sized.join(large, by, "left_anti").withColumns({"number": F.lit(0), "key": F.lit(0).cast("long"), "tiles": F.lit(1)})
+    rows = whole.unionByName(keyed.join(crowded, group, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))))
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cell = [*group, F.least("mine", "other"), F.greatest("mine", "other")]
+    dealt = rows.select(F.xxhash64(*cell).alias("h1"), F.xxhash64(F.lit(SEED), *cell).alias("h2"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("alone"), "node", "vector")
+
+    spread_rows = classes.count() + (counts.agg(F.sum(F.col("rows") * F.ceil(F.col("rows") / tile))).first()[0] or 0)
+    tasks = max(1, -(-spread_rows // rows_per_task))
+    dealt = dealt.repartition(tasks, "h1", "h2").sortWithinPartitions("h1", "h2")
+
+    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        number, size, node = (table.column(c).to_numpy() for c in ("number", "size", "node"))
-        labels = np.unique(np.array(table.column("label").to_pylist(), object).astype(str), return_inverse=True)[1]
-        group = np.unique(np.stack([number, size, labels], axis=1), axis=0, return_inverse=True)[1].ravel()
+        if not table.num_rows:
+            return
+        h1, h2, second, alone, node = (table.column(c).to_numpy() for c in ("h1", "h2", "second", "alone", "node"))
+        edge = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
+        cells = np.repeat(np.arange(len(edge) + 1), np.diff(np.concatenate([[0], edge, [len(h1)]])))
         for at, matrix in _matrices(table.column("vector").chunk(0)):
-            i, j = window_pairs(group[at], _unit(matrix), threshold, window)
-            if len(i):
-                a, b = node[at[i]], node[at[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            unit = _unit(matrix)
+            begin = np.flatnonzero(np.concatenate([[True], cells[at][1:] != cells[at][:-1]]))
+            end = np.append(begin[1:], len(at))
+            for x, y in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+                if alone[at[x]]:
+                    first = other = np.arange(x, y)
+                else:
+                    first, other = x + np.flatnonzero(~second[at[x:y]]), x + np.flatnonzero(second[at[x:y]])
+                for i, j in block_pairs(unit[first], None if alone[at[x]] else unit[other], threshold):
+                    if len(i):
+                        a, b = node[at[first[i]]], node[at[other[j]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            before = np.flatnonzero((h1 != h1[-1]) | (h2 != h2[-1]))
+            at = int(before[-1]) + 1 if len(before) else 0
+            if at or last != (h1[-1], h2[-1]):
+                yield from links([*held, batch.slice(0, at)])
+                held = []
+            held.append(batch.slice(at))
+            last = (h1[-1], h2[-1])
+        if held:
+            yield from links(held)
 
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.93, passes: int = 24, window: int = 32, bits: int = 64, rows_per_task: int = ROWS_PER_TASK,
+    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, bucket: int = BUCKET, tile: int = TILE, rows_per_task: int = ROWS_PER_TASK,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row."""
@@ -134,7 +203,7 @@ def near_duplicates(
     hashes = [F.when(usable, F.xxhash64(vector)).alias("_h1"), F.when(usable, F.xxhash64(F.reverse(vector), F.size(vector))).alias("_h2")]
     found = rows.where(usable).select("*", *hashes).groupBy("label", "_h1", "_h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("_vector").alias("vector"))
     classes = stage(found.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs = stage(linked_pairs(classes, threshold, passes, window, bits, rows_per_task), "pairs")
+    pairs = stage(linked_pairs(classes, threshold, recall, bucket, tile, rows_per_task), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     small = classes.select("node", "least", "copies")
     linked = both.join(small.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("_others"))
