@@ -197,6 +197,31 @@ def test_wide_fingerprints_find_edited_copies(spark, docs):
     assert simhash.similar_documents(docs).count() == docs.count()
 
 
+def test_resembling_documents_are_not_near_copies(spark):
+    rng = random.Random(16)
+    template = prose(rng, 400).split()
+
+    def filled(share):
+        words, at = template[:], rng.randrange(400)
+        for i in range(round(400 * share)):  # one run of own words: shingles shared with the others are known closely
+            words[(at + i) % 400] = f"own{rng.randrange(10**9)}"
+        return words
+
+    data = [(k, " ".join(filled(0.15))) for k in range(300)]
+    for k in range(0, 40, 2):
+        words = data[k][1].split()
+        words[200:210] = [f"new{rng.randrange(10**9)}" for _ in range(10)]
+        data.append((1000 + k, " ".join(words)))
+    sets = {d: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for d, t in data}
+    linked = components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert all(linked[d] == linked[c] for d, c in got.items())  # no link below the similarity
+    alone = {d for d in sets if sum(x == linked[d] for x in linked.values()) == 1}
+    assert len(alone) >= 30 and all(got[d] == d for d in alone)
+    assert sum(got[d] == c for d, c in linked.items()) >= 0.95 * len(linked)
+
+
 def test_large_groups_are_searched_whole():
     rng = np.random.default_rng(4)
     sketch = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.uint64), 90, axis=0)

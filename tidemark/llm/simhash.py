@@ -156,6 +156,7 @@ class Blocks:
     bits: int
     count: int
     distance: int
+    loose: int
 
     @property
     def total(self) -> int:
@@ -167,20 +168,26 @@ def split_for(rows: int, similarity: float, recall: float) -> Blocks:
 
     Two sets of Jaccard similarity s have a cosine of 2s / (1 + s) and differ in a
     bit with probability arccos(cosine) / pi. ``distance`` allows what pairs at the
-    similarity asked for differ by, and 1.3 standard deviations more.
+    similarity asked for differ by, and 1.3 standard deviations more; ``loose`` three.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(8, math.ceil(math.log2(max(rows, 2))))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    return Blocks(bits, count, round(SKETCH * differ + 1.3 * math.sqrt(SKETCH * differ * (1 - differ))))
+    limit = lambda deviations: round(SKETCH * differ + deviations * math.sqrt(SKETCH * differ * (1 - differ)))
+    return Blocks(bits, count, limit(1.3), limit(3))
 
 
-def shingle_vector(text: bytes, width: int, size: int) -> np.ndarray:
-    """The set of a text's shingles, each added with its sign at one of ``size`` places."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of a text's different shingles."""
     words = text.lower().split()
     digest = xxhash.xxh64_digest
     shingles = {b" ".join(words)} if 0 < len(words) <= width else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64)
+    return np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64)
+
+
+def shingle_vector(text: bytes, width: int, size: int) -> np.ndarray:
+    """The set of a text's shingles, each added with its sign at one of ``size`` places."""
+    hashes = shingle_hashes(text, width)
     return np.bincount((hashes & np.uint64(size - 1)).astype(np.intp), np.where(hashes >> np.uint64(63), 1.0, -1.0), size)
 
 
@@ -233,6 +240,37 @@ def close_links(group: np.ndarray, sketch: np.ndarray, distance: int) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
+def pairs_across(group: np.ndarray, label: np.ndarray, sketch: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All positions ``i < j`` of a group and of different labels within ``distance`` bits; ``group`` is sorted."""
+    active, off = np.arange(len(group)), 1
+    while True:
+        active = active[active + off < len(group)]
+        active = active[group[active] == group[active + off]]
+        if not len(active):
+            return
+        hit = active[label[active] != label[active + off]]
+        hit = hit[np.bitwise_count(sketch[hit] ^ sketch[hit + off]).sum(axis=-1, dtype=np.int64) <= distance]
+        yield hit, hit + off
+        off += 1
+
+
+def _pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], held_pairs: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes as ``a < b``, without repeats among those held at once."""
+    held, n = [np.zeros((2, 0), np.int64)], 0
+
+    def batch() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for a, b in found:
+        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        n += len(a)
+        if n > held_pairs:
+            yield batch()
+            held, n = held[:1], 0
+    yield batch()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, component_id, kept`` per row, for documents that share ``similarity`` of their shingles of ``width`` words.
 
@@ -240,7 +278,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     ten bits. So fingerprints are as wide as blocks of about log2(rows) bits must
     be many for pairs at the threshold to share one with probability ``recall``;
     closer pairs share one more surely. Rows grow as documents ** 1.24, chance
-    meetings with them. ``kept`` is as in ``near_duplicates``.
+    meetings with them.
+
+    The sketch only proposes: a link counts if the shingles' Jaccard similarity,
+    taken exactly over their hashes, is ``similarity`` or more. Proposed first are
+    links that span all rows of a group within the loose limit, so near copies are
+    confirmed in proportion to their number. Where one of them is refuted, its rows
+    meet again, and all pairs not yet joined are decided: documents that resemble
+    each other without being near copies cost the square of those in a block.
+    ``kept`` is as in ``near_duplicates``.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
     blocks = split_for(docs.count(), similarity, recall)
@@ -269,22 +315,59 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
                 keys = bits[:, SKETCH : SKETCH + blocks.bits * blocks.count].reshape(n, blocks.count, blocks.bits) @ weight
                 keys = (np.arange(blocks.count, dtype=np.uint64) << np.uint64(40) | keys.astype(np.uint64)).view(np.int64)
                 again = lambda x: pa.array(np.repeat(x, blocks.count))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), again(batch.column("node").to_numpy()), *(again(sketch[:, k]) for k in range(SKETCH // 64))], names=["key", "node", *(f"s{k}" for k in range(SKETCH // 64))])
+                own = batch.schema.names[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(again(batch.column(c).to_numpy()) for c in own), *(again(sketch[:, k]) for k in range(SKETCH // 64))], names=["key", *own, *(f"s{k}" for k in range(SKETCH // 64))])
 
     sketches = "".join(f", s{k} long" for k in range(SKETCH // 64))
-    met = nodes.select("node", "bits").mapInArrow(spread, f"key long, node long{sketches}").repartition("key").sortWithinPartitions("key")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[np.ndarray] = []
-        for key, node, *sketch in grouped(batches):
-            a, b = close_links(key, np.stack(sketch, axis=1).view(np.uint64), blocks.distance)
-            links.append(np.stack([node[a], node[b]]))
-            if sum(x.shape[1] for x in links) > 1_000_000:
-                links = [spanning(np.concatenate(links, axis=1))]
-        if links and (forest := spanning(np.concatenate(links, axis=1))).shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(forest[0]), pa.array(forest[1])], names=["a", "b"])
-
-    linked = connected_components(met.mapInArrow(link, "a long, b long"))
+
+    def met(found: DataFrame) -> DataFrame:
+        own = "".join(f", {c} long" for c in found.columns[1:])
+        return found.mapInArrow(spread, f"key long{own}{sketches}").repartition("key").sortWithinPartitions("key")
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for key, node, *sketch in grouped(batches):
+                for limit in (blocks.distance, blocks.loose):
+                    a, b = close_links(key, np.stack(sketch, axis=1).view(np.uint64), limit)
+                    yield node[a], node[b]
+
+        yield from _pair_batches(found())
+
+    def propose_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for key, node, label, *sketch in grouped(batches):
+                for a, b in pairs_across(key, label, np.stack(sketch, axis=1).view(np.uint64), blocks.loose):
+                    yield node[a], node[b]
+
+        yield from _pair_batches(found())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_chunks(batch.column("text")):
+                sets = [shingle_hashes(t, width).view(np.int64) for t in texts]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    proposed = stage(met(nodes.select("bits", "node")).mapInArrow(propose, "a long, b long").distinct(), "proposed")
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("first.digest").alias("digest"))
+    sets = stage(named.select("digest", "text").join(wanted, "digest").select("node", "text").mapInArrow(cut, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+        return both.select("a", "b", (F.col("shared") >= (F.size("x") + F.size("y") - F.col("shared")) * similarity - 1e-9).alias("near"))
+
+    first = stage(judged(proposed), "judged")
+    links = first.where("near").select("a", "b")
+    linked = connected_components(links)
+    refuted = first.where(~F.col("near"))
+    if refuted.head(1):
+        around = connected_components(proposed)
+        doubtful = around.join(refuted.select(F.col("a").alias("node")).join(around, "node").select("component").distinct(), "component", "left_semi").select("node")
+        parted = nodes.join(doubtful, "node").select("bits", "node").join(linked, "node", "left").select("bits", "node", F.coalesce("component", "node").alias("label"))
+        rest = met(parted).mapInArrow(propose_rest, "a long, b long").distinct().join(refuted, ["a", "b"], "left_anti")
+        linked = connected_components(links.unionByName(judged(rest).where("near").select("a", "b")))
     member = nodes.join(linked, "node", "left").select("bits", "first", F.coalesce("component", "node").alias("_component"))
     least = member.groupBy("_component").agg(F.min("first").alias("_first"))
     of_bits = member.join(least.withColumn("_component", dealt_anew("_component")), "_component").select("bits", "_first")
