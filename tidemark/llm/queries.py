@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunking, codec, embeddings, exact, html, packing, quality, simhash, suffixes, toxicity
+from tidemark.llm import alignment, chunking, codec, embeddings, exact, html, packing, pieces, quality, runs, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,3 +126,38 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", n_bytes.alias("n_bytes"), F.col("_cut.repeated").alias("n_repeated"), (n_bytes - F.octet_length("_cut.kept")).alias("n_removed"),
         F.size("_cut.spans").cast("long").alias("n_spans"), F.sha2("_cut.kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, folder, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order in which the query takes a document's words: every tenth id repeats a stretch up to the end."""
+    chosen, times = divmod(zlib.crc32(str(doc_id).encode()), 10)[::-1] if doc_id is not None else (1, 0)
+    if chosen or not n:
+        return None
+    begin = times % n
+    period = 1 + (n - begin) // (3 + times % 8)
+    order = np.arange(n)
+    order[begin:] = begin + np.arange(n - begin) % period
+    return order
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its runs' number and digest, the longest one, and the digest of the collapsed words."""
+    found = runs.periodic_runs(_table(spark, folder, "documents"), order=planted_order)
+    ranked = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", ranked)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
