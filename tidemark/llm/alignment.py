@@ -2,7 +2,8 @@
 
 Each text is cut into groups at the byte offsets where a token of both
 tokenizers ends; every token of the one links with every token of the other in
-its group. The links become an inverted index: documents are numbered, 65,536
+its group. Both must end a token before the blanks of a word, so each different
+word that a task remembers is aligned once. The links become an inverted index: documents are numbered, 65,536
 numbers are a part, and for each id pair and part a bitmap says which documents
 hold the pair. What a document holds more than once is written in multiplicity
 planes: plane ``k`` (from 1) marks the documents whose number of links less one
@@ -35,6 +36,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import codec, sha256, text_chunks
-from tidemark.llm.pieces import piece_codec
+from tidemark.llm.pieces import marked_words, piece_codec
 from tidemark.staging import stage
 
 PART_BITS = 16
 LINKS_HELD = 2_000_000
+#: Text bytes aligned at once, a longer document alone; and most different units remembered.
+ALIGNED_BYTES, UNITS_HELD = 4 << 20, 300_000
 #: Groups with more links than this are reduced to their different ids before they are paired.
 WIDE_GROUP = 1 << 16
 
@@ -134,32 +138,131 @@ def _sizes(byte_bpe: str, pieces: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(t) for t in codec(byte_bpe).tokens]), np.array([len(t) for t in piece_codec(pieces).bytes])
 
 
-def align(texts: list[bytes], byte_bpe: str, pieces: str) -> tuple[Aligned, np.ndarray]:
-    """The texts that have tokens, aligned, and their positions among ``texts``."""
+def units(text: bytes) -> list[bytes]:
+    """A text with a blank in front, cut where both tokenizers must end a token: before the blanks of a marked word.
+
+    The byte-level pattern begins a token at the last blank before a word. Only
+    white space right before several blanks, or before the blanks that end a text,
+    may be one token with some of them; there nothing is cut.
+    """
+    words = marked_words(text)
+    if b"  " in text or text[-1:] == b" ":
+        out: list[bytes] = []
+        for word in words:
+            if out and (not word or word[:1] == b" ") and (out[-1][-1:].isspace() or out[-1][-1:] > b"\x7f"):
+                out[-1] += b" " + word
+            else:
+                out.append(word)
+        return out
+    return words
+
+
+def _align_units(distinct: list[bytes], byte_bpe: str, pieces: str) -> tuple[Aligned, np.ndarray]:
+    """The units aligned, each with a blank in front, and flags of those whose tokens do not spell them."""
     one, other = codec(byte_bpe), piece_codec(pieces)
-    if max(len(one.tokens), len(other.bytes)) > 1 << 16:
-        raise ValueError("ids of both vocabularies have to fit into 16 bits")
-    given = [i for i, t in enumerate(texts) if t]
-    marked = [b" " + texts[i] for i in given]
+    marked = [b" " + u for u in distinct]
     data = b"".join(marked)
-    ids_a = one.encode_bytes(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, marked)])) if given else []
-    ids_b = other.encode([texts[i] for i in given])
+    ids_a = one.encode_bytes(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, marked)])) if marked else []
+    ids_b = other.encode_marked(distinct)
     joined = [b"".join(ids_a), b"".join(ids_b)]
-    if any(b"".join(map(own.__getitem__, np.frombuffer(j, "<u4").tolist())) != data for own, j in zip((one.tokens, other.bytes), joined, strict=True)):
-        same = [
-            k for k, t in enumerate(marked)
-            if all(b"".join(map(own.__getitem__, np.frombuffer(x[k], "<u4").tolist())) == t for own, x in ((one.tokens, ids_a), (other.bytes, ids_b)))
-        ]
-        given, ids_a, ids_b = ([x[k] for k in same] for x in (given, ids_a, ids_b))
-        joined = [b"".join(ids_a), b"".join(ids_b)]
-    a, b = (np.frombuffer(j, "<u4").astype(np.int64) for j in joined)
+    bad = np.zeros(len(marked), bool)
+    for own, ids, whole in ((one.tokens, ids_a, joined[0]), (other.bytes, ids_b, joined[1])):
+        if b"".join(map(own.__getitem__, np.frombuffer(whole, "<u4").tolist())) != data:
+            bad |= np.fromiter((b"".join(map(own.__getitem__, np.frombuffer(x, "<u4").tolist())) != t for x, t in zip(ids, marked, strict=True)), bool, len(marked))
+    for k in np.flatnonzero(bad):
+        ids_a[k] = ids_b[k] = b""
+    a, b = (np.frombuffer(b"".join(ids), "<u4").astype(np.int64) for ids in (ids_a, ids_b))
     size_a, size_b = _sizes(byte_bpe, pieces)
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     length = int(end_a[-1]) + 1 if len(a) else 1
     in_a, in_b = np.zeros(length, bool), np.zeros(length, bool)
     in_a[end_a], in_b[end_b] = True, True
     counts = (np.array([len(x) // 4 for x in ids], np.int64) for ids in (ids_a, ids_b))
-    return Aligned(a, b, in_b[end_a], in_a[end_b], *counts), np.array(given, np.int64)
+    return Aligned(a, b, in_b[end_a], in_a[end_b], *counts), bad
+
+
+@dataclass
+class Texts:
+    """What texts have: ids, groups and links each, the groups themselves, and the links as ``(text, pair, how many)``."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    shown: list[bytes]
+    links: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class UnitTable:
+    """What each different unit has, for a pair of tokenizers: filled per Python worker, anew once it holds ``UNITS_HELD``."""
+
+    def __init__(self, byte_bpe: str, pieces: str):
+        if max(len(codec(byte_bpe).tokens), len(piece_codec(pieces).bytes)) > 1 << 16:
+            raise ValueError("ids of both vocabularies have to fit into 16 bits")
+        self.names = byte_bpe, pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.shown: list[bytes] = []
+        self.bad = np.zeros(0, bool)
+        self.figures = np.zeros((4, 0), np.int64)  # ids of either side, groups, links
+        self.first = np.zeros(1, np.int64)  # where a unit's links begin among all
+        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(self, flat: list[bytes]) -> np.ndarray:
+        """The row of each unit; those not in the table are aligned together."""
+        new = dict.fromkeys(filterfalse(self.row.__contains__, flat))
+        if new and len(self.row) + len(new) > UNITS_HELD:
+            self.clear()
+            new = dict.fromkeys(flat)
+        if new:
+            self._add(list(new))
+        return np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
+
+    def _add(self, new: list[bytes]) -> None:
+        found, bad = _align_units(new, *self.names)
+        n_groups, n_links, _ = found.per_text()
+        unit, pair, times = found.links()
+        order = np.argsort(unit, kind="stable")
+        ends = np.searchsorted(unit[order], np.arange(1, len(new) + 1)) + len(self.pair)
+        self.row.update(zip(new, range(len(self.shown), len(self.shown) + len(new)), strict=True))
+        self.shown += found.shown()
+        self.bad = np.concatenate([self.bad, bad])
+        self.figures = np.concatenate([self.figures, np.stack([found.n_a, found.n_b, n_groups, n_links])], axis=1)
+        self.first = np.concatenate([self.first, ends])
+        self.pair, self.times = np.concatenate([self.pair, pair[order]]), np.concatenate([self.times, times[order]])
+
+    def links(self, text: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of texts as ``(text, pair, how many)`` from the units that stand in them."""
+        n = len(self.shown)
+        key, often = np.unique(text * n + row, return_counts=True)
+        text, row = key // n, key % n
+        size = self.first[row + 1] - self.first[row]
+        at = np.arange(int(size.sum())) + np.repeat(self.first[row] - (np.cumsum(size) - size), size)
+        return np.repeat(text, size), self.pair[at], self.times[at] * np.repeat(often, size)
+
+
+@functools.cache
+def unit_table(byte_bpe: str, pieces: str) -> UnitTable:
+    return UnitTable(byte_bpe, pieces)
+
+
+def align(texts: list[bytes], byte_bpe: str, pieces: str) -> Texts:
+    """Texts aligned: the groups and links of each different unit are taken over to wherever it stands."""
+    table = unit_table(byte_bpe, pieces)
+    each = [units(t) for t in texts]
+    text = np.repeat(np.arange(len(texts)), list(map(len, each)))
+    row = table.rows(list(chain.from_iterable(each)))
+    if table.bad[row].any():  # such a text has no tokens at all
+        without = np.zeros(len(texts), bool)
+        without[text[table.bad[row]]] = True
+        row, text = row[~without[text]], text[~without[text]]
+    figures = [np.bincount(text, x[row], len(texts)).astype(np.int64) for x in table.figures]
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+    shown = list(map(table.shown.__getitem__, row.tolist()))
+    groups = [b";".join(shown[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+    return Texts(*figures, groups, table.links(text, row) if len(row) else (text, row, row))
 
 
 def _bitmaps(group: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -256,20 +359,14 @@ def pair_index(docs: DataFrame, byte_bpe: str, pieces: str, id_col: str = "doc_i
                     yield whole(index.slice(at, 50_000))
 
         for batch in batches:
-            for first, texts in text_chunks(batch.column("text")):
-                found, at = align(texts, byte_bpe, pieces)
-                n_groups, n_links, _ = found.per_text()
-                columns = [np.zeros(len(texts), np.int64) for _ in range(4)]
-                for column, values in zip(columns, (found.n_a, found.n_b, n_groups, n_links), strict=True):
-                    column[at] = values
-                shown = [""] * len(texts)
-                for i, text in zip(at.tolist(), found.shown(), strict=True):
-                    shown[i] = sha256(text)
+            for first, texts in text_chunks(batch.column("text"), ALIGNED_BYTES):
+                found = align(texts, byte_bpe, pieces)
                 mine = number + np.arange(len(texts))
-                rows = [pa.array(mine), batch.column("doc_id").slice(first, len(texts)), *map(pa.array, columns), pa.array(shown, pa.string())]
+                shown = pa.array([sha256(x) if x else "" for x in found.shown], pa.string())
+                rows = [pa.array(mine), batch.column("doc_id").slice(first, len(texts)), *map(pa.array, (found.n_a, found.n_b, found.n_groups, found.n_links)), shown]
                 yield whole(pa.RecordBatch.from_arrays(rows, names=names[:7]))
-                text, pair, times = found.links()
-                own = mine[at[text]] if len(text) else text
+                text, pair, times = found.links
+                own = mine[text]
                 for now in range(int(mine[0]) >> PART_BITS, (int(mine[-1]) >> PART_BITS) + 1):
                     if now != part or sum(len(x[0]) for x in held) > LINKS_HELD:
                         yield from flush()
@@ -388,11 +485,8 @@ def aligned_groups(docs: DataFrame, byte_bpe: str, pieces: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_chunks(batch.column("text")):
-                found, at = align(texts, byte_bpe, pieces)
-                shown = [""] * len(texts)
-                for i, text in zip(at.tolist(), found.shown(), strict=True):
-                    shown[i] = text.decode()
+            for first, texts in text_chunks(batch.column("text"), ALIGNED_BYTES):
+                shown = [x.decode() for x in align(texts, byte_bpe, pieces).shown]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(shown, pa.string())], names=["doc_id", "groups"])
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -210,21 +210,21 @@ class PieceCodec:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids (little-endian, four bytes each) of whole texts in UTF-8, without an end id."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            if MARKER_BYTES in text:
-                text = text.replace(MARKER_BYTES, b" ")
-            own = text.split(b" ") if text else []
-            if b"" in own:  # blanks in a row, or at an end: markers belong to the word behind them
-                own = _marked(own)
-            words += own
-            counts.append(len(own))
-        found = self._looked_up(words)
+        plain = [t.replace(MARKER_BYTES, b" ") if MARKER_BYTES in t else t for t in texts]
+        return self._joined([marked_words(t) for t in plain])
+
+    def encode_marked(self, units: list[bytes]) -> list[bytes]:
+        """Ids of stretches of a text that begin with a marker, each given without it: an empty one is the marker alone."""
+        plain = [u.replace(MARKER_BYTES, b" ") if MARKER_BYTES in u else u for u in units]
+        return self._joined([marked_words(u) if b" " in u else [u] for u in plain])
+
+    def _joined(self, each: list[list[bytes]]) -> list[bytes]:
+        """Ids of lists of marked words, joined by position."""
+        found = self._looked_up([w for words in each for w in words])
         out, at = [], 0
-        for n in counts:
-            out.append(b"".join(found[at : at + n]))
-            at += n
+        for words in each:
+            out.append(b"".join(found[at : at + len(words)]) if len(words) != 1 else found[at])
+            at += len(words)
         return out
 
     def _looked_up(self, words: list[bytes]) -> list[bytes]:
@@ -286,11 +286,12 @@ def _mended(run: bytes) -> bytes:
         return b"".join(out)
 
 
-def _marked(parts: list[bytes]) -> list[bytes]:
-    """Marked words of a text that was split at its blanks, each without its first marker.
-
-    An empty part is a marker with another behind it; the last one ends the text.
-    """
+def marked_words(text: bytes) -> list[bytes]:
+    """Marked words of a text with a blank in front, each without its first blank: blanks in a row belong to the word behind them."""
+    parts = text.split(b" ") if text else []
+    if b"" not in parts:
+        return parts
+    # An empty part is a blank with another behind it; the last one ends the text.
     out, blanks = [], 0
     for part in parts[:-1]:
         if part:
