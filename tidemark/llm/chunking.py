@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import text_chunks
 from tidemark.llm.filters import bit_table, in_table
-from tidemark.llm.rows import NO_ID, text_digest
+from tidemark.llm.rows import NO_ID, text_digest, whole_row
 from tidemark.staging import stage
 
 _GEAR = np.random.default_rng(32_077).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -157,10 +157,16 @@ def runs(chunks: list[tuple[int, int, bool]], min_run: int) -> tuple[int, list[t
     return total, spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 80, average: int = 32, least: int = 12, most: int = 256) -> DataFrame:
-    """``docs`` with a column ``_cut``: ``repeated`` (bytes in long runs), ``spans`` (byte spans that go) and ``kept`` (the text that stays)."""
-    found = repeated_chunks(docs, id_col, text_col, average, least, most).withColumnsRenamed({"_id": "_cut_id", "_digest": "_cut_digest", "chunks": "_cut_chunks"})
-    own_id, own_digest = _identity(docs, id_col, text_col)
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 80, average: int = 32, least: int = 12, most: int = 256, out: str = "_cut"
+) -> DataFrame:
+    """``docs`` with a column ``out``: ``repeated`` (bytes in long runs), ``spans`` (byte spans that go) and ``kept`` (the text that stays).
+
+    ``out`` must not be a column of ``docs`` (see ``rows.free_name``); all other names are free.
+    """
+    if out in docs.columns:
+        raise ValueError(f"{out} is a column already")
+    found = repeated_chunks(docs, id_col, text_col, average, least, most)
 
     @F.pandas_udf("repeated long, spans array<struct<start: long, end: long>>, kept string")
     def cut(texts: pd.Series, chunks: pd.Series) -> pd.DataFrame:
@@ -174,6 +180,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows.append((total, [{"start": a, "end": b} for a, b in spans], text))
         return pd.DataFrame(rows, columns=["repeated", "spans", "kept"])
 
-    keyed = docs.withColumns({"_cut_id": own_id, "_cut_digest": own_digest})
-    joined = keyed.join(found, ["_cut_id", "_cut_digest"], "left")
-    return joined.withColumn("_cut", cut(_text(text_col), F.col("_cut_chunks"))).drop("_cut_id", "_cut_digest", "_cut_chunks")
+    keyed = docs.select(whole_row(docs).alias("row"), *_identity(docs, id_col, text_col), _text(text_col).alias("text"))
+    joined = keyed.join(found, ["_id", "_digest"], "left").select("row", cut("text", "chunks").alias("cut"))
+    return joined.select("row.*", F.col("cut").alias(out))

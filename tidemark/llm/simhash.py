@@ -40,6 +40,7 @@ from tidemark.staging import stage
 SEED = 42
 SKETCH = 256  # bits that verify pairs of wide fingerprints
 SMALL_GROUP = 32
+TILE = 512  # rows of a doubtful cluster that are compared with as many others at once
 COMPARE_ALL = 512  # groups up to this size are compared row by row; the result is the same
 
 
@@ -240,18 +241,47 @@ def close_links(group: np.ndarray, sketch: np.ndarray, distance: int) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
-def pairs_across(group: np.ndarray, label: np.ndarray, sketch: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All positions ``i < j`` of a group and of different labels within ``distance`` bits; ``group`` is sorted."""
-    active, off = np.arange(len(group)), 1
-    while True:
-        active = active[active + off < len(group)]
-        active = active[group[active] == group[active + off]]
-        if not len(active):
-            return
-        hit = active[label[active] != label[active + off]]
-        hit = hit[np.bitwise_count(sketch[hit] ^ sketch[hit + off]).sum(axis=-1, dtype=np.int64) <= distance]
-        yield hit, hit + off
-        off += 1
+def shared_counts(sets: list[np.ndarray], often: int = 32) -> np.ndarray:
+    """How many values each two of the sets share: those of many sets by products of bit columns, the others by pairs."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(value)
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    shared = np.zeros((n, n), np.int64)
+    many = df[value] > often
+    hot, hot_value = row[many], np.unique(value[many], return_inverse=True)[1]
+    for low in range(0, int(hot_value.max(initial=-1)) + 1, 4096):
+        here = (hot_value >= low) & (hot_value < low + 4096)
+        bits = np.zeros((n, 4096), np.float32)
+        bits[hot[here], hot_value[here] - low] = 1
+        shared += (bits @ bits.T).astype(np.int64)
+    row, value = row[~many], value[~many]
+    for off in range(1, often):
+        at = np.flatnonzero(value[off:] == value[:-off]) if off < len(value) else []
+        if not len(at):
+            break
+        shared += np.bincount(row[at] * n + row[at + off], minlength=n * n).reshape(n, n)
+    return np.maximum(shared, shared.T)
+
+
+def joining_links(label: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between rows of different labels whose sets are similar: a forest that joins all labels such links join."""
+    size = np.array([len(x) for x in sets])
+    shared = shared_counts(sets)
+    near = shared >= (size[:, None] + size[None, :] - shared) * similarity - 1e-9
+    a, b = np.nonzero(np.triu(near & (label[:, None] != label[None, :]), 1))
+    labels, of = np.unique(label, return_inverse=True)
+    own = np.arange(len(labels))
+    while len(a):  # a link is kept where it joins two trees; rounds of one link per tree
+        x, y = own[of[a]], own[of[b]]
+        a, b, x, y = a[x != y], b[x != y], x[x != y], y[x != y]
+        if not len(a):
+            break
+        first = np.unique(np.maximum(x, y), return_index=True)[1]
+        yield a[first], b[first]
+        own = roots(len(labels), np.concatenate([np.arange(len(labels)), x[first]]), np.concatenate([own, y[first]]))
 
 
 def _pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], held_pairs: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -271,6 +301,52 @@ def _pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], held_pairs: in
     yield batch()
 
 
+def _in_tiles(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cluster, low, high, node, label, shingles``: rows of doubtful clusters, once for each tile they are compared in.
+
+    The label that most rows of a cluster have is settled among itself: its blocks
+    meet the blocks of all other rows, and those meet each other.
+    """
+    counts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / F.lit(TILE)).cast("long")
+    sized = major.where("n > n_major").select("cluster", "major", blocks(F.col("n") - F.col("n_major")).alias("minor_blocks"), blocks(F.col("n_major")).alias("major_blocks"))
+    placed = labelled.join(sized.withColumn("cluster", dealt_anew("cluster")), "cluster").withColumn("is_major", F.col("label") == F.col("major"))
+    turn = F.xxhash64("node")
+    own = F.when(F.col("is_major"), F.col("minor_blocks") + F.pmod(turn, F.col("major_blocks"))).otherwise(F.pmod(turn, F.col("minor_blocks")))
+    others = F.when(F.col("is_major"), F.col("minor_blocks")).otherwise(F.col("minor_blocks") + F.col("major_blocks"))
+    met = placed.withColumn("own", own).select("cluster", "node", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("other"))
+    tiled = met.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label")
+    full = tiled.join(sets, "node").select("cluster", "low", "high", "node", "label", "shingles")
+    return full.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+
+
+def _tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of each tile, gathered from sorted batches: ``cluster, low, high, node, label, shingles``."""
+    key, held = None, []
+
+    def whole() -> tuple:
+        table = pa.Table.from_batches(held)
+        shingles = table.column("shingles").combine_chunks()
+        ends = shingles.offsets.to_numpy()
+        values = shingles.values.to_numpy()
+        return (*key, table.column("node").to_numpy(), table.column("label").to_numpy(), [values[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in ("cluster", "low", "high")]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+        bounds = [0, *edge, batch.num_rows] if batch.num_rows else []
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            now = tuple(int(c[x]) for c in columns)
+            if now != key:
+                if held:
+                    yield whole()
+                key, held = now, []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield whole()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, component_id, kept`` per row, for documents that share ``similarity`` of their shingles of ``width`` words.
 
@@ -283,10 +359,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     The sketch only proposes: a link counts if the shingles' Jaccard similarity,
     taken exactly over their hashes, is ``similarity`` or more. Proposed first are
     links that span all rows of a group within the loose limit, so near copies are
-    confirmed in proportion to their number. Where one of them is refuted, its rows
-    meet again, and all pairs not yet joined are decided: documents that resemble
-    each other without being near copies cost the square of those in a block.
-    ``kept`` is as in ``near_duplicates``.
+    confirmed in proportion to their number. Where one of them is refuted, the rows
+    around it are compared whole, in tiles: a row's shingles go to the tiles of its
+    cluster, a task compares the rows of a tile that are not joined yet and gives
+    only links that join more of them. So no row ever stands for a pair of
+    look-alikes, but their comparison costs the square of those that are left over
+    when most of a cluster is one component already. ``kept`` is as in ``near_duplicates``.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
     blocks = split_for(docs.count(), similarity, recall)
@@ -333,14 +411,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
 
         yield from _pair_batches(found())
 
-    def propose_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for key, node, label, *sketch in grouped(batches):
-                for a, b in pairs_across(key, label, np.stack(sketch, axis=1).view(np.uint64), blocks.loose):
-                    yield node[a], node[b]
-
-        yield from _pair_batches(found())
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_chunks(batch.column("text")):
@@ -348,6 +418,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
 
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for _, _, _, node, label, shingles in _tiles_of(batches):
+                for a, b in joining_links(label, shingles, similarity):
+                    yield node[a], node[b]
+
+        yield from _pair_batches(found())
+
     proposed = stage(met(nodes.select("bits", "node")).mapInArrow(propose, "a long, b long").distinct(), "proposed")
     ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("first.digest").alias("digest"))
@@ -361,13 +439,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     first = stage(judged(proposed), "judged")
     links = first.where("near").select("a", "b")
     linked = connected_components(links)
-    refuted = first.where(~F.col("near"))
+    refuted = first.where(~F.col("near")).select(F.col("a").alias("node"))
     if refuted.head(1):
-        around = connected_components(proposed)
-        doubtful = around.join(refuted.select(F.col("a").alias("node")).join(around, "node").select("component").distinct(), "component", "left_semi").select("node")
-        parted = nodes.join(doubtful, "node").select("bits", "node").join(linked, "node", "left").select("bits", "node", F.coalesce("component", "node").alias("label"))
-        rest = met(parted).mapInArrow(propose_rest, "a long, b long").distinct().join(refuted, ["a", "b"], "left_anti")
-        linked = connected_components(links.unionByName(judged(rest).where("near").select("a", "b")))
+        around = stage(connected_components(proposed).withColumnRenamed("component", "cluster"), "clusters")
+        doubtful = around.join(refuted.join(around, "node").select("cluster").distinct(), "cluster", "left_semi")
+        labelled = stage(doubtful.join(linked, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("label")), "doubtful")
+        found = _in_tiles(labelled, sets).mapInArrow(decide, "a long, b long")
+        linked = connected_components(links.unionByName(found))
     member = nodes.join(linked, "node", "left").select("bits", "first", F.coalesce("component", "node").alias("_component"))
     least = member.groupBy("_component").agg(F.min("first").alias("_first"))
     of_bits = member.join(least.withColumn("_component", dealt_anew("_component")), "_component").select("bits", "_first")
