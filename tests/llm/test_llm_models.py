@@ -123,9 +123,11 @@ def test_embeddings_against_all_pairs(spark):
         if r[0] is not None:
             least[root[k]] = min(least.get(root[k], r[0]), r[0])
     want = Counter((r[0], want_n[k], least.get(root[k]), r[0] == least.get(root[k])) for k, r in enumerate(rows))
-    got = Counter(map(tuple, embeddings.near_duplicates(table, rows_per_task=400).collect()))
-    assert sum((want & got).values()) >= len(rows) - 4  # passes are random; all but a stray pair are found
-    assert Counter(x[0] for x in got.elements()) == Counter(x[0] for x in want.elements())
+    got = Counter(map(tuple, embeddings.near_duplicates(table).collect()))
+    assert got == want  # windows as wide as a label find every link
+    narrow = Counter(map(tuple, embeddings.near_duplicates(table, window=16).collect()))
+    assert sum((want & narrow).values()) >= len(rows) - 6  # passes are random; all but stray pairs are found
+    assert Counter(x[0] for x in narrow.elements()) == Counter(x[0] for x in want.elements())
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
@@ -140,21 +142,36 @@ def test_links_inside_a_dense_topic(spark):
     want = (links | links.T).sum(axis=1)
     table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()} == dict(enumerate(want.tolist()))
-    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, bucket=150, tile=200, rows_per_task=2_000).collect()}
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, window=100).collect()}
     assert all(got[k] <= n for k, n in enumerate(want.tolist())) and sum(got.values()) >= 0.98 * want.sum() > 150
 
 
 @pytest.mark.parametrize("rows", [10**4, 10**6, 10**8])
 def test_passes_follow_the_rows_of_a_label(rows):
-    bits, passes = embeddings.passes_for(rows, 0.93, 0.999, 2_048, 8_192)
-    together = (1 - np.arccos(0.93) / np.pi) ** bits
-    assert rows / 2**bits <= 2_048 and 1 - (1 - together) ** passes >= 0.999
+    passes = embeddings.passes_for(rows, 0.93, 0.999, 2_048)
+    together = (1 - np.arccos(0.93) / np.pi) ** np.ceil(np.log2(rows / 2_048))
+    assert 1 - (1 - together) ** passes >= 0.999 and embeddings.passes_for(2_000, 0.93, 0.999, 2_048) == 1
 
 
-def test_windows_follow_long_runs():
-    unit = np.tile(np.eye(4)[:1], (300, 1))
-    a, b = embeddings.window_pairs(np.zeros(300, np.int64), unit, 0.9, 3)
-    assert len(a) == 300 * 299 // 2
+def test_a_link_is_counted_once_and_leaves_a_forest(spark, tmp_path, monkeypatch):
+    from tidemark import staging
+
+    monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path))
+    rng = np.random.default_rng(6)
+    x = (np.eye(8)[0] + rng.normal(size=(400, 8)) * 0.01).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(table, window=20).collect()
+    assert max(r.n_links for r in got) <= 399 and {r.component_id for r in got} == {0} and sum(r.n_links for r in got) >= 0.98 * 400 * 399
+    sizes = [spark.read.parquet(str(p)).where("b >= 0").count() for p in tmp_path.iterdir() if p.name.startswith("pass-")]
+    assert sizes and max(sizes) < 2 * 400 * 2  # links that leave a pass, not its pairs
+
+
+def test_bands_end_at_the_window():
+    unit = np.tile(np.eye(4)[:1], (60, 1))
+    place = np.arange(100, 160)
+    found = [x for x in embeddings._band_pairs(place, np.repeat([0, 1], 30), unit, np.ones(60, bool), 0.9, 7, rows=11)]
+    pairs = {(int(a), int(b)) for i, j in found for a, b in zip(i, j, strict=True)}
+    assert pairs == {(i, j) for g in (0, 30) for i in range(g, g + 30) for j in range(i + 1, min(i + 8, g + 30))}
 
 
 def test_components_over_chains_and_stars(spark):
