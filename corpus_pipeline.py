@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chunking, exact, packing, simhash, toxicity
 from tidemark.llm.queries import reachable, vocabulary
-from tidemark.llm.rows import text_digest, without
+from tidemark.llm.rows import free_name, text_digest, without
 from tidemark.staging import stage
 
 
@@ -41,9 +41,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the repeated passages that occur before; ``n_chars`` follows the text, nulls stay null."""
     reachable(spark)
-    cut = chunking.remove_repeats(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("_cut.kept"))
-    changed = {"text": text} | ({"n_chars": F.when(F.size("_cut.spans") > 0, F.char_length("_cut.kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    name = free_name(docs, "_cut")
+    cut = chunking.remove_repeats(docs, out=name)
+    kept = F.col(f"{name}.kept")
+    changed = {"text": F.when(F.col("text").isNotNull(), kept)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size(f"{name}.spans") > 0, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
     return cut.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
