@@ -15,6 +15,7 @@ SAMPLE = [
     "top_hotspots", "change_coupling_pairs", "containment_ratio", "accretion_ratchet", "glob_path_join", "mdlink_resolution_join",
     "age_markers", "scan_sensitive_content", "instruction_score", "scan_mutation_reports", "run_certification", "keyhole_summary",
     "weak_components", "communities_of_groups", "stream_first_flagged", "sink_actions_contract", "colocated_test_join", "import_edge_build",
+    "strong_components", "dependency_levels", "hot_file_groups", "overlapping_grouping_pairs", "stream_late_rows", "sink_run_log", "hidden_coupling", "quality_gate", "co_commit_semi_join", "redact",
     "grouping_disagreement", "hotspot_transitions", "directory_rollup", "authorship_class", "nearest_ancestor_join", "needs_attention",
 ]
 

@@ -2,19 +2,23 @@
 
 "Same boundary" and "same community" relate every pair of files of a group, so
 a boundary over a third of the tree would mean billions of pairs. They are kept
-as groups: files with the same boundaries form a class, and pairs are counted by
-the sizes of boundaries and their intersections. Only the co-change relation,
-which is sparse, is held as pairs.
+as groups: files with the same boundaries form a class, and a pair is counted
+once, at the widest boundary that holds both files, from the classes' sizes. Only
+the co-change relation, which is sparse, is held as pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths
-from tidemark.scale import skewed_join
+from tidemark.scale import positions, skewed_join
 from tidemark.staging import stage
 
 Seams = list[tuple[str, str]]
@@ -54,47 +58,88 @@ def file_classes(ownership: DataFrame, seams: Seams) -> DataFrame:
     return ownership.groupBy("repo", "path").agg(sig.alias("sig")).withColumn("sides", _sides(F.col("path"), seams))
 
 
-MOST_OVERLAPS = 16
+#: Classes of one boundary that are compared at once; more are cut into tiles.
+TILE = 2048
 
 
-def _overlaps(classes: DataFrame, extra: list[str]) -> DataFrame:
-    """Sizes of the intersections of boundaries that occur: ``repo, part, sides, n, sign`` and ``extra``.
+def _by_boundary(classes: DataFrame, extra: list[str]) -> DataFrame:
+    """``repo, boundary, extra, before, sides, n``: the files of every boundary by the wider boundaries they lie in.
 
-    A boundary inside another adds no pair and goes first. Pairs that share any
-    of the rest are, by inclusion and exclusion, a signed sum over the sets of
-    boundaries that some file has together; so rows grow with files and rules,
-    never with pairs. More than ``MOST_OVERLAPS`` boundaries that overlap on one
-    file without one holding another raise an error.
+    Boundaries are numbered from the widest on, and ``before`` lists the numbers
+    below a boundary's own. Two files count as a pair where the first boundary that
+    holds both is: where they share none before. Rows grow with files times rules,
+    and files that agree on ``before`` are one row; a wide boundary has few such.
     """
-    sized = stage(classes.groupBy("repo", "sig", "sides", *extra).agg(F.count(F.lit(1)).alias("n")), "classes")
-    single = sized.select("repo", "n", F.explode("sig").alias("a")).groupBy("repo", "a").agg(F.sum("n").alias("n_a"))
-    both = sized.select("repo", "n", "sig", F.explode("sig").alias("a")).select("repo", "n", "a", F.explode("sig").alias("b"))
-    both = both.where("a <> b").groupBy("repo", "a", "b").agg(F.sum("n").alias("n_ab"))
-    other = single.select("repo", F.col("a").alias("b"), F.col("n_a").alias("n_b"))
-    inside = both.join(single, ["repo", "a"]).join(other, ["repo", "b"]).where("n_ab = n_a AND (n_b > n_a OR a > b)").select("repo", "a").distinct()
-    kept = stage(sized.withColumn("_row", F.monotonically_increasing_id()), "classes")
-    left = skewed_join(kept.select("repo", "_row", F.explode("sig").alias("a")), inside, ["repo", "a"], "left_anti").groupBy("_row").agg(F.sort_array(F.collect_set("a")).alias("rest"))
-    merged = kept.join(left, "_row").groupBy("repo", "rest", "sides", *extra).agg(F.sum("n").alias("n"))
-    bits = F.expr("sequence(1L, shiftleft(1L, size(rest)) - 1L)")
-    checked = merged.withColumn("rest", F.when(F.size("rest") <= MOST_OVERLAPS, F.col("rest")).otherwise(F.raise_error(F.lit("too many overlapping boundaries on one file"))))
-    parts = checked.select("*", F.explode(bits).alias("_bits")).withColumn("part", F.expr("filter(rest, (x, i) -> (shiftright(_bits, i) & 1) = 1)"))
-    sign = F.when(F.size("part") % 2 == 1, 1).otherwise(-1).cast("long")
-    return parts.groupBy("repo", "part", "sides", *extra).agg(F.sum("n").alias("n")).withColumn("sign", sign)
-
-
-def _pairs(same: Column, n_a: Column, n_b: Column) -> Column:
-    return F.when(same, (n_a * (n_a - 1) / 2).cast("long")).otherwise(n_a * n_b)
-
+    sized = stage(classes.groupBy("repo", "sig", "sides", *extra).agg(F.count(F.lit(1)).alias("n")).withColumn("_row", F.monotonically_increasing_id()), "classes")
+    held = sized.select("repo", "_row", "n", F.explode("sig").alias("boundary"))
+    width = held.groupBy("repo", "boundary").agg(F.sum("n").alias("width"))
+    widest = width.withColumn("_order", F.struct((-F.col("width")).alias("width"), "boundary"))
+    numbers = positions(widest, "repo", "_order", "number").select("repo", "boundary", "number")
+    numbered = skewed_join(held.select("repo", "_row", "boundary"), numbers, ["repo", "boundary"]).groupBy("_row").agg(F.sort_array(F.collect_list("number")).alias("all"))
+    placed = sized.drop("sig").join(numbered, "_row").select("repo", "sides", *extra, "n", "all", F.posexplode("all").alias("at", "boundary"))
+    return placed.groupBy("repo", "boundary", *extra, F.slice("all", F.lit(1), F.col("at")).alias("before"), "sides").agg(F.sum("n").alias("n"))
+
+
+def _tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the tile they are compared in: a group of many rows is cut into blocks, and every two blocks meet."""
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks"))
+    cut = skewed_join(rows, blocks, keys).withColumn("own", F.pmod(F.xxhash64("before", "sides"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return cut.withColumn("other", other).select(
+        *keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("is_high"), "before", "sides", "n"
+    )
 
-def _side_key(sides: str) -> Column:
-    return F.array_join(F.transform(sides, lambda s: s.cast("string")), ",")
 
+def _first_shared(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``repo, pairs``: file pairs of each group that share nothing in ``before`` and cross no seam.
 
-def _pair_total(sized: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Signed pairs per repository of files with equal ``keys``; pairs that cross a seam do not count."""
-    other = sized.select(*keys, F.col("sides").alias("sides_b"), F.col("n").alias("n_b"))
-    both = sized.join(other, keys).where((_side_key("sides") <= _side_key("sides_b")) & ~_on_seam(F.col("sides"), F.col("sides_b")))
-    return both.groupBy("repo").agg(F.sum(F.col("sign") * _pairs(F.col("sides") == F.col("sides_b"), F.col("n"), F.col("n_b"))).alias(out))
+    A tile is one comparison of bit rows; it gives one number, never its pairs.
+    """
+    names = [*keys, "low", "high"]
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            last = (frame[names] == frame[names].iloc[-1]).all(axis=1).to_numpy()
+            at = int(np.flatnonzero(last)[0])
+            rest = frame.iloc[at:]
+            if at:
+                yield _tile_pairs(frame.iloc[:at], names)
+        if rest is not None and len(rest):
+            yield _tile_pairs(rest, names)
+
+    dealt = _tiles(groups, keys).repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInPandas(counted, "repo string, pairs long").groupBy("repo").agg(F.sum("pairs").alias("pairs"))
+
+
+def _tile_pairs(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    out: dict[str, int] = {}
+    for key, tile in rows.groupby(names, sort=False):
+        repo, low, high = key[0], key[-2], key[-1]
+        out[repo] = out.get(repo, 0) + _pairs_of(tile, low == high)
+    return pd.DataFrame({"repo": list(out), "pairs": list(out.values())}).astype({"repo": "object", "pairs": "int64"})
+
+
+def _pairs_of(tile: pd.DataFrame, same: bool) -> int:
+    """Pairs between the two blocks of a tile, or within its one."""
+    n = tile["n"].to_numpy(np.int64)
+    if len(n) == 1 and not len(tile["before"].iloc[0]) and not len(tile["sides"].iloc[0]):
+        return int(n[0]) * (int(n[0]) - 1) // 2 if same else 0
+    numbers = {x: i for i, x in enumerate(sorted({x for b in tile["before"] for x in b}))}
+    wide = np.zeros((len(tile), max(len(numbers), 1)), np.float32)
+    for i, before in enumerate(tile["before"]):
+        wide[i, [numbers[x] for x in before]] = 1
+    sides = np.stack(tile["sides"].to_numpy()).astype(np.int64).reshape(len(tile), -1)
+    low, high = (sides & 1).astype(np.float32), (sides >> 1 & 1).astype(np.float32)
+    one, two = (slice(None), slice(None)) if same else (np.flatnonzero(~tile["is_high"].to_numpy()), np.flatnonzero(tile["is_high"].to_numpy()))
+    apart = (wide[one] @ wide[two].T == 0) & (low[one] @ high[two].T == 0) & (high[one] @ low[two].T == 0)
+    total = int((apart.astype(np.int64) @ n[two] * n[one]).sum())
+    if not same:
+        return total
+    return (total - int((np.diagonal(apart) * n).sum())) // 2
 
 
 def human_pair_counts(ownership: DataFrame, seams: Seams | None = None) -> DataFrame:
@@ -103,7 +148,7 @@ def human_pair_counts(ownership: DataFrame, seams: Seams | None = None) -> DataF
 
 
 def _human_total(classes: DataFrame) -> DataFrame:
-    return _pair_total(_overlaps(classes, []), ["repo", "part"], "pairs")
+    return _first_shared(_by_boundary(classes, []), ["repo", "boundary"])
 
 
 def boundary_pairs(ownership: DataFrame) -> DataFrame:
@@ -119,16 +164,15 @@ def static_pair_counts(communities: DataFrame) -> DataFrame:
 
 
 def _static_total(communities: DataFrame, seams: Seams) -> DataFrame:
-    sized = communities.withColumn("sides", _sides(F.col("path"), seams)).groupBy("repo", "community", "sides").agg(
-        F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("sign")
-    )
-    return _pair_total(sized, ["repo", "community"], "s")
+    none = F.array().cast("array<bigint>").alias("before")
+    sized = communities.withColumn("sides", _sides(F.col("path"), seams)).groupBy("repo", "community", "sides").agg(F.count(F.lit(1)).alias("n"))
+    return _first_shared(sized.select("repo", "community", none, "sides", "n"), ["repo", "community"]).withColumnRenamed("pairs", "s")
 
 
 def _agreed_total(classes: DataFrame, communities: DataFrame) -> DataFrame:
     """Pairs that share a boundary and a community."""
     placed = skewed_join(classes, communities.select("repo", "path", "community"), ["repo", "path"])
-    return _pair_total(_overlaps(placed, ["community"]), ["repo", "part", "community"], "hs")
+    return _first_shared(_by_boundary(placed, ["community"]), ["repo", "boundary", "community"]).withColumnRenamed("pairs", "hs")
 
 
 def cochange_against_ownership(cochange: DataFrame, ownership: DataFrame, seams: Seams | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths
+from tidemark.operators.contraction import islands
 from tidemark.scale import HOT_ROWS, positions, salted_lookup, top_k
 from tidemark.staging import stage, unstage
 
@@ -55,6 +56,10 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
+#: What later iterations of ``pagerank`` may add to a repository's ranks, all together, before they are left out.
+RANK_LEFT = 1e-11
+
+
 def pagerank(
     nodes: DataFrame,
     edges: DataFrame,
@@ -72,6 +77,10 @@ def pagerank(
     The loop therefore needs no number per repository between iterations. A node
     sends its own record along a self row, so one join and one aggregate make an
     iteration, and ``rounds_per_stage`` of them are planned between two writes.
+
+    What is left of z after an iteration bounds all that later ones can add, and
+    every one of them keeps at most ``alpha`` of it. Once a write shows that no
+    repository has more than ``RANK_LEFT`` of it, the rest counts as zero.
     """
     sliced, sources = _sliced(edges, hot_rows)
     sizes = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
@@ -111,12 +120,15 @@ def pagerank(
         state = stage(reduce(lambda df, _: step(df), range(rounds), fresh), "ranks")
         written.append((done + 1, state))
         done += rounds
+        left = state.groupBy("repo").agg(F.sum("z").alias("left"))
+        if _total(left, F.max("left")) * alpha / (1 - alpha) < RANK_LEFT:
+            break
     unstage(links)
     parts = reduce(DataFrame.unionByName, [df.select("repo", "node", F.lit(at).alias("at"), "past") for at, df in written])
     sums = parts.select("repo", "at", F.posexplode("past").alias("k", "z")).groupBy("repo", (F.col("at") + F.col("k")).alias("j")).agg(F.sum("z").alias("s"))
     later = sums.where("j > 0").groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda x: x["s"]).alias("s"))
     next_u = lambda u, s: F.array_append(
-        u, 1.0 - F.aggregate(F.zip_with(F.reverse(u), F.slice(s, 1, F.size(u)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        u, 1.0 - F.aggregate(F.zip_with(F.reverse(u), F.slice(s, 1, F.size(u)), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     )
     u = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.array(F.lit(1.0)), lambda u, _: next_u(u, F.col("s")))
     weights = (later.select("repo", u.alias("u")) if iterations else linked.select("repo", F.array(F.lit(1.0)).alias("u")))
@@ -127,34 +139,8 @@ def pagerank(
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest node of each island, by label spreading with pointer jumping (2.9.5)."""
-    both = edges.select("repo", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
-        edges.select("repo", F.col("dst").alias("a"), F.col("src").alias("b"))
-    )
-    both = stage(both.where(F.col("a") != F.col("b")).distinct(), "links")
-    labels = stage(nodes.select("repo", "node", F.col("node").alias("label")), "labels")
-    while True:
-        near = (
-            both.join(labels.select("repo", F.col("node").alias("b"), "label"), ["repo", "b"])
-            .groupBy("repo", F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, ["repo", "node"], "left").select(
-            "repo", "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        lower = stage(lower, "labels")
-        jump = lower.select("repo", F.col("node").alias("label"), F.col("label").alias("root"))
-        fresh = stage(
-            lower.join(jump, ["repo", "label"], "left").select(
-                "repo", "node", "old", F.least("label", "root").alias("label")
-            ),
-            "labels",
-        )
-        unstage(labels, lower)
-        if _total(fresh, F.count_if(F.col("old") != F.col("label"))) == 0:
-            unstage(both)
-            return fresh.select("repo", "node", F.col("label").alias("component"))
-        labels = fresh
+    """Smallest node of each island, by forests and star contraction (2.9.5)."""
+    return islands(nodes, edges.select("repo", F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame, gather: int = 8) -> DataFrame:
@@ -288,65 +274,63 @@ def _trimmed(edges: DataFrame, rounds_per_stage: int = 4) -> DataFrame:
             return live
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _colours(live: DataFrame, steps_per_stage: int) -> DataFrame:
+    """``repo, node, fwd, bwd``: the smallest node that reaches each node, and the smallest it reaches. A staged table.
+
+    A node sends its own record along a row of its own, its forward label along
+    its edges and its backward label against them, so one join and one aggregate
+    make a step for both directions and a written table holds several steps. Labels
+    then jump to the labels of the nodes they name.
+    """
+    row = lambda a, b, kind: live.select("repo", F.col(a).alias("node"), F.col(b).alias("to"), F.lit(kind).alias("kind"))
+    nodes = live.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    own = nodes.select("repo", "node", F.col("node").alias("to"), F.lit("own").alias("kind"))
+    sends = stage(row("src", "dst", "fwd").unionByName(row("dst", "src", "bwd")).unionByName(own), "sends")
+    labels, mark = nodes.select("repo", "node", F.col("node").alias("fwd"), F.col("node").alias("bwd")), None
+
+    def step(df: DataFrame) -> DataFrame:
+        carried = lambda c: F.min(F.when(F.col("kind").isin("own", c), F.col(c))).alias(c)
+        return df.join(sends, ["repo", "node"]).groupBy("repo", F.col("to").alias("node")).agg(carried("fwd"), carried("bwd"))
+
+    written = None
+    while True:
+        fresh = stage(reduce(lambda df, _: step(df), range(steps_per_stage), labels), "labels")
+        now = tuple(fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("repo", "node", "fwd", "bwd").cast("decimal(38,0)"))).first())
+        if written is not None:
+            unstage(written)
+        written = fresh
+        if now == mark:
+            unstage(sends)
+            return fresh
+        mark = now
+        jump = lambda c: fresh.select("repo", F.col("node").alias(c), F.col(c).alias(f"next_{c}"))  # noqa: E731, B023
+        jumped = fresh.join(jump("fwd"), ["repo", "fwd"], "left").join(jump("bwd"), ["repo", "bwd"], "left")
+        labels = jumped.select("repo", "node", F.least("fwd", "next_fwd").alias("fwd"), F.least("bwd", "next_bwd").alias("bwd"))
+
+
+def strong_components(edges: DataFrame, steps_per_stage: int = 6) -> DataFrame:
     """Members of every cycle, labelled by the smallest member (2.9.12).
 
-    Each round finds the smallest node that reaches a node and the smallest it
-    reaches. Equal labels put a node into that component; edges between nodes
-    with different labels cannot lie on a cycle and are cut.
+    Forward and backward colouring with every local minimum as a pivot: each round
+    finds the smallest node that reaches a node and the smallest it reaches. Equal
+    labels put a node into that component; edges between nodes with different
+    labels cannot lie on a cycle and are cut, and what then has no edges on one
+    side is trimmed before the next round.
     """
     live = _trimmed(edges.where(F.col("src") != F.col("dst")).select("repo", "src", "dst").distinct())
     found: list[DataFrame] = []
-    while True:
-        # only nodes with edges on both sides can lie on a cycle
-        has_out = live.select("repo", F.col("src").alias("node")).distinct()
-        has_in = live.select("repo", F.col("dst").alias("node")).distinct()
-        nodes = has_out.join(has_in, ["repo", "node"], "left_semi")
-        labels = stage(nodes.select("repo", "node", F.col("node").alias("fwd"), F.col("node").alias("bwd")), "labels")
-        if labels.isEmpty():
-            unstage(labels, live)
-            break
-        while True:
-            src = labels.select("repo", F.col("node").alias("src"), F.col("fwd").alias("v"))
-            dst = labels.select("repo", F.col("node").alias("dst"), F.col("bwd").alias("v"))
-            none = F.lit(None).cast("string")
-            pushed = (
-                live.join(src, ["repo", "src"]).select("repo", F.col("dst").alias("node"), F.col("v").alias("f"), none.alias("b"))
-                .unionByName(
-                    live.join(dst, ["repo", "dst"]).select("repo", F.col("src").alias("node"), none.alias("f"), F.col("v").alias("b"))
-                )
-                .groupBy("repo", "node")
-                .agg(F.min("f").alias("f"), F.min("b").alias("b"))
-            )
-            lower = labels.join(pushed, ["repo", "node"], "left").select(
-                "repo", "node", F.col("fwd").alias("of"), F.col("bwd").alias("ob"),
-                F.least("fwd", "f").alias("fwd"), F.least("bwd", "b").alias("bwd"),
-            )
-            lower = stage(lower, "labels")
-            # a label's own label reaches just as far: jump along it
-            jf = lower.select("repo", F.col("node").alias("fwd"), F.col("fwd").alias("jf"))
-            jb = lower.select("repo", F.col("node").alias("bwd"), F.col("bwd").alias("jb"))
-            fresh = stage(
-                lower.join(jf, ["repo", "fwd"], "left").join(jb, ["repo", "bwd"], "left").select(
-                    "repo", "node", "of", "ob", F.least("fwd", "jf").alias("fwd"), F.least("bwd", "jb").alias("bwd")
-                ),
-                "labels",
-            )
-            unstage(labels, lower)
-            labels = fresh
-            if _total(fresh, F.count_if((F.col("of") != F.col("fwd")) | (F.col("ob") != F.col("bwd")))) == 0:
-                break
+    while not live.isEmpty():
+        labels = _colours(live, steps_per_stage)
         same = labels.where(F.col("fwd") == F.col("bwd"))
         found.append(stage(same.select("repo", "node", F.col("fwd").alias("component")), "components"))
         rest = labels.where(F.col("fwd") != F.col("bwd"))
         a = rest.select("repo", F.col("node").alias("src"), F.struct("fwd", "bwd").alias("sa"))
         b = rest.select("repo", F.col("node").alias("dst"), F.struct("fwd", "bwd").alias("sb"))
-        cut = stage(
-            live.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).where(F.col("sa") == F.col("sb")).select("repo", "src", "dst"),
-            "edges",
-        )
+        inner = live.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).where(F.col("sa") == F.col("sb")).select("repo", "src", "dst")
+        cut = _trimmed(inner)
         unstage(live, labels)
         live = cut
+    unstage(live)
     if not found:
         return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     members = reduce(DataFrame.unionByName, found)
@@ -384,114 +368,152 @@ def modularity_q(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return every.join(linked, "repo", "left").select("repo", F.coalesce("q", F.lit(0.0)).alias("modularity_q"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Greedy modularity merging, many disjoint merges per round (2.9.14).
+def _picks(between: DataFrame) -> DataFrame:
+    """The neighbour each community gains most with: ``repo, x, y, w, dx, dy, m``; none where no merge gains.
 
-    In each round every community picks the neighbour with the largest gain;
-    pairs that pick each other merge, and communities with a single neighbour
-    join it. Rounds end when no merge gains. They do end: gains are in one total
-    order, so the pair with the largest picks each other and every round has
-    fewer communities than the one before. The partition is one local optimum; its Q is the contract, not the labels.
+    Gains are in one total order of pairs, so picks never go round in a circle of three or more.
+    """
+    gain = F.round(F.col("w") / F.col("m") - F.col("dx") * F.col("dy") / (2 * F.col("m") * F.col("m")), 12)
+    order = F.struct("gain", F.least("x", "y"), F.greatest("x", "y"))
+    gaining = between.withColumn("gain", gain).where("gain > 0")
+    best = gaining.groupBy("repo", "x").agg(F.max_by(F.struct("y", "w", "dx", "dy", "m"), order).alias("best"))
+    return best.select("repo", "x", "best.*")
+
+
+def _moves(picks: DataFrame) -> DataFrame:
+    """``repo, x, target, d`` for every community that takes part in a merge; ``d`` is the degree of what it becomes.
+
+    Two that pick each other merge. Others that picked one of the two follow at
+    once if they gain even when all followers come: each is charged half of what
+    the rest of them cost it, so a round never loses modularity and a hub takes
+    its neighbourhood together.
+    """
+    swapped = picks.select("repo", F.col("y").alias("x"), F.col("x").alias("y"))
+    pairs = picks.join(swapped, ["repo", "x", "y"]).select("repo", "x", F.least("x", "y").alias("target"), (F.col("dx") + F.col("dy")).alias("d_pair"))
+    followers = picks.join(pairs, ["repo", "x"], "left_anti").join(pairs.withColumnRenamed("x", "y"), ["repo", "y"])
+    load = followers.groupBy("repo", "target").agg(F.sum("dx").alias("load"))
+    cost = F.col("dx") * (F.col("d_pair") + (F.col("load") - F.col("dx")) / 2) / (2 * F.col("m") * F.col("m"))
+    follow = followers.join(load, ["repo", "target"]).where(F.round(F.col("w") / F.col("m") - cost, 12) > 0)
+    added = follow.groupBy("repo", "target").agg(F.sum("dx").alias("added"))
+    members = pairs.select("repo", "x", "target").unionByName(follow.select("repo", "x", "target"))
+    size = pairs.groupBy("repo", "target").agg(F.first("d_pair").alias("d_pair")).join(added, ["repo", "target"], "left")
+    return members.join(size.select("repo", "target", (F.col("d_pair") + F.coalesce("added", F.lit(0.0))).alias("d")), ["repo", "target"])
+
+
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Modularity clusters by merging whole neighbourhoods, level by level (2.9.13).
+
+    A round merges communities (see ``_moves``) and contracts the links between
+    them, so the next one works on a smaller graph. Rounds end when no merge
+    gains; they do end, because the pair with the largest gain picks each other.
+    Degrees travel with the links, so a round takes one aggregate to pick, joins on
+    the few picks, and one aggregate to contract. The partition is one local
+    optimum; its Q is the contract, not the labels.
     """
     links = undirected(edges)
     totals = links.groupBy("repo").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    part = stage(nodes.select("repo", "node", F.col("node").alias("community")), "communities")
-    between = stage(
-        links.select("repo", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("w"))
-        .unionByName(links.select("repo", F.col("b").alias("x"), F.col("a").alias("y"), F.lit(1.0).alias("w"))),
-        "between",
+    both = links.select("repo", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
+        links.select("repo", F.col("b").alias("x"), F.col("a").alias("y"))
     )
-    totals = stage(totals, "totals")
+    both = stage(both, "links")
+    deg = both.groupBy("repo", "x").agg(F.count(F.lit(1)).cast("double").alias("dx"))
+    weighed = both.join(deg, ["repo", "x"]).join(deg.select("repo", F.col("x").alias("y"), F.col("dx").alias("dy")), ["repo", "y"])
+    between = stage(salted_lookup(weighed.withColumn("w", F.lit(1.0)), totals, ["repo"], "inner").select(*BETWEEN), "between")
+    unstage(both)
+    levels = []
     while True:
-        # inner weight (x = y) is counted from both ends, so row sums are degrees
-        deg = between.groupBy("repo", "x").agg(F.sum("w").alias("d"))
-        outer = between.where(F.col("x") != F.col("y"))
-        gains = salted_lookup(
-            outer.join(deg.select("repo", "x", F.col("d").alias("dx")), ["repo", "x"]).join(
-                deg.select("repo", F.col("x").alias("y"), F.col("d").alias("dy")), ["repo", "y"]
-            ),
-            totals,
-            ["repo"],
-        ).withColumn("gain", F.round(F.col("w") / F.col("m") - F.col("dx") * F.col("dy") / (2 * F.col("m") * F.col("m")), 12))
-        order = F.struct(F.col("gain"), F.least("x", "y"), F.greatest("x", "y"))
-        best = stage(
-            gains.where(F.col("gain") > 0).groupBy("repo", "x").agg(F.max_by("y", order).alias("y"), F.count(F.lit(1)).alias("n")),
-            "best",
-        )
-        if best.isEmpty():
-            unstage(best, between, totals)
+        moves = stage(_moves(_picks(between)), "moves")
+        if moves.isEmpty():
+            unstage(moves, between)
             break
-        neighbours = outer.groupBy("repo", "x").agg(F.count(F.lit(1)).alias("all_n"))
-        back = best.select("repo", F.col("x").alias("y"), F.col("y").alias("back"))
-        picks = best.join(back, ["repo", "y"], "left").join(neighbours, ["repo", "x"])
-        mutual = F.col("back") == F.col("x")
-        moves = picks.select(
-            "repo",
-            F.col("x").alias("community"),
-            F.when(mutual, F.least("x", "y")).when(F.col("all_n") == 1, F.col("y")).alias("target"),
-        ).where(F.col("target").isNotNull() & (F.col("target") != F.col("community")))
-        hop = moves.select("repo", F.col("community").alias("target"), F.col("target").alias("final"))
-        moves = stage(
-            moves.join(hop, ["repo", "target"], "left").select("repo", "community", F.coalesce("final", "target").alias("target")),
-            "moves",
-        )
-        moved = stage(
-            part.join(moves, ["repo", "community"], "left").select("repo", "node", F.coalesce("target", "community").alias("community")),
-            "communities",
-        )
-        unstage(part)
-        part = moved
-        mx = moves.select("repo", F.col("community").alias("x"), F.col("target").alias("tx"))
-        my = moves.select("repo", F.col("community").alias("y"), F.col("target").alias("ty"))
-        merged = stage(
-            between.join(mx, ["repo", "x"], "left").join(my, ["repo", "y"], "left")
-            .groupBy("repo", F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y"))
-            .agg(F.sum("w").alias("w")),
-            "between",
+        levels.append(moves)
+        of = lambda c: moves.select("repo", F.col("x").alias(c), F.col("target").alias(f"t{c}"), F.col("d").alias(f"n{c}"))  # noqa: E731, B023
+        joined = between.join(of("x"), ["repo", "x"], "left").join(of("y"), ["repo", "y"], "left").select(
+            "repo", F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y"), "w", F.coalesce("nx", "dx").alias("dx"), F.coalesce("ny", "dy").alias("dy"), "m"
         )
-        unstage(between, best, moves)
-        between = merged
-    return part.select("repo", "node", "community")
+        contracted = joined.where("x <> y").groupBy("repo", "x", "y").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("dx", "dy", "m")])
+        contracted = stage(contracted.select(*BETWEEN), "between")
+        unstage(between)
+        between = contracted
+    part = nodes.select("repo", "node", F.col("node").alias("community"))
+    for moves in levels:
+        step = moves.select("repo", F.col("x").alias("community"), "target")
+        part = part.join(step, ["repo", "community"], "left").select("repo", "node", F.coalesce("target", "community").alias("community"))
+    return part
+
+
+BETWEEN = ["repo", "x", "y", "w", "dx", "dy", "m"]
+
+
+def _one_blocker(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Items that wait for one other item: ``repo, item, to, w, base``; their level is ``max(base, level(to) + w)``."""
+    single = edges.groupBy("repo", "item").agg(F.count(F.lit(1)).alias("n"), F.first("to").alias("to"), F.first("w").alias("w")).where("n = 1")
+    return single.join(nodes.select("repo", "item", "base"), ["repo", "item"]).select("repo", "item", "to", "w", "base")
+
+
+def _jumped(single: DataFrame) -> DataFrame:
+    """Each item past the item it waits for, where that one waits for one other itself."""
+    past = single.select("repo", F.col("item").alias("to"), F.col("to").alias("next"), F.col("w").alias("w2"), F.col("base").alias("base2"))
+    both = single.join(past, ["repo", "to"], "left")
+    none = F.lit(0).cast("long")
+    return both.select(
+        "repo", "item", F.coalesce("next", "to").alias("to"), (F.col("w") + F.coalesce("w2", none)).alias("w"),
+        F.greatest("base", F.when(F.col("next").isNotNull(), F.col("w") + F.col("base2"))).alias("base"),
+    )
 
 
-def dependency_levels(deps: DataFrame, rounds_per_stage: int = 4) -> DataFrame:
+def dependency_levels(deps: DataFrame, jumps_per_stage: int = 2) -> DataFrame:
     """Wave of each work item; null on or behind a cycle (2.9.16).
 
-    ``deps(repo, item, blocked_by)`` with one row per blocker, or a null blocker.
-    Items without open blockers leave, and with them the blocks they cause.
+    ``deps(repo, item, blocked_by)`` with one row per blocker, or a null blocker. An
+    item's level is ``max(base, level(to) + w)`` over the items it still waits for.
+    Each round settles items that wait for nothing any more and takes them out;
+    items that wait for one other jump past it, twice as far with every jump, so a
+    chain takes the logarithm of its length; items that wait for several wait for
+    where those jumped to, and count as one blocker what met there, so diamonds
+    close. Who jumps further than there are items is behind a cycle, and so is
+    whatever is left when nothing settles or jumps.
     """
-    items = deps.select("repo", "item").unionByName(
-        deps.where(F.col("blocked_by").isNotNull()).select("repo", F.col("blocked_by").alias("item"))
-    ).distinct()
-    blocks = stage(deps.where(F.col("blocked_by").isNotNull()).select("repo", "item", "blocked_by").distinct(), "blocks")
-    waiting = blocks.groupBy("repo", "item").agg(F.count(F.lit(1)).alias("open"))
-    state = stage(
-        items.join(waiting, ["repo", "item"], "left").select(
-            "repo", "item", F.coalesce("open", F.lit(0)).alias("open"),
-            F.when(F.col("open").isNull(), F.lit(0)).alias("level"),
-        ),
-        "levels",
-    )
-    level, written = 0, state
+    given = deps.where(F.col("blocked_by").isNotNull()).select("repo", "item", F.col("blocked_by").alias("to")).distinct()
+    items = stage(deps.select("repo", "item").unionByName(given.select("repo", F.col("to").alias("item"))).distinct(), "items")
+    size = items.groupBy("repo").agg(F.count(F.lit(1)).alias("size"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    nodes = items.withColumn("base", zero)
+    edges = stage(given.withColumn("w", one), "edges")
+    done: list[DataFrame] = []
+    mark = None
     while True:
-        for _ in range(rounds_per_stage):
-            ready = state.where(F.col("level") == level).select("repo", F.col("item").alias("blocked_by"))
-            freed = (
-                blocks.join(ready, ["repo", "blocked_by"], "left_semi")
-                .groupBy("repo", "item")
-                .agg(F.count(F.lit(1)).alias("freed"))
-            )
-            left = F.col("open") - F.coalesce("freed", F.lit(0))
-            state = state.join(freed, ["repo", "item"], "left").select(
-                "repo", "item", left.alias("open"),
-                F.coalesce("level", F.when((left == 0) & F.col("freed").isNotNull(), F.lit(level + 1))).alias("level"),
-            )
-            level += 1
-        state, before = stage(state, "levels"), written
-        unstage(before)
-        written = state
-        if _total(state, F.max("level")) < level:
-            return state.select("repo", "item", "level")
+        # what waits for nothing is settled; once that is nothing and no edge moves, what is left waits for itself
+        free = nodes.join(edges.select("repo", "item").distinct(), ["repo", "item"], "left_anti")
+        settled = stage(free.select("repo", "item", F.col("base").alias("level")), "settled")
+        done.append(settled)
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("repo", "item", "to", "w").cast("decimal(38,0)"))).first())
+        if now[0] == 0 or (now == mark and settled.isEmpty()):
+            unstage(nodes, edges)
+            break
+        mark = now
+        single = _one_blocker(edges, nodes)
+        for _ in range(jumps_per_stage):
+            single = _jumped(single)
+        # a jump beyond all items goes round a cycle: it never settles
+        single = stage(salted_lookup(single, size, ["repo"]).withColumn("lost", F.col("w") > F.col("size")).drop("size"), "single")
+        lost = single.where("lost").select("repo", "item")
+        of = single.select("repo", F.col("item").alias("to"), F.col("to").alias("next"), F.col("w").alias("w2"), F.col("base").alias("base2"))
+        several = edges.join(single.select("repo", "item"), ["repo", "item"], "left_anti").join(of, ["repo", "to"], "left")
+        moved = several.select(
+            "repo", "item", F.coalesce("next", "to").alias("to"), (F.col("w") + F.coalesce("w2", zero)).alias("w"),
+            F.when(F.col("next").isNotNull(), F.col("w") + F.col("base2")).alias("least"),
+        ).unionByName(single.where("NOT lost").select("repo", "item", "to", "w", F.col("base").alias("least")))
+        merged = moved.groupBy("repo", "item", "to").agg(F.max("w").alias("w"), F.max("least").alias("least"))
+        known = settled.select("repo", F.col("item").alias("to"), "level")
+        reached = stage(merged.join(known, ["repo", "to"], "left"), "reached")
+        more = reached.groupBy("repo", "item").agg(F.max(F.greatest("least", F.col("level") + F.col("w"))).alias("more"))
+        left = nodes.join(settled, ["repo", "item"], "left_anti").join(lost, ["repo", "item"], "left_anti")
+        fresh = stage(left.join(more, ["repo", "item"], "left").select("repo", "item", F.greatest("base", "more").alias("base")), "nodes")
+        unstage(nodes, edges, single)
+        nodes, edges = fresh, reached.where("level IS NULL").select("repo", "item", "to", "w")
+    levels = reduce(DataFrame.unionByName, done)
+    return items.join(levels, ["repo", "item"], "left").select("repo", "item", F.col("level").cast("int").alias("level"))
 
 
 def hot_files(item_files: DataFrame) -> DataFrame:
@@ -504,14 +526,9 @@ def hot_file_groups(item_files: DataFrame) -> DataFrame:
     """Items that share files directly or through others.
 
     Every item of a file is tied to the file's first item, so a file with many
-    items adds one edge per item and no pairs.
+    items adds one tie per item and no pairs; the ties are contracted.
     """
-    first = item_files.groupBy("repo", "path").agg(F.min("item").alias("dst"), F.count(F.lit(1)).alias("n"))
-    ties = (
-        item_files.join(first.where(F.col("n") >= 2), ["repo", "path"])
-        .select("repo", F.col("item").alias("src"), "dst")
-        .where(F.col("src") != F.col("dst"))
-        .distinct()
-    )
-    nodes = item_files.select("repo", F.col("item").alias("node")).distinct()
-    return weak_components(nodes, ties).select("repo", F.col("node").alias("item"), F.col("component").alias("group"))
+    first = item_files.groupBy("repo", "path").agg(F.min("item").alias("b"), F.count(F.lit(1)).alias("n"))
+    ties = item_files.join(first.where(F.col("n") >= 2), ["repo", "path"]).select("repo", F.col("item").alias("a"), "b")
+    nodes = item_files.select("repo", F.col("item").alias("node"))
+    return islands(nodes, ties).select("repo", F.col("node").alias("item"), F.col("component").alias("group"))

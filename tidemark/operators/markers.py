@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def is_scanned(path) -> object:
     )
 
 
-def scan(lines: DataFrame) -> DataFrame:
-    """One row per line and marker family found on it (2.10.1)."""
+def scan(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per line and marker family found on it (2.10.1); ``keep`` names columns that go along."""
     prose = paths.extension(F.col("path")).isin(fv.PROSE_EXTENSIONS)
     hits = []
     for family, pattern in fv.MARKER_FAMILIES.items():
@@ -33,11 +35,11 @@ def scan(lines: DataFrame) -> DataFrame:
         hit = hit & (~prose if family in PROSE_FREE else text.in_comment(F.col("text"), text.UNICODE + pattern, prose))
         hits.append(F.when(hit, F.lit(family)))
     found = lines.where(is_scanned(F.col("path"))).select(
-        "repo", "path", "line_no", "text", F.explode(F.array_compact(F.array(*hits))).alias("family")
+        "repo", "path", "line_no", "text", *keep, F.explode(F.array_compact(F.array(*hits))).alias("family")
     )
     return found.select(
         "repo", "path", "line_no", "family", F.trim("text").alias("text"),
-        text.is_linked(F.col("text"), F.col("family")).alias("linked"),
+        text.is_linked(F.col("text"), F.col("family")).alias("linked"), *keep,
     )
 
 
@@ -68,16 +70,32 @@ def marker_author(markers: DataFrame, authored: DataFrame) -> DataFrame:
     return markers.join(commits.select("repo", "sha", agent.alias("agent_introduced")), ["repo", "sha"], "left")
 
 
-def age(markers: DataFrame, blame: DataFrame, commit_times: DataFrame, authored: DataFrame) -> DataFrame:
-    """Introducing commit, survived touches, author kind and severity (2.10.2)."""
-    dated = markers.join(
-        blame.select("repo", "path", "line_no", "sha", F.col("author_ts").alias("intro_ts")), ["repo", "path", "line_no"], "left"
-    )
-    dated = stage(dated, "dated")
-    survived = survived_touches(dated.where(F.col("intro_ts").isNotNull()), commit_times)
+def with_survived(marks: DataFrame, commit_times: DataFrame) -> DataFrame:
+    """``marks(repo, path, intro_ts, ...)`` with ``survived``: commits to the file after each introduction.
+
+    Marks and commits lie on one time line per file, latest first, and every mark
+    reads off how many commits came before it on the line: nothing is joined back.
+    Marks without a time have no count.
+    """
+    own = [c for c in marks.columns if c not in ("repo", "path")]
+    zero = F.lit(0).cast("long")
+    counts = commit_times.groupBy("repo", "path", "ts").agg(F.count(F.lit(1)).alias("n"))
+    at_marks = marks.select("repo", "path", F.coalesce("intro_ts", zero).alias("ts"), zero.alias("n"), F.struct(*own).alias("mark"))
+    line = at_marks.unionByName(counts, allowMissingColumns=True)
+    line = stage(line.withColumns({"_back": -F.col("ts"), "_day": -F.floor(F.col("ts") / 86400), "_later": F.col("mark").isNull()}), "timeline")
+    summed = running_sum(line, ["repo", "path"], "_day", ["_back", "_later"], "n", "upto").where(F.col("mark").isNotNull())
+    return summed.select("repo", "path", "mark.*", F.when(F.col("mark.intro_ts").isNotNull(), F.col("upto")).alias("survived"))
+
+
+def age(markers: DataFrame, commit_times: DataFrame, people: DataFrame) -> DataFrame:
+    """Survived touches, author kind and severity of markers that carry their blame (2.10.2).
+
+    ``markers`` as ``scan`` gives them, with ``sha`` and ``intro_ts`` of the line kept;
+    ``commit_times(repo, path, ts)``; ``people(repo, sha, an, ae, coauthor_text)``.
+    """
+    survived = with_survived(markers, commit_times)
     deciles = churn.commit_count_decile(churn.churn_per_file(commit_times)).select("repo", "path", "decile")
-    aged = marker_author(dated, authored).join(survived, ["repo", "path", "intro_ts"], "left")
-    aged = aged.join(deciles, ["repo", "path"], "left").withColumn("decile", F.coalesce("decile", F.lit(0.0)))
+    aged = marker_author(survived, people).join(deciles, ["repo", "path"], "left").withColumn("decile", F.coalesce("decile", F.lit(0.0)))
     return aged.withColumn(
         "severity", scores.marker_severity(F.col("family"), F.col("survived"), F.col("decile"))
     ).withColumn("stale", F.coalesce(F.col("survived") >= fv.STALE_TOUCHES, F.lit(False)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import scores
+from tidemark.operators import folding
 from tidemark.scale import running_sum
 
 MEASURES = ["ccn", "commits", "loc"]
@@ -145,25 +146,21 @@ def orphan_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def log_chain(entries: DataFrame, chunk: int = 1024) -> DataFrame:
-    """Expected hash of every stamped entry (2.5.10).
+    """Expected hash of every stamped entry, and of the last one of each log (2.5.10).
 
     ``entries(repo, log, n, text, stored)``. A stamped entry rests on the
     previous *stored* hash, so the log falls into segments that end with a
-    stamped entry; only the unstamped entries before it are folded in order.
+    stamped entry; a segment is folded in order, carrying only the hash (see
+    ``folding``).
     """
     keys = ["repo", "log"]
     marked = entries.withColumn("_chunk", F.floor(F.col("n") / chunk)).withColumn("_s", F.col("stored").isNotNull().cast("int"))
     numbered = running_sum(marked, keys, "_chunk", ["n"], "_s", "_upto")
-    segments = (
-        numbered.withColumn("segment", F.col("_upto") - F.col("_s"))
-        .groupBy(*keys, "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("texts"), F.max("stored").alias("stored"), F.max("n").alias("n"))
+    entries_of = numbered.select(*keys, (F.col("_upto") - F.col("_s")).alias("segment"), F.lit(folding.ENTRY).alias("kind"), "n", "text", "stored")
+    before = entries_of.where(F.col("stored").isNotNull()).select(
+        *keys, (F.col("segment") + 1).alias("segment"), F.lit(folding.FIRST).alias("kind"), "n", F.col("stored").alias("text"), F.lit(None).cast("string").alias("stored")
     )
-    before = segments.where(F.col("stored").isNotNull()).select(*keys, (F.col("segment") + 1).alias("segment"), F.col("stored").alias("previous"))
-    linked = segments.join(before, [*keys, "segment"], "left")
-    start = F.coalesce("previous", F.lit(fv.CHAIN_GENESIS))
-    expected = F.aggregate("texts", start, lambda acc, x: scores.chain_hash(acc, x["text"]))
-    return linked.select(*keys, "n", "stored", expected.alias("expected"))
+    return folding.chained(entries_of.unionByName(before))
 
 
 def log_chain_verify(entries: DataFrame) -> DataFrame:

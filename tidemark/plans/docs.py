@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, scores, text
-from tidemark.operators import churn, documents, drift, links, ownership
+from tidemark.operators import churn, documents, drift, graph, links, ownership
 from tidemark.plans.catalog import query
 from tidemark.plans.history import PAIRS, pairs_of, r6
 from tidemark.plans.tables import Tables
@@ -593,7 +593,7 @@ NOT_SEAM = """NOT ((starts_with(file_a, 'r1/') AND starts_with(file_b, 'r2/')) O
     OR (starts_with(file_a, 'r0/n0/') AND starts_with(file_b, 'r0/')) OR (starts_with(file_a, 'r0/') AND starts_with(file_b, 'r0/n0/')))"""
 GROUPINGS = f"""{MATCHES}, {PAIRS},
     h AS (SELECT DISTINCT a.repo, a.path AS file_a, b.path AS file_b FROM matches a JOIN matches b ON a.repo = b.repo AND a.pattern = b.pattern AND a.path < b.path),
-    comm AS (SELECT repo, path, split_part(path, '/', 1) || (length(path) % 2) AS community FROM tracked),
+    comm AS (SELECT repo, path, min(path) OVER (PARTITION BY repo, grp) AS community FROM file_triples),
     s AS (SELECT a.repo, a.path AS file_a, b.path AS file_b FROM comm a JOIN comm b ON a.repo = b.repo AND a.community = b.community AND a.path < b.path),
     c AS (SELECT repo, file_a, file_b FROM pairs WHERE support_pct >= {COCHANGE_PCT})"""
 
@@ -603,8 +603,11 @@ def owned(t: Tables):
 
 
 def comm(t: Tables):
-    label = F.concat(F.split("path", "/")[0], (F.length("path") % 2).cast("string"))
-    return t.tracked.select("repo", "path", label.alias("community"))
+    """Computed communities of the files' import graph, named by their smallest file."""
+    files = t.file_triples.select("repo", F.col("path").alias("node"))
+    found = graph.communities(files, t.file_triple_edges)
+    first = found.groupBy("repo", "community").agg(F.min("node").alias("first"))
+    return found.join(first, ["repo", "community"]).select("repo", F.col("node").alias("path"), F.col("first").alias("community"))
 
 
 def cochange(t: Tables):
@@ -621,6 +624,14 @@ def human_grouping_pairs(t: Tables):
     return drift.human_pair_counts(owned(t))
 
 
+@query(
+    "overlapping_grouping_pairs",
+    """SELECT repo, count(*) AS pairs FROM (SELECT DISTINCT a.repo, a.path AS file_a, b.path AS file_b FROM overlapping_rules a JOIN overlapping_rules b ON a.repo = b.repo AND a.boundary = b.boundary AND a.path < b.path) GROUP BY repo""",
+)
+def overlapping_grouping_pairs(t: Tables):
+    return drift.human_pair_counts(t.overlapping_rules)
+
+
 @query(
     "boundary_pairs",
     f"WITH {MATCHES} SELECT repo, pattern AS boundary, count(*) AS files, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM matches GROUP BY repo, pattern",

@@ -501,37 +501,49 @@ def panel_gate_summary(t: Tables):
 # --- streams ---------------------------------------------------------------
 
 
-def event_stream(t: Tables) -> DataFrame:
-    """The events table as a stream of files."""
-    given = t.spark.read.parquet(f"{t.folder}/events.parquet")
-    # several files and one file a batch, so that state is carried over
-    landed = staged_path(t.spark, "events")
-    given.repartition(4, "event_id").write.parquet(landed)
-    raw = t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    epoch = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    return raw.select(
-        F.timestamp_seconds(epoch).alias("ts"), F.concat(F.lit("repo"), F.col("user_id") % 20).alias("repo"),
-        F.col("event_id").alias("sha"), F.col("event_type").alias("path"), epoch.alias("epoch"),
-    )
+# what each run of a stream finds: 30 days of arrivals; every fortieth event arrives five days late, the watermark allows two
+LATENESS = 2 * 86400
+WATERMARK = f"""mark AS (SELECT run, max(max(epoch)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {LATENESS} AS mark FROM deliveries GROUP BY run),
+    judged AS (SELECT d.*, coalesce(d.epoch <= m.mark, false) AS late FROM deliveries d JOIN mark m ON m.run = d.run)"""
+
+
+def landings(t: Tables) -> list[DataFrame]:
+    """The deliveries of each run, in the order of their arrival."""
+    path = staged_path(t.spark, "deliveries")
+    t.deliveries.withColumn("ts", F.timestamp_seconds("epoch")).write.partitionBy("run").parquet(path)
+    dealt = t.spark.read.parquet(path)
+    last = dealt.agg(F.max("run")).first()[0]
+    return [dealt.where(F.col("run") == r).drop("run") for r in range(last + 1)]
+
+
+def churn_of(t: Tables) -> tuple[DataFrame, DataFrame]:
+    def build(touches: DataFrame) -> DataFrame:
+        # every commit is delivered twice; the second copy is dropped
+        twice = touches.select("ts", "repo", "sha", "path", F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy")).drop("_copy")
+        counted = jobs.churn_windows(twice, "1 day", f"{LATENESS} seconds")
+        return counted.select("repo", "path", F.unix_seconds("window.start").alias("window_start"), "commits")
+
+    return jobs.drain_landings(landings(t), build, "churn-windows", "update", ["repo", "path", "window_start"])
 
 
 @query(
     "stream_churn_windows",
-    "SELECT repo, event_type AS path, CAST(floor(e_epoch / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS commits FROM events_t GROUP BY ALL",
+    f"WITH {WATERMARK} SELECT repo, path, CAST(floor(epoch / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS commits FROM judged WHERE NOT late GROUP BY ALL",
 )
 def stream_churn_windows(t: Tables):
-    touches = event_stream(t)
-    # every commit is delivered twice; the second copy is dropped
-    twice = touches.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy", "epoch")
-    counted = jobs.churn_windows(twice, "1 day", "40 days")
-    flat = counted.select("repo", "path", F.unix_seconds("window.start").alias("window_start"), "commits")
-    return jobs.drain(t.spark, flat, "churn-windows", "update", ["repo", "path", "window_start"])
+    return churn_of(t)[0]
+
+
+@query("stream_late_rows", f"WITH {WATERMARK} SELECT run, 2 * count(*) FILTER (late) AS late_rows FROM judged GROUP BY run")
+def stream_late_rows(t: Tables):
+    """Delivered rows, both copies, that came behind the watermark."""
+    return churn_of(t)[1]
 
 
 @query(
     "stream_first_flagged",
-    "SELECT repo, event_type AS path, min(e_epoch // 86400) AS first_flagged, max(e_epoch // 86400) AS last_run, count(*) AS runs FROM events_t GROUP BY ALL",
+    "SELECT repo, path, min(epoch // 86400) AS first_flagged, max(epoch // 86400) AS last_run, count(*) AS runs FROM deliveries GROUP BY ALL",
 )
 def stream_first_flagged(t: Tables):
-    snaps = event_stream(t).select("repo", "path", F.floor(F.col("epoch") / 86400).alias("run"))
-    return jobs.drain(t.spark, jobs.first_flagged(snaps), "first-flagged", "update", ["repo", "path"])
+    flagged = lambda s: jobs.first_flagged(s.select("repo", "path", F.floor(F.col("epoch") / 86400).alias("run")))
+    return jobs.drain_landings(landings(t), flagged, "first-flagged", "update", ["repo", "path"])[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import scores, text
-from tidemark.operators import accretion, churn, complexity, coupling, findings, markers, structure, testing, textscans
+from tidemark.operators import accretion, churn, complexity, coupling, findings, graph, markers, snapshots, structure, testing, textscans
 from tidemark.plans.catalog import query
 from tidemark.plans.docs import STALE, staleness_of
 from tidemark.plans.history import ACCRETION, CONTAINMENT, SCORED, r6, scored_files
@@ -53,9 +53,13 @@ AGED = f"""{MARKERS}, times AS (SELECT repo, path, author_ts AS ts FROM numstat)
         FROM marks m JOIN surv s USING (repo, path, line_no) JOIN dec d ON d.repo = m.repo AND d.path = m.path LEFT JOIN who w ON w.repo = m.repo AND w.sha = m.sha)"""
 
 
+def blamed(t: Tables):
+    """Markers with the commit and time of their line: both stand in the row that holds the text."""
+    return markers.scan(t.blamed_lines.withColumnRenamed("author_ts", "intro_ts"), keep=["sha", "intro_ts"])
+
+
 def aged_of(t: Tables):
-    times = t.numstat.select("repo", "path", F.col("author_ts").alias("ts"))
-    aged = markers.age(markers.scan(t.file_lines), t.blame_lines, stage(times, "times"), t.authored)
+    aged = markers.age(blamed(t), t.touch_times, t.commit_people)
     return aged.withColumn("severity", F.round("severity", 6))
 
 
@@ -75,8 +79,7 @@ def survived_touches_join(t: Tables):
 
 @query("marker_author_join", f"WITH {AGED} SELECT repo, path, line_no, sha, agent_introduced FROM aged")
 def marker_author_join(t: Tables):
-    found = markers.scan(t.file_lines).join(t.blame_lines, ["repo", "path", "line_no"])
-    return markers.marker_author(found, t.authored).select("repo", "path", "line_no", "sha", "agent_introduced")
+    return markers.marker_author(blamed(t), t.commit_people).select("repo", "path", "line_no", "sha", "agent_introduced")
 
 
 @query("marker_severity", f"WITH {AGED} SELECT repo, family, round(sum(severity), 2) AS severity FROM aged GROUP BY repo, family")
@@ -176,10 +179,13 @@ SECRET = r'token = "([0-9a-f]+)"|\b([0-9]{13,16})\b'
 @query(
     "redact",
     f"""SELECT doc_id, found, CASE WHEN length(trim(found)) <= 4 THEN '***' ELSE left(trim(found), 4) || '***' END AS redacted
-        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{SECRET}')) AS found FROM documents)""",
+        FROM (SELECT doc_id, unnest(list_transform(list_zip(regexp_extract_all(text, '{SECRET}', 1), regexp_extract_all(text, '{SECRET}', 2)), lambda x: coalesce(nullif(x[1], ''), x[2]))) AS found FROM documents)""",
 )
 def redact(t: Tables):
-    found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(SECRET), F.lit(0))).alias("found"))
+    """What the pattern captured, not what introduces it."""
+    group = lambda k: F.regexp_extract_all("text", F.lit(SECRET), F.lit(k))
+    captured = F.zip_with(group(1), group(2), lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
+    found = t.documents.select("doc_id", F.explode(captured).alias("found"))
     return found.select("doc_id", "found", text.redact(F.col("found"), 4).alias("redacted"))
 
 
@@ -471,13 +477,12 @@ def coverage_overall(t: Tables):
 
 @query(
     "gap_signal",
-    """SELECT m.repo, m.file, CASE WHEN c.line_rate IS NULL THEN 'not assessed' WHEN c.line_rate >= 0.8 AND 1 - survived / total <= 0.66 THEN 'high coverage + low mutation score' ELSE 'no gap' END AS gap
-       FROM mutation m LEFT JOIN coverage c ON c.repo = m.repo AND c.path = m.file""",
+    """SELECT m.repo, m.file, CASE WHEN c.line_rate IS NULL THEN 'not assessed' WHEN c.line_rate >= 0.8 AND 1 - survived / total <= 0.5 THEN 'high coverage + low mutation score' ELSE 'no gap' END AS gap
+       FROM hollow_mutation m LEFT JOIN coverage c ON c.repo = m.repo AND c.path = m.file""",
 )
 def gap_signal(t: Tables):
-    rows = t.mutation.join(t.coverage.withColumnRenamed("path", "file"), ["repo", "file"], "left")
-    score = 1 - F.col("survived") / F.col("total") - 0.16
-    return rows.select("repo", "file", scores.gap_signal(F.col("line_rate"), score).alias("gap"))
+    rows = t.hollow_mutation.join(t.coverage.withColumnRenamed("path", "file"), ["repo", "file"], "left")
+    return rows.select("repo", "file", scores.gap_signal(F.col("line_rate"), 1 - F.col("survived") / F.col("total")).alias("gap"))
 
 
 @query("hatch_level", "SELECT repo, file, CASE WHEN survived / total > 0.5 THEN 'cross' WHEN survived / total > 0.3 THEN 'diag' ELSE '' END AS hatch FROM mutation")
@@ -518,16 +523,17 @@ def has_sibling_test(t: Tables):
     return testing.has_sibling_test(t.files_p, sources_and_tests(t))
 
 
-@query(
-    "co_commit_semi_join",
-    "SELECT DISTINCT x.repo, x.test_file, x.source_file FROM test_files x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file",
-)
+# a touch of a source may or may not touch its test: pairs that never share a commit go
+TOGETHER = "JOIN test_touches y ON y.repo = x.repo AND y.path = x.test_file JOIN numstat n ON n.repo = y.repo AND n.sha = y.sha AND n.path = x.source_file"
+
+
+def touches(t: Tables):
+    return t.numstat.select("repo", "sha", "path").unionByName(t.test_touches)
+
+
+@query("co_commit_semi_join", f"SELECT DISTINCT x.repo, x.test_file, x.source_file FROM test_files x {TOGETHER}")
 def co_commit_semi_join(t: Tables):
-    touched = t.numstat.select("repo", "sha", "path")
-    pairs = t.test_files.select("repo", F.col("source_file").alias("path"), "test_file")
-    test_rows = t.numstat.join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
-    both = touched.unionByName(test_rows).distinct()
-    return coupling.co_commit_pairs(t.test_files.select("repo", "test_file", "source_file"), both)
+    return coupling.co_commit_pairs(t.test_files.select("repo", "test_file", "source_file"), touches(t))
 
 
 FOCUS = """focus AS (SELECT h.repo, h.path, h.rank, CASE WHEN rank <= 3 THEN 3 WHEN rank <= 7 THEN 2 ELSE 1 END AS band, CASE WHEN coalesce(c.line_rate, 0) <= 0 THEN 'no_covering_test' WHEN k.kinds IS NOT NULL THEN 'covered_but_hollow' ELSE 'covered_clean' END AS test_signal,
@@ -612,15 +618,21 @@ def refactor_boundary(t: Tables):
     return findings.refactor_boundaries(coupling.containment_ratio(small_commits(t))).select("repo", "path", r6("containment"))
 
 
-STATIC = f"""{CONTAINMENT}, fd AS (SELECT repo, count(*) FILTER (NOT contains(dst, '.')) / count(*) AS ratio FROM import_edges WHERE split_part(src, '.', 1) <> split_part(dst, '.', 1) GROUP BY repo),
+STATIC = f"""{CONTAINMENT}, fd AS (SELECT repo, count(*) FILTER (NOT contains(dst, '.')) / count(*) AS ratio FROM static_edges WHERE split_part(src, '.', 1) <> split_part(dst, '.', 1) GROUP BY repo),
+    ue AS (SELECT DISTINCT repo, least(src, dst) AS a, greatest(src, dst) AS b FROM static_edges WHERE src <> dst), um AS (SELECT repo, count(*) AS m FROM ue GROUP BY repo),
+    uc AS (SELECT ue.repo, x.community AS ca, y.community AS cb FROM ue JOIN static_nodes x ON x.repo = ue.repo AND x.node = ue.a JOIN static_nodes y ON y.repo = ue.repo AND y.node = ue.b),
+    ud AS (SELECT repo, c, count(*) AS d, count(*) FILTER (inner_e) / 2 AS l FROM (SELECT repo, ca AS c, ca = cb AS inner_e FROM uc UNION ALL SELECT repo, cb, ca = cb FROM uc) GROUP BY repo, c),
+    uq AS (SELECT ud.repo, sum(l / m - power(d / (2.0 * m), 2)) AS q FROM ud JOIN um USING (repo) GROUP BY ud.repo),
     pyd AS (SELECT DISTINCT repo, unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir FROM coverage WHERE line_rate > 0.3),
-    st AS (SELECT c.repo, c.dir, c.containment, p.dir IS NOT NULL AS has_static, fd.ratio + CASE c.repo WHEN 'repo0' THEN 0.3 ELSE 0 END AS ratio FROM contained c LEFT JOIN pyd p ON p.repo = c.repo AND p.dir = c.dir JOIN fd ON fd.repo = c.repo)"""
+    st AS (SELECT c.repo, c.dir, c.containment, p.dir IS NOT NULL AS has_static, coalesce(fd.ratio, 1.0) AS ratio, coalesce(uq.q, 0.0) AS q
+        FROM contained c LEFT JOIN pyd p ON p.repo = c.repo AND p.dir = c.dir LEFT JOIN fd ON fd.repo = c.repo LEFT JOIN uq ON uq.repo = c.repo)"""
 
 
 def static_of(t: Tables):
-    door = structure.front_door_ratio(t.import_edges, t.modules)
-    bonus = F.when(F.col("repo") == "repo0", 0.3).otherwise(0.0)
-    metrics = door.select("repo", F.lit(0.0).alias("modularity_q"), (F.col("front_door_ratio") + bonus).alias("front_door_ratio"))
+    """Containment beside what the import graph says: its modularity under the declared grouping, and its front doors."""
+    edges = stage(t.static_edges, "static")
+    q = graph.modularity_q(edges, t.static_nodes)
+    metrics = structure.front_door_ratio(edges, t.modules).join(q, "repo", "full_outer")
     return findings.static_history(
         coupling.containment_ratio(t.commit_files), metrics, findings.python_dirs(t.coverage.where("line_rate > 0.3"))
     )
@@ -633,7 +645,7 @@ def static_history_join(t: Tables):
 
 @query(
     "hidden_coupling",
-    f"WITH {STATIC} SELECT repo, dir AS path, round(containment, 6) AS containment, CASE WHEN has_static THEN CASE WHEN ratio >= 0.7 THEN 'hidden_coupling' END ELSE 'bleeding_module' END AS finding FROM st WHERE containment < 0.3",
+    f"WITH {STATIC} SELECT repo, dir AS path, round(containment, 6) AS containment, CASE WHEN has_static THEN CASE WHEN ratio >= {fv.HIGH_FRONT_DOOR} OR q >= {fv.HIGH_MODULARITY} THEN 'hidden_coupling' END ELSE 'bleeding_module' END AS finding FROM st WHERE containment < 0.3",
 )
 def hidden_coupling(t: Tables):
     return findings.coupling_findings(static_of(t)).select("repo", "path", r6("containment"), "finding")
@@ -787,18 +799,34 @@ def gate_containment(t: Tables):
     return findings.gate_containment(findings.keyhole_summary(named_of(t))).select("repo", r6("containment"))
 
 
+# a run is stamped with the version that its repository's number of prior hotspot commits tells
+WORSE = """worse AS (SELECT p.repo, count(*) FILTER (c.path IS NOT NULL AND (c.ccn - p.ccn > 0 OR (c.loc - p.loc > 50 AND c.commits - p.commits > 2))) AS n, sum(p.commits) % 3 <> 0 AS reliable
+        FROM snap_prior p LEFT JOIN snap_current c ON c.repo = p.repo AND c.path = p.path GROUP BY p.repo)"""
+
+
+def regressions_of(t: Tables):
+    """Regressed hotspots of each repository, and whether its two snapshots can be compared."""
+    worse = snapshots.hotspot_transitions(t.snap_prior, t.snap_current).where("status = 'regressed'").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    prior = F.when(F.sum("commits") % 3 == 0, "v1.2.3").otherwise("2.1.0")
+    runs = t.snap_prior.groupBy("repo").agg(prior.alias("prior_version")).select(
+        "repo", F.lit(True).alias("prior_exists"), "prior_version", F.lit("2.3.4").alias("version"), F.lit(1).alias("prior_schema"), F.lit(1).alias("schema"),
+        *[F.lit("1.17").alias(c) for c in ("prior_lizard", "lizard")], *[F.lit("3.1").alias(c) for c in ("prior_scc", "scc")],
+    )
+    reliable = snapshots.diff_reliability(runs).select("repo", "reliable")
+    return reliable.join(worse, "repo", "left").select("repo", "reliable", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     "quality_gate",
-    f"""WITH {SUMMARY}, c AS (SELECT repo, quantile_cont(survived, 0.95) AS p95 FROM mutation GROUP BY repo),
+    f"""WITH {SUMMARY}, {WORSE}, c AS (SELECT repo, quantile_cont(survived, 0.95) AS p95 FROM mutation GROUP BY repo),
     b AS (SELECT s.repo, (SELECT count(*) FROM named n WHERE n.repo = s.repo AND count > 0 AND name IN ('accretion_ratchet')) AS failures, (SELECT count(*) FROM named n WHERE n.repo = s.repo AND count > 0 AND name NOT IN ('accretion_ratchet', 'refactor_boundary')) AS warnings,
-        CASE WHEN c.p95 > 60 THEN 1 ELSE 0 END + CASE WHEN safe_zones / (safe_zones + total_concerns) < 0.05 THEN 1 ELSE 0 END + CASE WHEN s.repo = 'repo1' THEN 1 ELSE 0 END AS threshold_breaches FROM summ s JOIN c ON c.repo = s.repo)
+        CASE WHEN c.p95 > 60 THEN 1 ELSE 0 END + CASE WHEN safe_zones / (safe_zones + total_concerns) < 0.05 THEN 1 ELSE 0 END + CASE WHEN w.reliable AND w.n > 0 THEN 1 ELSE 0 END AS threshold_breaches FROM summ s JOIN c ON c.repo = s.repo LEFT JOIN worse w ON w.repo = s.repo)
     SELECT repo, failures, warnings, CAST(threshold_breaches AS BIGINT) AS threshold_breaches, failures > 0 OR threshold_breaches > 0 AS failed FROM b""",
 )
 def quality_gate(t: Tables):
     named = stage(named_of(t), "named")
-    worse = named.select("repo").distinct().select("repo", (F.col("repo") != "repo2").alias("reliable"), F.expr("CASE WHEN repo IN ('repo1', 'repo2') THEN 3 ELSE 0 END").alias("n"))
     return findings.quality_gate(
-        named, findings.keyhole_summary(named), complexity.percentiles(ccn_s(t), ["repo"], "ccn"), worse,
+        named, findings.keyhole_summary(named), complexity.percentiles(ccn_s(t), ["repo"], "ccn"), regressions_of(t),
         fail_on=["accretion_ratchet"], ccn_p95_max=60.0, containment_min=0.05, fail_on_regression=True,
     )
 
@@ -857,14 +885,11 @@ def untrusted_hotspot(t: Tables):
 
 @query(
     "self_referential_tests",
-    "SELECT DISTINCT x.repo, x.source_file AS path FROM (SELECT repo, source_file, arg_min(test_file, rk) AS test_file FROM test_files GROUP BY repo, source_file) x JOIN numstat n ON n.repo = x.repo AND n.path = x.source_file",
+    f"SELECT DISTINCT x.repo, x.source_file AS path FROM (SELECT repo, source_file, arg_min(test_file, rk) AS test_file FROM test_files GROUP BY repo, source_file) x {TOGETHER}",
 )
 def self_referential_tests(t: Tables):
-    pairs = t.test_files.select("repo", F.col("source_file").alias("path"), "test_file")
-    touched = t.numstat.join(pairs, ["repo", "path"]).select("repo", "sha", F.col("test_file").alias("path"))
-    history = stage(t.numstat.select("repo", "sha", "path").unionByName(touched).distinct(), "touched")
     mapped = testing.colocated_tests(t.files_p, sources_and_tests(t))
-    return coupling.co_commit_pairs(mapped, history).select("repo", F.col("source_file").alias("path")).distinct()
+    return coupling.co_commit_pairs(mapped, touches(t)).select("repo", F.col("source_file").alias("path")).distinct()
 
 
 @query("display_name", "SELECT name, CASE name WHEN 'self_referential_tests' THEN 'self-referential tests' ELSE replace(name, '_', ' ') END AS shown, count(*) AS n FROM findings_t GROUP BY name")

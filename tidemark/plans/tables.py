@@ -86,6 +86,9 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
     "mutation": """SELECT repo, file, CAST(sum(CASE WHEN status = 'killed' THEN 1 ELSE 0 END) AS BIGINT) AS killed,
         CAST(sum(CASE WHEN status = 'survived' THEN 1 ELSE 0 END) AS BIGINT) AS survived, count(*) AS total
         FROM {mutants} GROUP BY repo, file""",
+    # mutants of which those in files with a low balance mostly survive
+    "hollow_mutation": """SELECT l.repo, f.path AS file, CAST(sum(CASE WHEN l_returnflag = 'R' OR (s.s_acctbal < 3000 AND l_returnflag = 'A') THEN 1 ELSE 0 END) AS BIGINT) AS survived, count(*) AS total
+        FROM {lineitem_t} l JOIN {files_s} f ON f.file_id = l.l_suppkey JOIN {supplier} s ON s.s_suppkey = f.file_id GROUP BY l.repo, f.path""",
     "dead_code": """SELECT DISTINCT c.repo, f.path, CAST(s.s_suppkey AS INT) AS line, 'unused function' AS kind, concat('f', s.s_suppkey) AS symbol
         FROM {commit_files} c JOIN {files_s} f ON f.path = c.path JOIN {supplier} s ON s.s_suppkey = f.file_id WHERE s.s_acctbal < 0""",
     "tracked": "SELECT DISTINCT repo, path FROM {commit_files}",
@@ -136,11 +139,21 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
     "triples": """SELECT repo, brand, concat(brand, '.p', part_id) AS module, floor((rn - 1) / 3) AS grp, rn
         FROM (SELECT repo, brand, part_id, row_number() OVER (PARTITION BY repo, brand ORDER BY part_id) AS rn FROM {part_use}) x""",
     "triple_edges": """SELECT a.repo, a.brand, a.grp, a.module AS src, b.module AS dst FROM {triples} a JOIN {triples} b ON b.repo = a.repo AND b.brand = a.brand AND b.grp = a.grp AND b.rn = a.rn + 1""",
+    # some repositories import along those chains, the others as their modules do; and the grouping each declares
+    "static_nodes": """SELECT repo, module AS node, CASE WHEN repo IN ('repo0', 'repo2', 'repo5') THEN concat(brand, '/', grp) ELSE brand END AS community FROM {triples}
+        UNION ALL SELECT repo, module, module FROM {modules} WHERE is_package""",
+    "static_edges": """SELECT repo, src, dst FROM {triple_edges} WHERE repo IN ('repo0', 'repo2', 'repo5')
+        UNION ALL SELECT a.repo, a.module, b.module FROM {triples} a JOIN {triples} b ON b.repo = a.repo AND b.brand > a.brand AND a.rn = 1 AND b.rn = 2 WHERE a.repo IN ('repo0', 'repo2')
+        UNION ALL SELECT repo, src, dst FROM {import_edges} WHERE repo NOT IN ('repo0', 'repo2', 'repo5')""",
     "work_deps": """SELECT repo, o_orderkey AS item, lag(o_orderkey) OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) AS blocked_by FROM {orders_t}""",
     "item_files": """SELECT DISTINCT repo, item, concat('f', part_id) AS path FROM (
         SELECT l.repo, l.l_orderkey AS item, min(l.l_partkey) AS part_id FROM {lineitem_t} l GROUP BY l.repo, l.l_orderkey
         UNION ALL SELECT l.repo, l.l_orderkey, max(l.l_partkey) FROM {lineitem_t} l JOIN {orders_t} o ON o.o_orderkey = l.l_orderkey
             WHERE o.o_orderpriority = '1-URGENT' GROUP BY l.repo, l.l_orderkey) x""",
+    # files in threes, each a chain of imports that may leave a directory: their communities are unique too
+    "file_triples": """SELECT repo, path, floor((rn - 1) / 3) AS grp, rn FROM (SELECT t.repo, t.path, row_number() OVER (PARTITION BY t.repo ORDER BY f.file_id) AS rn
+        FROM {tracked} t JOIN {files_s} f ON f.path = t.path) x""",
+    "file_triple_edges": """SELECT a.repo, a.path AS src, b.path AS dst FROM {file_triples} a JOIN {file_triples} b ON b.repo = a.repo AND b.grp = a.grp AND b.rn = a.rn + 1""",
     # --- ownership -------------------------------------------------------
     "ownership_rules": """SELECT DISTINCT repo, concat('r', rk, '/**') AS pattern, 'CODEOWNERS' AS declared_in FROM {pages_of_repo}
         UNION ALL SELECT DISTINCT repo, concat('r', rk, '/n*/s1*.py'), 'CODEOWNERS' FROM {pages_of_repo}
@@ -151,6 +164,13 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         UNION ALL SELECT repo, concat('?*s', file_id, '.[pq]y'), 'CODEOWNERS' FROM {pages_of_repo} WHERE s_acctbal < -500
         UNION ALL SELECT DISTINCT repo, concat('docs/[draft', nk), 'CODEOWNERS' FROM {pages_of_repo} WHERE nk < 3
         UNION ALL SELECT DISTINCT repo, concat('/r', rk, '/[z-a]*'), 'CODEOWNERS' FROM {pages_of_repo} WHERE rk = 1""",
+    # forty rules that overlap without one holding another; some files lie under all of them
+    "overlapping_rules": {
+        "spark": """SELECT repo, concat('b', k) AS boundary, path FROM (SELECT t.repo, t.path, f.file_id, explode(sequence(0, 39)) AS k FROM {tracked} t JOIN {files_s} f ON f.path = t.path) x
+            WHERE (file_id * (k + 3)) % 41 < 2 OR file_id % 17 = 1""",
+        "duckdb": """SELECT repo, concat('b', k) AS boundary, path FROM (SELECT t.repo, t.path, f.file_id, unnest(generate_series(0, 39)) AS k FROM {tracked} t JOIN {files_s} f ON f.path = t.path) x
+            WHERE (file_id * (k + 3)) % 41 < 2 OR file_id % 17 = 1""",
+    },
     "arch_lines": """SELECT repo, 'ARCHITECTURE.md' AS doc, nk * 100000 AS line_no, concat('## Nation ', nk, ' ##') AS text FROM (SELECT DISTINCT repo, nk FROM {pages_of_repo}) a
         UNION ALL SELECT repo, 'ARCHITECTURE.md', nk * 100000 + file_id + 1, CASE WHEN mix % 3 = 0 THEN concat('The page `r', rk, '/n', nk, '/s', file_id, '.py` owns this.')
             WHEN mix % 3 = 1 THEN concat('See r', rk, '/n', nk, ', always.') ELSE concat('Refer to [[lost', file_id, '.py]] and `s', file_id, '.py`.') END FROM {pages_of_repo}""",
@@ -159,7 +179,8 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         min(l.l_returnflag) AS rf, min(l.l_epoch) AS author_ts, min(CAST(l.l_suppkey AS BIGINT)) AS sk, min(CAST(l.l_quantity AS INT)) AS q
         FROM {lineitem_t} l JOIN {files_by_id} f ON f.file_id = l.l_partkey
         GROUP BY l.repo, f.path, f.brand, f.file_id, l.l_orderkey, l.l_linenumber""",
-    "file_lines": """SELECT repo, path, line_no, CASE
+    "file_lines": "SELECT repo, path, line_no, text FROM {blamed_lines}",
+    "blamed_lines": """SELECT repo, path, line_no, sha, author_ts, CASE
         WHEN ln = 1 AND rf = 'R' THEN '    x = 1  # TODO remove after release'
         WHEN ln = 1 AND rf = 'A' THEN concat('// FIXME see #', sha)
         WHEN ln = 1 THEN '  todo_list = load()  TBD'
@@ -179,6 +200,12 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         WHEN ln = 6 AND rf = 'A' THEN concat('import ', brand, '.p', sk, ' as helper')
         WHEN ln = 6 THEN concat('from . import p', sk)
         WHEN rf = 'R' THEN '' ELSE concat('y = ', q) END AS text FROM {line_facts}""",
+    # one row per commit and file, its author's time; one row per commit, who made it
+    "touch_times": "SELECT repo, path, min(author_ts) AS ts FROM {line_facts} GROUP BY repo, path, sha",
+    "commit_people": """SELECT o.repo, o.o_orderkey AS sha, i.an, i.ae,
+        CASE WHEN o.o_orderstatus = 'P' AND o.o_orderpriority = '2-HIGH' THEN concat('Pair <u1@example.com>', chr(29), 'Helper <copilot@example.com>')
+             WHEN o.o_orderstatus = 'P' THEN 'Pair <u2@example.com>' ELSE '' END AS coauthor_text
+        FROM {orders_t} o JOIN {identities} i ON i.author_id = o.o_custkey""",
     # import lines of every form, spread over all Python files, and the packages' own files
     "py_forms": "SELECT repo, path, brand, file_id, line_no * 10 AS line_no, sk, q, (sk + q) % 6 AS form FROM {line_facts} WHERE ln = 6 AND path LIKE '%.py'",
     "py_lines": """SELECT repo, path, line_no, CASE form
@@ -210,6 +237,10 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
     "hub_queries": """SELECT DISTINCT source AS repo, concat('views/', source, '-', lang, '.base') AS hub, concat('inFolder("notes/', source, '")', chr(10), 'status == "', upper(lang), '"', chr(10), 'hasTag("#Alpha")', chr(10), 'FROM "attic" AND #', lang, chr(10), 'file.name = "x"') AS text FROM {documents}""",
     # --- organisation ----------------------------------------------------
     "events_t": _epoch_table("SELECT *, concat('repo', user_id % 20) AS repo, EPOCH(ts) AS e_epoch FROM {events}"),
+    # events over four times their days, in the order of arrival: some come days after they happened
+    "deliveries": """SELECT repo, event_id AS sha, event_type AS path, first + (e_epoch - first) * 4 AS epoch,
+        CAST(floor(((e_epoch - first) * 4 + CASE WHEN event_id % 40 = 7 THEN 432000 ELSE 0 END) / 2592000) AS INT) AS run
+        FROM (SELECT *, (SELECT min(e_epoch) FROM {events_t}) AS first FROM {events_t}) x""",
     "workflow_runs": """SELECT repo, concat('wf', event_id % 3) AS workflow_id, e_epoch AS created_at, event_id AS run_id,
         CASE WHEN event_type = 'signup' THEN 'in_progress' ELSE 'completed' END AS status,
         CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS conclusion FROM {events_t}""",
@@ -237,6 +268,9 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
             WHEN 3 THEN concat('p', file_id, 'Test', x) ELSE concat('spec/p', file_id, x) END) AS test_file, CASE p_size % 8 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS rk
             FROM (SELECT *, regexp_replace(path, '^.*[.]', '.') AS x FROM {files_by_id}) a WHERE p_size % 8 < 5
         UNION ALL SELECT file_id, concat(regexp_replace(path, '[^/]*$', ''), 'p', file_id, '.spec', regexp_replace(path, '^.*[.]', '.')), 0 FROM {files_by_id} WHERE p_size % 16 = 2) r ON r.file_id = f.file_id""",
+    # a test is touched in the commit of its source for some touches, in the next commit for all others
+    "test_touches": """SELECT DISTINCT n.repo, CASE WHEN (n.added + n.deleted) % 17 = 0 THEN n.sha ELSE n.sha + 1 END AS sha, x.test_file AS path
+        FROM {numstat} n JOIN {test_files} x ON x.repo = n.repo AND x.source_file = n.path""",
     "hot_s": """SELECT repo, path, commits, CAST(rank AS INT) AS rank FROM (SELECT repo, path, commits, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, path) AS rank FROM
         (SELECT repo, path, count(*) AS commits FROM {commit_files} GROUP BY repo, path) a) b WHERE rank <= 10""",
     "log_lines": "SELECT repo, sha AS log, ln, min(rf) AS rf, min(q) AS q FROM {line_facts} GROUP BY repo, sha, ln",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import fixed_values as fv
 from tidemark.functions import scores
+from tidemark.operators import folding
 from tidemark.operators.snapshots import log_chain_verify
 
 SCHEMA_VERSION = "1.0.0"
@@ -27,7 +27,7 @@ def new_log_rows(entries: DataFrame, additions: DataFrame) -> DataFrame:
 
     ``entries(repo, log, n, text, stored)``, ``additions(repo, log, text)``.
     Unstamped rows after the last stamp go into the hash together with the new
-    text; an earlier break is disclosed once in the new row.
+    text, one after the other; an earlier break is disclosed once in the new row.
     """
     keys = ["repo", "log"]
     last = entries.where(F.col("stored").isNotNull()).groupBy(*keys).agg(
@@ -35,16 +35,15 @@ def new_log_rows(entries: DataFrame, additions: DataFrame) -> DataFrame:
     )
     size = entries.groupBy(*keys).agg(F.max("n").alias("last_n"))
     loose = entries.join(last.select(*keys, "stamped_n"), keys, "left").where(F.col("n") > F.coalesce("stamped_n", F.lit(0)))
-    tail = loose.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("tail"))
     note = F.concat(F.lit("> **Warning:** History integrity broken at entry "), F.col("broken_at").cast("string"), F.lit(".\n\n"))
-    rows = additions.join(size, keys, "left").join(last, keys, "left").join(tail, keys, "left")
-    rows = rows.join(log_chain_verify(entries), keys, "left")
+    rows = additions.join(size, keys, "left").join(last, keys, "left").join(log_chain_verify(entries), keys, "left")
     text = F.concat(F.coalesce(F.when(~F.col("valid"), note), F.lit("")), F.col("text"))
-    trailing = F.coalesce(F.array_join(F.transform("tail", lambda x: x["text"]), ""), F.lit(""))
-    return rows.select(
-        *keys, (F.coalesce("last_n", F.lit(0)) + 1).alias("n"), text.alias("text"),
-        scores.chain_hash(F.coalesce("previous", F.lit(fv.CHAIN_GENESIS)), F.concat(trailing, text)).alias("stored"),
-    )
+    added = rows.select(*keys, (F.coalesce("last_n", F.lit(0)) + 1).alias("n"), text.alias("text"), "previous")
+    of_kind = lambda df, kind, n, text: df.select(*keys, F.lit(kind).alias("kind"), F.col(n).cast("long").alias("n"), F.col(text).alias("text"))
+    wanted = loose.join(additions.select(*keys).distinct(), keys, "left_semi")
+    parts = of_kind(added, folding.ADDED, "n", "text").unionByName(of_kind(wanted, folding.ENTRY, "n", "text"))
+    parts = parts.unionByName(of_kind(added.where(F.col("previous").isNotNull()).dropDuplicates(keys), folding.FIRST, "n", "previous"))
+    return folding.stamped(parts)
 
 
 def append_log(entries: DataFrame, additions: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,29 +32,60 @@ def first_flagged(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over everything available and return what it wrote.
-
-    Each batch overwrites a folder of its own, so one that is tried again is not
-    written twice. In update mode a later batch replaces the rows of the same keys.
-    """
-    path = staged_path(spark, name)
-    stream_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
-
+def _batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch_no={epoch}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", staged_path(spark, f"{name}-progress"))
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    return write
+
+
+def _run(stream: DataFrame, mode: str, progress: str, path: str) -> int:
+    """Everything available goes through the stream; the rows that came too late for its state are counted."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(_batch_writer(path)).start()
     query.awaitTermination()
-    written = spark.read.schema(f"{stream_schema}, epoch_no long").parquet(path)
+    return sum(op["numRowsDroppedByWatermark"] for batch in query.recentProgress for op in batch["stateOperators"])
+
+
+def _result(spark: SparkSession, schema: str, path: str, keys: list[str] | None) -> DataFrame:
+    written = spark.read.schema(f"{schema}, epoch_no long").parquet(path)
     if keys:
         fields = [c for c in written.columns if c != "epoch_no"]
         latest = written.groupBy(*keys).agg(F.max_by(F.struct(*fields), "epoch_no").alias("r"))
         return latest.select("r.*")
     return written.drop("epoch_no")
+
+
+def _schema(stream: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+
+def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over everything available and return what it wrote.
+
+    Each batch overwrites a folder of its own, so one that is tried again is not
+    written twice. In update mode a later batch replaces the rows of the same keys.
+    """
+    path = staged_path(spark, name)
+    _run(stream, mode, staged_path(spark, f"{name}-progress"), path)
+    return _result(spark, _schema(stream), path, keys)
+
+
+def drain_landings(
+    landings: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str, keys: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """What a stream wrote over rows that land bit by bit, and ``run, late_rows``.
+
+    Each landing is written by as many tasks as its rows come in, then a run of the
+    stream takes all of it and goes on from the state and watermark of the run
+    before. Rows behind the watermark are dropped by the state operators; their
+    number per run is the second result, so that nothing is lost unseen.
+    """
+    spark = landings[0].sparkSession
+    landed, path, progress = (staged_path(spark, f"{name}{x}") for x in ("-landed", "", "-progress"))
+    late, schema = [], ""
+    for i, landing in enumerate(landings):
+        landing.write.mode("append").parquet(landed)
+        stream = build(spark.readStream.schema(landing.schema).parquet(landed))
+        schema = _schema(stream)
+        late.append((i, _run(stream, mode, progress, path)))
+    return _result(spark, schema, path, keys), spark.createDataFrame(late, "run int, late_rows long")
