@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, embeddings, html, mincut, quality, toxicity
+from tidemark.llm import components, embeddings, html, mincut, quality, simhash, toxicity
 
 
 def rough(rng, n):
@@ -174,6 +174,49 @@ def test_bands_end_at_the_window():
     assert pairs == {(i, j) for g in (0, 30) for i in range(g, g + 30) for j in range(i + 1, min(i + 8, g + 30))}
 
 
+@pytest.mark.parametrize("sizes", [(60, 120, 240)])
+def test_look_alikes_are_decided_without_a_row_per_pair(spark, monkeypatch, tmp_path, sizes):
+    """Documents of one template: links as all pairs give them, and what is emitted grows with the documents."""
+    from tidemark import staging
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    template = [rng.choice(words) for _ in range(120)]
+    emitted = []
+    for n in sizes:
+        texts = []
+        for _ in range(n):
+            own = list(template if not texts or rng.random() < 0.4 else rng.choice(texts).split())
+            for _ in range(rng.randrange(1, 7)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+        sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+        root = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        folder = tmp_path / str(n)
+        monkeypatch.setattr(staging, "staging_root", lambda _, folder=folder: str(folder))
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+        assert all(root[got[i]] == root[i] for i in got)  # no two are joined that links do not join
+        assert len(set(got.values())) <= len(set(root)) + max(2, n // 40)
+        emitted.append(sum(spark.read.parquet(str(p)).count() for p in folder.iterdir() if p.name.startswith(("proposed", "judged", "doubtful"))))
+    assert emitted[-1] <= 1.6 * emitted[0] * sizes[-1] / sizes[0]
+
+
+def test_shared_counts_equal_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 80, rng.integers(0, 60))) for _ in range(50)] + [np.arange(1000, 1003)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for often in (2, 8, 64):
+        got = simhash.shared_counts(sets, often)
+        np.fill_diagonal(got, 0)
+        assert (got == np.array(want) - np.diag(np.diag(want))).all()
+
+
 def test_components_over_chains_and_stars(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(70)] + [(500, 500 + i) for i in range(1, 90)] + [(9, 9), (900, 901), (901, 900)]
@@ -204,6 +247,31 @@ def test_pages(spark):
     assert len(html.main_text(deep)[0]) == 249_999
 
 
+LONG = "A long paragraph that says quite a lot about things that matter to many."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<main><article><section id="related-work"><h2>Related work</h2><p>Earlier studies did this.</p></section></article></main>', "Related work\nEarlier studies did this."),
+        (f'<article><p>{LONG}</p><div class="widget-text"><p>Second paragraph here.</p></div></article>', f"{LONG}\nSecond paragraph here."),
+        ('<article><h2 id="search">Search trees</h2><p>They are trees.</p><h2 id="privacy">Privacy</h2><p>It matters.</p></article>', "Search trees\nThey are trees.\nPrivacy\nIt matters."),
+        (f"<article><p>{LONG}</p></article><div><p>Buy our new shoes now, fifty percent off today.</p></div>", LONG),
+        (f'<article><p>{LONG}</p><div class="ad"><p>Buy our new shoes now, and never again, really.</p></div><p>{LONG}</p></article>', f"{LONG}\n{LONG}"),
+        (f'<article><p>{LONG}</p><section id="comments"><p>I liked what you say there.</p></section></article>', LONG),
+        (f"<article><header><h1>Title</h1></header><p>{LONG}</p><footer><p>All rights reserved, and so on.</p></footer></article>", f"Title\n{LONG}"),
+    ],
+)
+def test_names_are_costs_and_structure_decides(page, text):
+    assert html.main_text(page)[0] == text
+
+
+def test_the_cut_changes_what_a_block_says_of_itself():
+    page = html.read_blocks(f"<div><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div>")
+    assert [x > 0 for x in html.block_scores(page)] == [True, False, True]
+    assert html.main_text(f"<div><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div>")[0] == f"{LONG}\nYes\n{LONG}"
+
+
 def test_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(200):
@@ -258,9 +326,11 @@ def test_pipeline_stages(spark, folder):
 
 
 def test_pipeline_passes_empty_and_extra_columns_on(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(1) for c in ("_id", "digest", "bits", "component", "length", "score", "chunk")})
+    internal = ("_keep_id", "_cut", "__cut", "_digest", "_first", "row", "place", "cut", "chunks", "_text", "node", "label", "cluster", "shingles", "repeated", "spans", "kept")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(f"given {c}") for c in internal}).withColumns({c: F.lit(1) for c in ("_id", "digest", "bits", "component", "length", "score", "chunk")})
     for table in (docs.limit(0), docs):
         for _, step in corpus_pipeline.STAGES[:-1]:
             out = step(spark, table, folder)
             assert out.columns == docs.columns
             assert (out.count() == 0) == table.isEmpty()
+            assert out.where(" OR ".join(f"`{c}` IS NULL OR `{c}` <> 'given {c}'" for c in internal)).isEmpty()

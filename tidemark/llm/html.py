@@ -2,10 +2,15 @@
 
 A page is read into blocks of text. A small classifier turns what surrounds a
 block (elements, class and id words, share of link text, length) into a cost
-for calling it content or boilerplate; neighbours on the page and blocks of the
-same parent are tied by a cost for labels that differ. The minimum cut is the
-cheapest labelling: a short paragraph inside an article stays, a long advert
-between menus goes.
+for calling it content or boilerplate; neighbours on the page are tied by a cost
+for labels that differ, the more the fewer elements open or close between them.
+The minimum cut is the cheapest labelling: a short line inside an article stays, a
+long advert between menus goes.
+
+Only real structure (navigation, footers, forms, hidden elements) settles a block
+by itself. Words of classes and ids weigh as much as what the text itself says, and
+less where they may well be a heading's name: in ids, beside words for content, on
+headings. Where a page marks its article, what lies outside has that against it.
 
 Null html counts as empty; a page without content has an empty text. Rows
 without an id and repeated rows give a row each; an empty table gives none.
@@ -48,8 +53,9 @@ ENDS = {
 }
 CONTAINERS = frozenset(["ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "nav", "aside", "form", "footer", "header", "blockquote"])
 
-# Weights of the classifier, in units of cost. Structure outweighs any text statistic.
-AWAY, TOWARDS = 12.0, 5.0
+# Weights of the classifier, in units of cost. Real structure outweighs any text statistic, names do not.
+AWAY, TOWARDS = 12.0, 0.1
+NAMED, MAYBE_NAMED, OUTSIDE = 5.0, 0.3, 3.0
 TAG_WEIGHT = {"nav": -AWAY, "footer": -AWAY, "aside": -AWAY, "form": -AWAY, "button": -AWAY, "select": -AWAY, "menu": -AWAY, "dialog": -AWAY, "head": -AWAY, "article": TOWARDS, "main": TOWARDS}
 ROLE_WEIGHT = {"main": TOWARDS, "article": TOWARDS} | dict.fromkeys(["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"], -AWAY)
 BOILERPLATE = frozenset([
@@ -61,14 +67,30 @@ BOILERPLATE = frozenset([
 ])
 CONTENT = frozenset(["article", "body", "content", "entry", "main", "post", "story", "text"])
 HEADING_WORDS = frozenset(["header", "head"])
-NEAR, SAME_PARENT = 0.5, 0.5
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+# What differing labels of neighbours cost: next to each other under one parent, and at most, per step between them.
+TIED, STEP = 1.2, 2.0
+
+
+def _named(value: str, is_id: bool, is_heading: bool) -> float:
+    """What the words of a class or id say against content, or for it."""
+    cost = 0.0
+    for name in value.split():
+        words = {w.lower() for w in WORD.findall(name)}
+        bad, good = words & BOILERPLATE, words & CONTENT
+        if good and bad <= HEADING_WORDS:
+            cost = max(cost, TOWARDS / 2) if cost >= 0 else cost
+        elif bad:
+            maybe = good or is_heading or (is_id and words != bad)
+            cost = min(cost, -MAYBE_NAMED if maybe else -NAMED)
+    return cost
 
 
 @functools.lru_cache(maxsize=4096)
-def _weight(tag: str, attributes: str) -> tuple[float, float]:
-    """What an element adds for and against content."""
+def _weight(tag: str, attributes: str) -> tuple[float, float, float]:
+    """What an element adds for content, against it by structure, and against it by name."""
     base = TAG_WEIGHT.get(tag, 0.0)
-    up, down = max(base, 0.0), min(base, 0.0)
+    up, down, named = max(base, 0.0), min(base, 0.0), 0.0
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
@@ -81,15 +103,11 @@ def _weight(tag: str, attributes: str) -> tuple[float, float]:
                 if value.strip().lower() == "articlebody":
                     up = max(up, TOWARDS)
             elif name in ("class", "id") and tag not in ("html", "body"):
-                words = {w.lower() for w in WORD.findall(value)}
-                bad, good = words & BOILERPLATE, words & CONTENT
-                if good and bad <= HEADING_WORDS:
-                    up = max(up, TOWARDS / 2)
-                elif bad:
-                    down = -AWAY
-    if tag == "header" and down == 0.0:
-        down = -TOWARDS  # a page's header goes, that of an article stays
-    return up, down
+                cost = _named(value, name == "id", tag in HEADINGS)
+                up, named = max(up, cost), min(named, cost)
+    if tag == "header" and down == 0.0 and named == 0.0:
+        named = -NAMED  # a page's header goes, that of an article stays
+    return up, down, named
 
 
 class _Blocks:
@@ -97,10 +115,11 @@ class _Blocks:
 
     def __init__(self) -> None:
         self.texts: list[str] = []
-        self.facts: list[tuple[float, float, float, int, str]] = []  # for, against, link share, parent, tag
-        self.stack: list[tuple[str, float, float, int]] = [("", 0.0, 0.0, 0)]
+        self.facts: list[tuple[float, float, float, str]] = []  # for, against, link share, tag
+        self.steps: list[int] = []  # block elements that open or close before each block
+        self.between = 0
+        self.stack: list[tuple[str, float, float, float]] = [("", 0.0, 0.0, 0.0)]
         self.open: dict[str, int] = {}
-        self.parents = 0
         self.parts: list[str] = []
         self.linked = 0
 
@@ -109,13 +128,12 @@ class _Blocks:
             text = " ".join(unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                tag, up, down, parent = next((x for x in reversed(self.stack) if x[0] not in INLINE), self.stack[0])
-                up, down = self.stack[-1][1], self.stack[-1][2]
-                place = parent
-                if tag and tag not in CONTAINERS:
-                    place = next((x[3] for x in reversed(self.stack) if x[0] in CONTAINERS or not x[0]), 0)
+                tag = next((x[0] for x in reversed(self.stack) if x[0] not in INLINE), "")
+                _, up, down, named = self.stack[-1]
                 self.texts.append(text)
-                self.facts.append((up, down, min(1.0, self.linked / max(len(text), 1)), place, tag))
+                self.facts.append((up, down + named, min(1.0, self.linked / max(len(text), 1)), tag))
+                self.steps.append(self.between)
+                self.between = 0
         self.linked = 0
 
     def text(self, data: str) -> None:
@@ -127,6 +145,7 @@ class _Blocks:
     def end(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
+            self.between += tag in CONTAINERS
         elif tag == "br":
             self.parts.append(" ")
         if self.open.get(tag):
@@ -155,12 +174,12 @@ class _Blocks:
                         break
         if tag in VOID:
             return
-        _, up, down, _ = self.stack[-1]
-        more, less = _weight(tag, attributes)
-        if tag == "header" and up > 0 and less == -TOWARDS:
-            less = 0.0
-        self.parents += 1
-        self.stack.append((tag, max(up, more), min(down, less), self.parents))
+        self.between += tag in CONTAINERS
+        _, up, down, named = self.stack[-1]
+        more, less, name = _weight(tag, attributes)
+        if tag == "header" and up > 0 and name == -NAMED:
+            name = 0.0
+        self.stack.append((tag, max(up, more), min(down, less), min(named, name)))
         self.open[tag] = self.open.get(tag, 0) + 1
 
 
@@ -209,18 +228,18 @@ def score(text: str, up: float, down: float, linked: float, tag: str) -> float:
 def main_text(html: str) -> tuple[str, int, int]:
     """The content of a page, its blocks joined by newlines; the numbers of blocks and of kept blocks."""
     page = read_blocks(html)
-    scores = [score(t, up, down, linked, tag) for t, (up, down, linked, _, tag) in zip(page.texts, page.facts, strict=True)]
-    edges, last = [], {}
-    for i, (_, _, _, parent, _) in enumerate(page.facts):
-        if i:
-            edges.append((i - 1, i, NEAR))
-        if parent in last:
-            edges.append((last[parent], i, SAME_PARENT))
-        last[parent] = i
+    scores = block_scores(page)
+    edges = [(i - 1, i, TIED / (1 + STEP * page.steps[i])) for i in range(1, len(scores))]
     kept = [t for t, x in zip(page.texts, label(scores, edges), strict=True) if x]
     return "\n".join(kept), len(scores), len(kept)
 
 
+def block_scores(page: _Blocks) -> list[float]:
+    """The score of every block; where some lie in what a page marks as its article, the others have that against them."""
+    marked = any(up >= TOWARDS and down > -AWAY for up, down, _, _ in page.facts)
+    return [score(t, up, down, linked, tag) - (OUTSIDE if marked and up < TOWARDS else 0.0) for t, (up, down, linked, tag) in zip(page.texts, page.facts, strict=True)]
+
+
 EXTRACTED = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_kept", T.LongType()),
