@@ -77,7 +77,7 @@ def test_imports_of_every_form(spark, rows):
         "lone.py": ["import pkg.a"],
         "src/pkg/__init__.py": ["from . import a"],
         "src/pkg/a.py": ["import pkg.b as q; import pkg.sub.m", "from pkg import (  # several", "    sub,", "    nothing)", "sub = 1"],
-        "src/pkg/b.py": ["import pkg.a, pkg.sub", "import os, pkg.missing"],
+        "src/pkg/b.py": ["import pkg.a, \\", "    pkg.sub", "import os, \\", "  pkg.missing"],
         "src/pkg/sub/m.py": ["from .. import a, b as c", "from . import nothing", "from ..b import thing", "from pkg.sub import *"],
         "top/__init__.py": ["from pkg import a, b", "x = 'from pkg import sub'"],
     }

@@ -172,3 +172,36 @@ def test_levels_of_chains_diamonds_and_cycles(spark):
         got = {(r.repo, r.item): r.level for r in graph.dependency_levels(df, jumps).collect()}
         assert got == {("r", i): v for i, v in levels_by_hand(deps).items()} | {("s", "a"): 0}
     assert graph.dependency_levels(df.limit(0)).count() == 0
+
+
+def test_an_automaton_matches_as_regexes_do(spark):
+    import re
+
+    from tidemark.functions import paths
+    from tidemark.operators import globbing, ownership
+
+    rng = random.Random(3)
+    tokens = ["*", "?", "a", "b", "/", "1", "[ab]", "[!a]", "[b-a]", "[1-3]", "[", "[]a]", "[!]", ".", "é", "**", "-", "]"]
+    rules = sorted({"".join(rng.choice(tokens) for _ in range(rng.randrange(1, 7))) for _ in range(400)} | {"*", "?", "a", "/a*", "[x"})
+    names = sorted({"".join(rng.choice(["a", "b", "/", "1", "2", ".", "é", "[", "]", "-", "x"]) for _ in range(rng.randrange(1, 9))) for _ in range(300)})
+    df = spark.createDataFrame([("r", r) for r in rules], "repo string, pattern string")
+    files = spark.createDataFrame([("r", n) for n in names] + [("s", n) for n in names[:5]], "repo string, path string")
+    keyed = ownership._rule_keys(df).collect()
+    want = {(k.pattern, n) for k in keyed for n in names if re.search(k.regex, n)}
+    own = globbing.GlobSet([(k.glob, k.anchored) for k in keyed])
+    assert {(keyed[i].pattern, n) for n in names for i in own.matches(n)} == want
+    assert {(r.pattern, r.path) for r in ownership.match_rules(df, files).collect() if r.repo == "r"} == want
+    sliced = globbing.matched(ownership._rule_keys(df).select("repo", "pattern", "glob", "anchored"), files, 40)
+    assert {(r.pattern, r.path) for r in sliced.collect()} == want
+    assert paths.glob_regex("*").endswith(")$")
+
+
+def test_thousands_of_rules_cost_a_path_its_length():
+    import time
+
+    from tidemark.operators import globbing
+
+    own = globbing.GlobSet([(f"*{i:04d}?*[{i % 9}-9]*", False) for i in range(5_000)])
+    start = time.process_time()
+    found = [own.matches(f"src/dir{i % 40}/file{i:04d}x9.py") for i in range(1_000)]
+    assert all(i in f for i, f in enumerate(found)) and time.process_time() - start < 20

@@ -77,6 +77,8 @@ def pagerank(
     The loop therefore needs no number per repository between iterations. A node
     sends its own record along a self row, so one join and one aggregate make an
     iteration, and ``rounds_per_stage`` of them are planned between two writes.
+    Unless a source is hot, ranks are joined by the key they were aggregated by, so
+    an iteration shuffles them once, and the links once per write.
 
     What is left of z after an iteration bounds all that later ones can add, and
     every one of them keeps at most ``alpha`` of it. Once a write shows that no
@@ -102,9 +104,13 @@ def pagerank(
     )
     own = state.select("repo", F.col("node").alias("src"), F.col("node").alias("dst"), zero.alias("slice"), F.lit(True).alias("own"))
     links = stage(sliced.select("repo", "src", "dst", "slice", F.lit(False).alias("own")).unionByName(own), "links")
+    hot = not sources.where("slices > 1").isEmpty()
 
     def step(df: DataFrame) -> DataFrame:
-        sent = df.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("node", "src").join(links, ["repo", "src", "slice"])
+        if hot:
+            sent = df.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("node", "src").join(links, ["repo", "src", "slice"])
+        else:  # ranks come out of the aggregate dealt by the key that they are joined by
+            sent = df.withColumnRenamed("node", "src").join(links.drop("slice"), ["repo", "src"])
         mine = F.when(F.col("own"), F.struct("deg", "slices", "past"))
         share = F.when(F.col("own"), 0.0).otherwise(F.lit(alpha) * F.col("z") / F.col("deg"))
         return (

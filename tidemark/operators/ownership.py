@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import paths, text
+from tidemark.operators import globbing
 from tidemark.scale import carry_forward, running_sum, salted_lookup, skewed_join
 from tidemark.staging import stage
 
@@ -47,7 +48,7 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
         (kind == "path") | ((kind == "name") & ~F.col("anchored") & (F.col("glob") == F.col("last")))
         | ((kind == "dir") & (F.col("glob") == F.concat("dir", F.lit("/*"))))
     )
-    return df.select("repo", "pattern", F.concat(F.lit("(?s)^"), prefix, body).alias("regex"), "kind", key.alias("key"), exact.alias("exact"))
+    return df.select("repo", "pattern", "glob", "anchored", F.concat(F.lit("(?s)^"), prefix, body).alias("regex"), "kind", key.alias("key"), exact.alias("exact"))
 
 
 def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
@@ -56,8 +57,8 @@ def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     A rule is looked up by its literal path, directory prefix, name or
     extension; the regex is checked on those candidates only, and not where the
     key is the whole rule. Brackets that do not close are literal. Rules with no
-    literal part at all travel as one list per repository (an ownership file is
-    a few kilobytes) and are tried on each file in place.
+    literal part at all become one automaton per repository, which reads each path
+    once, however many they are (see ``globbing``).
     """
     keyed = stage(_rule_keys(rules.select("repo", "pattern").distinct()), "rules")
 
@@ -73,11 +74,8 @@ def match_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     hits = skewed_join(candidates, keyed.where(F.col("kind") != "scan"), ["repo", "kind", "key"]).where(
         F.col("exact") | F.rlike("path", F.col("regex"))
     )
-    lists = keyed.where(F.col("kind") == "scan").groupBy("repo").agg(F.collect_list(F.struct("pattern", "regex")).alias("rules"))
-    scanned = salted_lookup(files.select("repo", "path"), lists, ["repo"], "inner").select(
-        "repo", "path", F.explode(F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))).alias("r")
-    )
-    return hits.select("repo", "pattern", "path").unionByName(scanned.select("repo", "r.pattern", "path")).distinct()
+    scanned = globbing.matched(keyed.where(F.col("kind") == "scan").select("repo", "pattern", "glob", "anchored"), files)
+    return hits.select("repo", "pattern", "path").unionByName(scanned).distinct()
 
 
 def rule_counts(rules: DataFrame, matches: DataFrame) -> DataFrame:

@@ -40,37 +40,6 @@ def _problems(value: Column, path: Column, types: list[str], required: bool = Fa
     return F.array_compact(F.array(*checks))
 
 
-FIELDS = [
-    # path, allowed types, required when its parent is an object, enumeration, minimum length
-    ("run_id", ["string"], True, None, 1),
-    ("contract_hash", ["string", "null"], False, None, 0),
-    ("freeze_evidence", ["object", "null"], False, None, 0),
-    ("freeze_evidence.contract_hash", ["string"], False, None, 0),
-    ("freeze_evidence.frozen_before_decomposition", ["boolean"], False, None, 0),
-    ("freeze_evidence.kill_test", ["object"], False, None, 0),
-    ("freeze_evidence.kill_test.null_artifact_all_fail", ["boolean"], False, None, 0),
-    ("freeze_evidence.kill_test.sabotage_rejected", ["boolean", "null"], False, None, 0),
-    ("readiness_verdict", ["object"], False, None, 0),
-    ("readiness_verdict.verdict", ["string"], True, None, 0),
-    ("readiness_verdict.source", ["string"], True, fv.READINESS_SOURCES, 0),
-    ("criteria_results", ["array"], False, None, 0),
-    ("couldnt_drive", ["array"], False, None, 0),
-    ("abort_events", ["array"], False, None, 0),
-    ("tier3_escalations", ["array"], False, None, 0),
-    ("verifier_provenance", ["object", "null"], False, None, 0),
-    ("verifier_provenance.token", ["string"], False, None, 0),
-    ("operator_signoff", ["object", "null"], False, None, 0),
-]
-ITEM_FIELDS = [
-    ("criteria_results", "id", ["string"], True, None),
-    ("criteria_results", "tier", ["integer"], True, [1, 2, 3]),
-    ("criteria_results", "result", ["string"], True, fv.OUTCOMES),
-    ("criteria_results", "observation", ["string"], False, None),
-    ("tier3_escalations", "criterion_id", ["string"], True, None),
-    ("tier3_escalations", "artifact_path", ["string"], True, None),
-]
-
-
 def schema_check(records: DataFrame) -> DataFrame:
     """Every violation of the record layout as a row (2.11.21).
 
@@ -80,7 +49,7 @@ def schema_check(records: DataFrame) -> DataFrame:
     v = F.col("v")
     is_object = F.coalesce(_kind(v) == "object", F.lit(False))
     found = []
-    for path, types, required, enum, size in FIELDS:
+    for path, types, required, enum, size in fv.RECORD_FIELDS:
         value = F.variant_get(v, f"$.{path}", "variant")
         parent = path.rpartition(".")[0]
         problems = _problems(value, F.lit(f"$.{path}"), types, required, enum, size)
@@ -88,7 +57,7 @@ def schema_check(records: DataFrame) -> DataFrame:
             whole = _kind(F.variant_get(v, f"$.{parent}", "variant")) == "object"
             problems = F.when(whole, problems).otherwise(F.array().cast("array<struct<path:string,error:string>>"))
         found.append(problems)
-    for field, key, types, required, enum in ITEM_FIELDS:
+    for field, key, types, required, enum in fv.RECORD_ITEM_FIELDS:
         items = F.try_variant_get(v, f"$.{field}", "array<variant>")
 
         each = F.flatten(_item_problems(items, field, key, types, required, enum))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import paths
 from tidemark.operators import graph
-from tidemark.scale import carry_forward, skewed_join, top_k
+from tidemark.scale import carry_forward, running_sum, skewed_join, top_k
 
 
 def module_surface(lines: DataFrame) -> DataFrame:
@@ -48,14 +48,28 @@ def python_modules(files: DataFrame) -> DataFrame:
 OPENS = r"^\s*from\s+\S+\s+import\s*\([^)]*$"
 
 
+def _joined_lines(code: DataFrame, chunk_lines: int) -> DataFrame:
+    """Lines that end with a backslash together with those that go on with them, under the first one's number.
+
+    Only files with such a line are regrouped, chunk by chunk; others pass as they are.
+    """
+    going_on = F.col("text").rlike(r"\\\s*$")
+    files = code.where(going_on).select("repo", "path").distinct()
+    rows = code.join(files, ["repo", "path"], "left_semi").withColumns({"_chunk": F.floor(F.col("line_no") / chunk_lines), "_end": (~going_on).cast("int")})
+    counted = running_sum(rows, ["repo", "path"], "_chunk", ["line_no"], "_end", "_upto")
+    pieces = F.array_sort(F.collect_list(F.struct("line_no", F.regexp_replace("text", r"\\\s*$", " ").alias("text"))))
+    whole = counted.groupBy("repo", "path", (F.col("_upto") - F.col("_end")).alias("_line")).agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
+    return code.join(files, ["repo", "path"], "left_anti").unionByName(whole.select("repo", "path", "line_no", "text"))
+
+
 def import_statements(lines: DataFrame, chunk_lines: int = 10_000) -> DataFrame:
     """``repo, path, line_no, statement``: one import statement per row.
 
-    Comments go, ``;`` parts statements, and each line inside parentheses that an
+    Comments go, lines that a backslash joins are one, ``;`` parts statements, and each line inside parentheses that an
     import opened becomes a statement with that import's head. Long files are
     carried chunk by chunk.
     """
-    code = lines.select("repo", "path", "line_no", F.regexp_replace("text", r"\s*#.*$", "").alias("text"))
+    code = _joined_lines(lines.select("repo", "path", "line_no", F.regexp_replace("text", r"\s*#.*$", "").alias("text")), chunk_lines)
     plain = code.where(F.col("text").rlike(r"(^|;)\s*(import|from)\s"))
     single = plain.where(~F.col("text").rlike(OPENS)).select(
         "repo", "path", "line_no", F.explode(F.split(F.translate("text", "()", ""), ";")).alias("statement")

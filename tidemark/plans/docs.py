@@ -526,6 +526,15 @@ def glob_path_join(t: Tables):
     return matches_of(t)
 
 
+@query(
+    "glob_scan_join",
+    """SELECT r.repo, r.pattern, t.path FROM (SELECT repo, pattern, CASE WHEN contains(pattern, '/') THEN '' ELSE '(?:.*/)?' END || replace(replace(replace(replace(replace(ltrim(pattern, '/'), '*', '@'), '?', '.'), '@', '.*'), '[!', '[^'), '//', '/') AS rx FROM scan_rules) r
+        JOIN tracked t ON t.repo = r.repo AND regexp_full_match(t.path, r.rx)""",
+)
+def glob_scan_join(t: Tables):
+    return ownership.match_rules(t.scan_rules, t.tracked)
+
+
 @query(
     "section_carry_forward",
     """SELECT repo, doc, line_no, text, 'ARCHITECTURE.md::Nation ' || (line_no // 100000) AS section FROM arch_lines WHERE NOT starts_with(text, '#')""",

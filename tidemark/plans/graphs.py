@@ -204,7 +204,7 @@ def module_surface(t: Tables):
 
 PY = """py AS (SELECT DISTINCT repo, brand || '.p' || file_id AS module FROM line_facts WHERE ends_with(path, '.py') UNION SELECT DISTINCT repo, brand FROM line_facts WHERE ends_with(path, '.py')),
     imp AS (SELECT repo, brand || '.p' || file_id AS src, brand || '.p' || n AS full, pkg FROM (
-        SELECT repo, brand, file_id, sk AS n, brand AS pkg FROM py_forms WHERE form IN (0, 2, 4) UNION ALL SELECT repo, brand, file_id, q, brand FROM py_forms WHERE form IN (0, 4)
+        SELECT repo, brand, file_id, sk AS n, brand AS pkg FROM py_forms WHERE form IN (0, 2, 4, 6) UNION ALL SELECT repo, brand, file_id, q, brand FROM py_forms WHERE form IN (0, 4, 6)
         UNION ALL SELECT repo, brand, file_id, sk, NULL FROM py_forms WHERE form IN (1, 3) UNION ALL SELECT repo, brand, file_id, q, NULL FROM py_forms WHERE form IN (1, 3))
         UNION ALL SELECT repo, brand, brand || '.p' || min(file_id), NULL FROM line_facts WHERE ends_with(path, '.py') GROUP BY repo, brand)"""
 
@@ -343,7 +343,7 @@ def breakup_candidates(t: Tables):
 
 @query(
     "dependency_levels",
-    "SELECT repo, o_orderkey AS item, CAST(row_number() OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) - 1 AS INT) AS level FROM orders_t",
+    "SELECT repo, item, CAST(CASE WHEN NOT looped THEN rn - 1 END AS INT) AS level FROM work_chain",
 )
 def dependency_levels(t: Tables):
     return graph.dependency_levels(t.work_deps)
@@ -351,7 +351,7 @@ def dependency_levels(t: Tables):
 
 @query(
     "critical_path",
-    """WITH l AS (SELECT repo, row_number() OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) - 1 AS level FROM orders_t)
+    """WITH l AS (SELECT repo, CASE WHEN NOT looped THEN rn - 1 END AS level FROM work_chain)
        SELECT repo, CAST(max(level) + 1 AS INT) AS critical_path, count(*) FILTER (level = 0) AS first_wave FROM l GROUP BY repo""",
 )
 def critical_path(t: Tables):

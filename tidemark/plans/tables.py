@@ -145,7 +145,13 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
     "static_edges": """SELECT repo, src, dst FROM {triple_edges} WHERE repo IN ('repo0', 'repo2', 'repo5')
         UNION ALL SELECT a.repo, a.module, b.module FROM {triples} a JOIN {triples} b ON b.repo = a.repo AND b.brand > a.brand AND a.rn = 1 AND b.rn = 2 WHERE a.repo IN ('repo0', 'repo2')
         UNION ALL SELECT repo, src, dst FROM {import_edges} WHERE repo NOT IN ('repo0', 'repo2', 'repo5')""",
-    "work_deps": """SELECT repo, o_orderkey AS item, lag(o_orderkey) OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) AS blocked_by FROM {orders_t}""",
+    # a customer's orders one after the other; some wait for the one before that too, and some customers' first for their last
+    "work_chain": """SELECT repo, o_orderkey AS item, o_custkey % 50 = 7 AS looped, row_number() OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) AS rn,
+        lag(o_orderkey) OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) AS before, lag(o_orderkey, 2) OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch, o_orderkey) AS earlier,
+        first_value(o_orderkey) OVER (PARTITION BY repo, o_custkey ORDER BY o_epoch DESC, o_orderkey DESC) AS last_item FROM {orders_t}""",
+    "work_deps": """SELECT repo, item, before AS blocked_by FROM {work_chain}
+        UNION ALL SELECT repo, item, earlier FROM {work_chain} WHERE earlier IS NOT NULL AND item % 3 <> 1
+        UNION ALL SELECT repo, item, last_item FROM {work_chain} WHERE looped AND rn = 1""",
     "item_files": """SELECT DISTINCT repo, item, concat('f', part_id) AS path FROM (
         SELECT l.repo, l.l_orderkey AS item, min(l.l_partkey) AS part_id FROM {lineitem_t} l GROUP BY l.repo, l.l_orderkey
         UNION ALL SELECT l.repo, l.l_orderkey, max(l.l_partkey) FROM {lineitem_t} l JOIN {orders_t} o ON o.o_orderkey = l.l_orderkey
@@ -164,6 +170,10 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
         UNION ALL SELECT repo, concat('?*s', file_id, '.[pq]y'), 'CODEOWNERS' FROM {pages_of_repo} WHERE s_acctbal < -500
         UNION ALL SELECT DISTINCT repo, concat('docs/[draft', nk), 'CODEOWNERS' FROM {pages_of_repo} WHERE nk < 3
         UNION ALL SELECT DISTINCT repo, concat('/r', rk, '/[z-a]*'), 'CODEOWNERS' FROM {pages_of_repo} WHERE rk = 1""",
+    # rules without any literal part that could be looked up
+    "scan_rules": """SELECT DISTINCT repo, concat('*', file_id % 10, '?', '[', nk % 10, '-9]*') AS pattern FROM {pages_of_repo}
+        UNION SELECT DISTINCT repo, concat('?*[!', file_id % 10, ']', file_id % 100, '*') FROM {pages_of_repo}
+        UNION SELECT DISTINCT repo, concat('/?', rk, '*', file_id % 50, '?*') FROM {pages_of_repo}""",
     # forty rules that overlap without one holding another; some files lie under all of them
     "overlapping_rules": {
         "spark": """SELECT repo, concat('b', k) AS boundary, path FROM (SELECT t.repo, t.path, f.file_id, explode(sequence(0, 39)) AS k FROM {tracked} t JOIN {files_s} f ON f.path = t.path) x
@@ -207,17 +217,20 @@ PROJECTIONS: dict[str, str | dict[str, str]] = {
              WHEN o.o_orderstatus = 'P' THEN 'Pair <u2@example.com>' ELSE '' END AS coauthor_text
         FROM {orders_t} o JOIN {identities} i ON i.author_id = o.o_custkey""",
     # import lines of every form, spread over all Python files, and the packages' own files
-    "py_forms": "SELECT repo, path, brand, file_id, line_no * 10 AS line_no, sk, q, (sk + q) % 6 AS form FROM {line_facts} WHERE ln = 6 AND path LIKE '%.py'",
+    "py_forms": "SELECT repo, path, brand, file_id, line_no * 10 AS line_no, sk, q, (sk + q) % 7 AS form FROM {line_facts} WHERE ln = 6 AND path LIKE '%.py'",
     "py_lines": """SELECT repo, path, line_no, CASE form
         WHEN 0 THEN concat('from ', brand, ' import p', sk, ', p', q, ' as other  # two names')
         WHEN 1 THEN concat('import ', brand, '.p', sk, ' as helper, ', brand, '.p', q)
         WHEN 2 THEN concat('    from . import p', sk)
         WHEN 3 THEN concat('from .p', sk, ' import thing; import ', brand, '.p', q)
         WHEN 4 THEN concat('from ', brand, ' import (  # a list')
+        WHEN 6 THEN concat('from ', brand, ' import ', chr(92))
         ELSE concat('from .. import p', sk) END AS text FROM {py_forms}
         UNION ALL SELECT repo, path, line_no + 1, concat('    p', sk, ', # first') FROM {py_forms} WHERE form = 4
         UNION ALL SELECT repo, path, line_no + 2, concat('    p', q, ' as x)') FROM {py_forms} WHERE form = 4
         UNION ALL SELECT repo, path, line_no + 3, 'p1 = 2' FROM {py_forms} WHERE form = 4
+        UNION ALL SELECT repo, path, line_no + 1, concat('    p', sk, ', ', chr(92)) FROM {py_forms} WHERE form = 6
+        UNION ALL SELECT repo, path, line_no + 2, concat('    p', q) FROM {py_forms} WHERE form = 6
         UNION ALL SELECT repo, concat('src/', brand, '/__init__.py'), CAST(1 AS BIGINT), concat('from . import p', min(file_id)) FROM {line_facts} WHERE path LIKE '%.py' GROUP BY repo, brand""",
     "py_files": """SELECT DISTINCT repo, path FROM {line_facts} WHERE path LIKE '%.py'
         UNION SELECT DISTINCT repo, concat('src/', brand, '/__init__.py') FROM {line_facts} WHERE path LIKE '%.py'""",
