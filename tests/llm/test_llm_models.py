@@ -125,7 +125,7 @@ def test_embeddings_against_all_pairs(spark):
     want = Counter((r[0], want_n[k], least.get(root[k]), r[0] == least.get(root[k])) for k, r in enumerate(rows))
     got = Counter(map(tuple, embeddings.near_duplicates(table).collect()))
     assert got == want  # windows as wide as a label find every link
-    narrow = Counter(map(tuple, embeddings.near_duplicates(table, window=16).collect()))
+    narrow = Counter(map(tuple, embeddings.near_duplicates(table, window=24, recall=0.98).collect()))
     assert sum((want & narrow).values()) >= len(rows) - 6  # passes are random; all but stray pairs are found
     assert Counter(x[0] for x in narrow.elements()) == Counter(x[0] for x in want.elements())
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
@@ -142,7 +142,7 @@ def test_links_inside_a_dense_topic(spark):
     want = (links | links.T).sum(axis=1)
     table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()} == dict(enumerate(want.tolist()))
-    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, window=100).collect()}
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, window=300, recall=0.99).collect()}
     assert all(got[k] <= n for k, n in enumerate(want.tolist())) and sum(got.values()) >= 0.98 * want.sum() > 150
 
 
@@ -158,12 +158,12 @@ def test_a_link_is_counted_once_and_leaves_a_forest(spark, tmp_path, monkeypatch
 
     monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path))
     rng = np.random.default_rng(6)
-    x = (np.eye(8)[0] + rng.normal(size=(400, 8)) * 0.01).astype(np.float32)
+    x = (np.eye(8)[0] + rng.normal(size=(200, 8)) * 0.01).astype(np.float32)
     table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    got = embeddings.near_duplicates(table, window=20).collect()
-    assert max(r.n_links for r in got) <= 399 and {r.component_id for r in got} == {0} and sum(r.n_links for r in got) >= 0.98 * 400 * 399
+    got = embeddings.near_duplicates(table, window=30, recall=0.98).collect()
+    assert max(r.n_links for r in got) <= 199 and {r.component_id for r in got} == {0} and sum(r.n_links for r in got) >= 0.96 * 200 * 199
     sizes = [spark.read.parquet(str(p)).where("b >= 0").count() for p in tmp_path.iterdir() if p.name.startswith("pass-")]
-    assert sizes and max(sizes) < 2 * 400 * 2  # links that leave a pass, not its pairs
+    assert sizes and max(sizes) < 2 * 200 * 2  # links that leave a pass, not its pairs
 
 
 def test_bands_end_at_the_window():

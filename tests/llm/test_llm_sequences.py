@@ -29,8 +29,8 @@ def rows():
     prose = lambda n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
     mixed = "".join(rng.choice(["a", "b", " ", "  ", "▁", "\n", "é", "漢", "<0x41>", "<s>", "</s>", "<unk>", "\x00", "😀", "the", "=", "-", "\t", "ß", "⁇"]) for _ in range(900))
     texts = [
-        None, "", " ", "   ", "▁", "one ▁ two", "One", "one", " \t\n", "<|endoftext|> a<|endoftext|></s>", "Naïve café — 東京 \U0001f600 it's  two\n\n three", "a" * 900, "=" * 3000,
-        "漢字仮名" * 200, "\U0001f600" * 300, mixed, mixed.replace("▁", ""), prose(4000), prose(30), "x y " * 500, " ".join(["spam"] * 40), " ".join("abcab" * 30),
+        None, "", " ", "   ", "▁", "one ▁ two", "One", "one", " \t\n", "<|endoftext|> a<|endoftext|></s>", "Naïve café — 東京 \U0001f600 it's  two\n\n three", "a" * 900, "=" * 1200,
+        "漢字仮名" * 200, "\U0001f600" * 300, mixed, mixed.replace("▁", ""), prose(1500), prose(30), "x y " * 500, " ".join(["spam"] * 40), " ".join("abcab" * 30),
         "w1 w2 w3 w4 w5 w6 " * 2, "w1 w2 w3 w4 w5 w6 " * 2 + "w1", prose(5) + " q r s" * 9 + " " + prose(7) + " q r s" * 9,
     ]
     data = [(i, t) for i, t in enumerate(texts)] + [(100 + i, prose(rng.randrange(1, 200))) for i in range(60)]
