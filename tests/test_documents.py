@@ -187,8 +187,8 @@ def test_pairs_are_counted_without_class_pairs(spark, rows):
     owned = [("r", "all", f"d/f{i}") for i in range(300)] + [("r", f"own{i}", f"d/f{i}") for i in range(300)]
     owned += [("r", f"b{k}", f"e/f{i}") for k in range(4) for i in range(40) if i % (k + 2) == 0]
     table = spark.createDataFrame(owned, "repo string, boundary string, path string")
-    part = drift._overlaps(drift.file_classes(table, []), [])
-    assert part.count() < 40
+    compared = drift._tiles(drift._by_boundary(drift.file_classes(table, []), []), ["repo", "boundary"])
+    assert compared.count() < 40
     seams = [("d", "e"), ("e/f1", "e")]
     for s in ([], seams):
         held = {}

@@ -81,8 +81,12 @@ def _by_boundary(classes: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the tile they are compared in: a group of many rows is cut into blocks, and every two blocks meet."""
-    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks"))
+    """Rows with the tile they are compared in: a group of many rows is cut into blocks, and every two blocks meet.
+
+    A group whose files all lie in the same wider boundaries has no first pairs and goes.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("before")).alias("least"))
+    blocks = sizes.where("rows > 1 OR least = 0").select(*keys, F.ceil(F.col("rows") / F.lit(TILE)).cast("int").alias("blocks"))
     cut = skewed_join(rows, blocks, keys).withColumn("own", F.pmod(F.xxhash64("before", "sides"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return cut.withColumn("other", other).select(
