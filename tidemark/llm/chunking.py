@@ -180,6 +180,7 @@ def remove_repeats(
             rows.append((total, [{"start": a, "end": b} for a, b in spans], text))
         return pd.DataFrame(rows, columns=["repeated", "spans", "kept"])
 
-    keyed = docs.select(whole_row(docs).alias("row"), *_identity(docs, id_col, text_col), _text(text_col).alias("text"))
-    joined = keyed.join(found, ["_id", "_digest"], "left").select("row", cut("text", "chunks").alias("cut"))
+    keyed = docs.select(whole_row(docs).alias("row"), *_identity(docs, id_col, text_col))
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    joined = keyed.join(found, ["_id", "_digest"], "left").select("row", cut(text, "chunks").alias("cut"))
     return joined.select("row.*", F.col("cut").alias(out))
