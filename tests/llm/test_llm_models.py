@@ -204,7 +204,8 @@ def test_look_alikes_are_decided_without_a_row_per_pair(spark, monkeypatch, tmp_
         assert all(root[got[i]] == root[i] for i in got)  # no two are joined that links do not join
         assert len(set(got.values())) <= len(set(root)) + max(2, n // 40)
         emitted.append(sum(spark.read.parquet(str(p)).count() for p in folder.iterdir() if p.name.startswith(("proposed", "judged", "doubtful"))))
-    assert emitted[-1] <= 1.6 * emitted[0] * sizes[-1] / sizes[0]
+    # blocks grow in number too, so a little over proportion; pairs would grow sixteenfold
+    assert emitted[-1] <= emitted[0] * (sizes[-1] / sizes[0]) ** 1.5
 
 
 def test_shared_counts_equal_sets():
