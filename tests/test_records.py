@@ -79,3 +79,15 @@ def test_streams_drop_copies_and_keep_state(spark, rows, tmp_path):
     assert rows(jobs.drain(spark, flat, "w", "update", ["repo", "path", "start"]), "path", "commits") == [("f", 3)]
     flagged = jobs.first_flagged(stream().select("repo", "path", "run"))
     assert rows(jobs.drain(spark, flagged, "s", "update", ["repo", "path"]), "first_flagged", "last_run", "runs") == [(1, 3, 4)]
+
+
+def test_layer_score(spark, rows, tmp_path):
+    layers = [(0, "Present"), (1, "Partial"), (6, "Present"), (7, "Present"), (8, None), (None, "Present")]
+    verdicts = spark.createDataFrame([(r, *v) for r in ("kb", "soft", "mut", "twice", "odd", "unknown", None) for v in layers], "repo string, layer int, status string")
+    kinds = [("kb", "knowledge-base", False), ("soft", "software", False), ("mut", "software", True), ("twice", "software", False), ("twice", "knowledge-base", None), ("odd", None, None), ("none", "software", True), (None, "software", True)]
+    verdicts.write.parquet(str(tmp_path / "verdicts"))
+    spark.createDataFrame(kinds, "repo string, archetype string, mutation_run boolean").write.parquet(str(tmp_path / "kinds"))
+    scored = records.layer_score(spark.read.parquet(str(tmp_path / "verdicts")), spark.read.parquet(str(tmp_path / "kinds")))
+    assert rows(scored, "repo", "score", "denominator") == [("kb", 1.5, 3), ("mut", 4.5, 8), ("odd", 1.5, 8), ("soft", 4.0, 8), ("twice", 5.5, 8)]
+    # a row per repository is too much for one broadcast
+    assert "BroadcastHashJoin" not in scored._jdf.queryExecution().executedPlan().toString()

@@ -228,13 +228,20 @@ def layer_score(verdicts: DataFrame, applicable: DataFrame) -> DataFrame:
     mutation_run)``. Layer 6 stays Partial without a mutation run.
     """
     points = F.when(F.col("status") == "Present", 1.0).when(F.col("status") == "Partial", 0.5).otherwise(0.0)
-    capped = F.when((F.col("layer") == 6) & ~F.col("mutation_run"), F.least(points, F.lit(0.5))).otherwise(points)
+    capped = F.when(F.col("layer") == 6, F.least(points, F.lit(0.5))).otherwise(points)
+    # the three sums a repository may score, so that its verdicts are one row before they meet its archetype
+    sums = verdicts.groupBy("repo").agg(
+        F.sum(points).alias("full"), F.sum(capped).alias("capped"), F.sum(F.when(F.col("layer").isin(0, 1, 8), points).otherwise(0.0)).alias("core")
+    )
     kb = F.col("archetype") == "knowledge-base"
-    counts = ~kb | F.col("layer").isin(0, 1, 8)
+    counted = F.when(~kb, F.when(~F.col("mutation_run"), "capped").otherwise("full")).otherwise("core")
     denominator = F.when(kb, fv.KB_DENOMINATOR).otherwise(fv.SOFTWARE_DENOMINATOR)
-    agg = verdicts.join(applicable, "repo").groupBy("repo").agg(
-        F.sum(F.when(counts, capped).otherwise(0.0)).alias("score"), F.max(denominator).alias("denominator")
+    kinds = applicable.groupBy("repo").agg(
+        *[F.count_if(counted == c).alias(f"n_{c}") for c in ("full", "capped", "core")], F.max(denominator).alias("denominator")
     )
+    # both sides have a row per repository: as a broadcast, one of them would go through the driver whole
+    score = F.col("n_full") * F.col("full") + F.col("n_capped") * F.col("capped") + F.col("n_core") * F.col("core")
+    agg = sums.join(kinds.hint("merge"), "repo").select("repo", score.alias("score"), "denominator")
     return agg.select(
         "repo", "score", "denominator", scores.maturity_band(F.col("score"), F.col("denominator")).alias("band"),
         scores.score_color(F.col("score"), F.col("denominator")).alias("color"),
