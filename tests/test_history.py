@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import accretion, churn, complexity, coupling
+from tidemark.plans import tables
 
 
 def touches(spark, commits):
@@ -29,6 +30,26 @@ def test_bulk_commits_make_no_pairs(spark):
     assert coupling.co_change_pairs(touches(spark, commits)).count() == 50 * 49 // 2
 
 
+def test_bulk_filter_reads_the_history_once(spark, tmp_path):
+    touches(spark, [("one", ["x"]), ("two", ["x", "y"])]).write.parquet(str(tmp_path / "log"))
+    plan = coupling.co_change_pairs(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation ") == 1
+
+
+def test_commit_files_are_dealt_by_commit(spark, tmp_path, rows, monkeypatch):
+    for name, columns, data in (
+        ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp", [(k, 1, s, 1, None) for k in (1, 2) for s in (7, 7, 8, 9)]),
+        ("orders", "o_orderkey long, o_custkey long, o_orderdate timestamp", [(1, 1, None), (2, 1, None), (2, 1, None), (3, 1, None)]),
+        ("supplier", "s_suppkey long, s_nationkey int", [(7, 1), (7, 1), (8, 2), (9, None)]),
+        ("nation", "n_nationkey int, n_regionkey int", [(1, 0), (2, 0)]),
+    ):
+        spark.createDataFrame(data, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(tables, "PART_BYTES", 100)
+    t = tables.Tables(spark, str(tmp_path))
+    assert t.order_lines.rdd.getNumPartitions() > 4
+    assert rows(t.commit_files, "sha", "path") == [(1, "r0/n1/s7.py"), (1, "r0/n2/s8.py"), (2, "r0/n1/s7.py"), (2, "r0/n2/s8.py")]
+
+
 def test_containment(spark, rows):
     commits = [("1", ["src/a/x", "src/a/y"]), ("2", ["src/a/x", "src/b/z"]), ("3", ["src/a/x", "root"]), ("4", ["src/ab/q"])]
     out = coupling.containment_ratio(touches(spark, commits))

@@ -610,7 +610,7 @@ SMALL_COMMITS = "small_commits AS (SELECT DISTINCT c.repo, c.sha * 100 + length(
 def small_commits(t: Tables):
     ids = t.files_s.select("path", "file_id")
     sha = F.col("sha") * 100 + F.length("path") * 7 + F.col("file_id") % 5
-    return t.commit_files.join(ids, "path").select("repo", sha.alias("sha"), "ts", "path").distinct()
+    return t.dealt(t.commit_files.join(ids, "path").select("repo", sha.alias("sha"), "ts", "path"), "lineitem", "repo", "sha").distinct()
 
 
 @query("refactor_boundary", f"WITH {SMALL_COMMITS}, {SMALL} SELECT repo, dir AS path, round(containment, 6) AS containment FROM contained WHERE containment > 0.7")
