@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import archetype, snapshots
+from tidemark.plans import reports as plan_reports, tables
 from tidemark.sources import history, reports, repository, sinks
 
 
@@ -140,3 +142,20 @@ def test_a_later_run_keeps_other_repositories(spark, rows, tmp_path):
         sinks.write_run(first, "one", runs)
     sinks.write_run(first, "two", runs)
     assert spark.read.parquet(runs).count() == 4
+
+
+def test_numstat_log_is_rendered_from_one_pass(spark, rows, tmp_path):
+    lines = [(1, 1, 1, 5.0, 0.02, None), (1, 1, 2, 4.0, 0.01, None), (2, 2, 1, 3.0, 0.0, None)]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_shipdate timestamp")
+    lines.withColumn("l_shipdate", F.timestamp_seconds("l_orderkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(1, "Brand#1", "SMALL", 1), (2, "Brand#2", "PROMO", 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    log = plan_reports.scan_numstat_log(tables.Tables(spark, str(tmp_path)))
+    assert rows(log, "sha", "author_ts", "path", "added", "deleted") == [("1", 1, "src/brand1/p1.ts", 9, 3), ("2", 2, "src/brand2/p2.rb", 3, 0)]
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 2
+
+
+def test_numstat_cells(spark, rows):
+    cells = ["1\t2\ta b\textra", "1\t2", "7", "", "-\t2\tx", "3\t-4\tx", " 5\t6\t", "\t1\tx", "8\t9\tc"]
+    raw = spark.createDataFrame([("r", "10 s\r\n" + "\n".join(cells) + "\r\n"), ("r", "no head\n1\t2\tx"), ("r", None), ("r", "  ")], "repo string, value string")
+    assert rows(history.numstat_log(raw), "sha", "author_ts", "path", "added", "deleted") == [("s", 10, "", 5, 6), ("s", 10, "a b", 1, 2), ("s", 10, "c", 8, 9)]

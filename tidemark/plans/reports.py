@@ -41,9 +41,9 @@ def scan_commit_log_commits(t: Tables):
 @query("scan_numstat_log", "SELECT repo, CAST(sha AS VARCHAR) AS sha, author_ts, path, added, deleted FROM numstat")
 def scan_numstat_log(t: Tables):
     rows = F.concat(F.concat_ws("\t", "added", "deleted", "path"), F.lit("\n-\t-\tlogo.png\nnoise"))
-    good = t.numstat.select("repo", F.concat(F.concat_ws(" ", "author_ts", "sha"), F.lit("\n"), rows).alias("value"))
-    bad = t.numstat.select("repo", F.concat(F.lit("malformed\n"), rows).alias("value"))
-    return history.numstat_log(good.unionByName(bad))
+    good = F.concat(F.concat_ws(" ", "author_ts", "sha"), F.lit("\n"), rows)
+    bad = F.concat(F.lit("malformed\n"), rows)
+    return history.numstat_log(t.numstat.select("repo", F.explode(F.array(good, bad)).alias("value")))
 
 
 @query(

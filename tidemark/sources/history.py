@@ -20,8 +20,11 @@ def read_records(spark: SparkSession, root: str, separator: str = RECORD) -> Dat
 
 
 def _records(raw: DataFrame) -> DataFrame:
-    lines = F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")
-    return raw.where(F.trim("value") != "").select("repo", F.trim(lines[0]).alias("header"), F.slice(lines, 2, 2**31 - 1).alias("rows"))
+    text = F.replace("value", F.lit("\r\n"), F.lit("\n"))
+    # a header alone needs no list of lines
+    return raw.where(F.trim("value") != "").select(
+        "repo", F.trim(F.substring_index(text, "\n", 1)).alias("header"), F.slice(F.split(text, "\n"), 2, 2**31 - 1).alias("rows")
+    )
 
 
 def commit_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,9 +46,11 @@ def commit_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _numstat_rows(df: DataFrame) -> DataFrame:
     """``added<TAB>deleted<TAB>path`` rows; binary files carry no numbers."""
     keep = [c for c in df.columns if c != "rows"]
-    cells = df.select(*keep, F.explode(F.transform("rows", lambda r: F.split(r, "\t"))).alias("c"))
-    number = lambda i: F.try_element_at("c", F.lit(i)).try_cast("long")
-    rows = cells.select(*keep, number(1).alias("added"), number(2).alias("deleted"), F.try_element_at("c", F.lit(3)).alias("path"))
+    lines = df.select(*keep, F.explode("rows").alias("r"))
+    upto = lambda i: F.substring_index("r", "\t", i)
+    cell = lambda i: F.substring_index(upto(i), "\t", -1)
+    path = F.when(upto(2) != F.col("r"), cell(3))  # there is a third cell
+    rows = lines.select(*keep, cell(1).try_cast("long").alias("added"), cell(2).try_cast("long").alias("deleted"), path.alias("path"))
     return rows.where((F.col("added") >= 0) & (F.col("deleted") >= 0) & F.col("path").isNotNull())
 
 
