@@ -45,6 +45,18 @@ def _total(df: DataFrame, column: Column) -> float:
     return df.agg(column).first()[0] or 0
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """Distinct ``repo, node, ...`` with an ``id`` in the order of their repository and name. A staged table."""
+    dealt = names.repartitionByRange("repo", "node").sortWithinPartitions("repo", "node")
+    return stage(dealt.withColumn("id", F.monotonically_increasing_id()), "numbers")
+
+
+def _by_number(df: DataFrame, numbers: DataFrame, name: str, out: str) -> DataFrame:
+    """Rows with the number of the node that column ``name`` names, also of the one without a name."""
+    of = numbers.select(F.col("repo").alias("_repo"), F.col("node").alias("_node"), F.col("id").alias(out))
+    return df.join(of, (F.col("repo") == F.col("_repo")) & F.col(name).eqNullSafe(F.col("_node"))).drop("_repo", "_node")
+
+
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In and out degree, zeros kept (2.9.3): one aggregate, no join."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -78,7 +90,8 @@ def pagerank(
     sends its own record along a self row, so one join and one aggregate make an
     iteration, and ``rounds_per_stage`` of them are planned between two writes.
     Unless a source is hot, ranks are joined by the key they were aggregated by, so
-    an iteration shuffles them once, and the links once per write.
+    an iteration shuffles them once, and the links once per write. Nodes go by
+    numbers in the loop: keys of eight bytes are hashed and sorted, not names.
 
     What is left of z after an iteration bounds all that later ones can add, and
     every one of them keeps at most ``alpha`` of it. Once a write shows that no
@@ -94,42 +107,47 @@ def pagerank(
         "repo", "node", (F.lit(1.0) / F.col("n")).alias("pagerank")
     )
     each = F.lit(1.0) / F.col("n")
+    names = nodes.select("repo", "node").unionByName(edges.select("repo", F.explode(F.array("src", "dst")).alias("node")))
+    numbers = _numbered(names.where(F.col("repo").isNotNull()).distinct())
     state = salted_lookup(plain, linked, ["repo"], "left_semi").join(sources, ["repo", "node"], "left")
     state = stage(
-        state.select(
-            "repo", "node", F.coalesce("out_degree", zero).alias("deg"), F.coalesce("slices", zero + 1).alias("slices"),
-            each.alias("z"), F.array(each).alias("past"),
+        _by_number(
+            state.select(
+                "repo", "node", F.coalesce("out_degree", zero).alias("deg"), F.coalesce("slices", zero + 1).alias("slices"),
+                each.alias("z"), F.array(each).alias("past"),
+            ),
+            numbers, "node", "id",
         ),
         "ranks",
     )
-    own = state.select("repo", F.col("node").alias("src"), F.col("node").alias("dst"), zero.alias("slice"), F.lit(True).alias("own"))
-    links = stage(sliced.select("repo", "src", "dst", "slice", F.lit(False).alias("own")).unionByName(own), "links")
+    own = state.where(F.col("node").isNotNull()).select(F.col("id").alias("src"), F.col("id").alias("dst"), zero.alias("slice"), F.lit(True).alias("own"))
+    sent = sliced.join(numbers.select("repo", F.col("node").alias("src"), F.col("id").alias("from")), ["repo", "src"])
+    sent = _by_number(sent, numbers, "dst", "to").select(F.col("from").alias("src"), F.col("to").alias("dst"), "slice", F.lit(False).alias("own"))
+    links = stage(sent.unionByName(own), "links")
     hot = not sources.where("slices > 1").isEmpty()
 
-    def step(df: DataFrame) -> DataFrame:
+    def step(df: DataFrame, i: int) -> DataFrame:
         if hot:
-            sent = df.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("node", "src").join(links, ["repo", "src", "slice"])
+            sent = df.withColumn("slice", _slices(F.col("slices"))).withColumnRenamed("id", "src").join(links, ["src", "slice"])
         else:  # ranks come out of the aggregate dealt by the key that they are joined by
-            sent = df.withColumnRenamed("node", "src").join(links.drop("slice"), ["repo", "src"])
-        mine = F.when(F.col("own"), F.struct("deg", "slices", "past"))
+            sent = df.withColumnRenamed("id", "src").join(links.drop("slice"), ["src"])
         share = F.when(F.col("own"), 0.0).otherwise(F.lit(alpha) * F.col("z") / F.col("deg"))
-        return (
-            sent.groupBy("repo", F.col("dst").alias("node"))
-            .agg(F.sum(share).alias("z"), F.max(mine).alias("mine"))
-            .select("repo", "node", "mine.deg", "mine.slices", "z", F.array_append("mine.past", F.col("z")).alias("past"))
-        )
+        # what a node keeps lies in columns of its own, not in an array, so that the aggregate hashes and never sorts
+        mine = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in ("deg", "slices", *[f"z{j}" for j in range(i)])]
+        return sent.groupBy(F.col("dst").alias("id")).agg(F.sum(share).alias("z"), *mine).withColumn(f"z{i}", F.col("z"))
 
     written, done = [(0, state)], 0
     while done < iterations:
         rounds = min(rounds_per_stage, iterations - done)
-        fresh = state.withColumn("past", F.array().cast("array<double>"))
-        state = stage(reduce(lambda df, _: step(df), range(rounds), fresh), "ranks")
+        after = reduce(step, range(rounds), state.select("id", "deg", "slices", "z"))
+        past = F.when(F.col("deg").isNotNull(), F.array(*[f"z{j}" for j in range(rounds)]))
+        state = stage(after.join(numbers, "id").select("repo", "node", "id", "deg", "slices", "z", past.alias("past")), "ranks")
         written.append((done + 1, state))
         done += rounds
         left = state.groupBy("repo").agg(F.sum("z").alias("left"))
         if _total(left, F.max("left")) * alpha / (1 - alpha) < RANK_LEFT:
             break
-    unstage(links)
+    unstage(links, numbers)
     parts = reduce(DataFrame.unionByName, [df.select("repo", "node", F.lit(at).alias("at"), "past") for at, df in written])
     sums = parts.select("repo", "at", F.posexplode("past").alias("k", "z")).groupBy("repo", (F.col("at") + F.col("k")).alias("j")).agg(F.sum("z").alias("s"))
     later = sums.where("j > 0").groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda x: x["s"]).alias("s"))
@@ -375,35 +393,39 @@ def modularity_q(edges: DataFrame, partition: DataFrame) -> DataFrame:
 
 
 def _picks(between: DataFrame) -> DataFrame:
-    """The neighbour each community gains most with: ``repo, x, y, w, dx, dy, m``; none where no merge gains.
+    """The neighbour each community gains most with: ``x, low, high, w, dlow, dhigh, m``; none where no merge gains.
 
     Gains are in one total order of pairs, so picks never go round in a circle of three or more.
     """
-    gain = F.round(F.col("w") / F.col("m") - F.col("dx") * F.col("dy") / (2 * F.col("m") * F.col("m")), 12)
-    order = F.struct("gain", F.least("x", "y"), F.greatest("x", "y"))
+    gain = F.round(F.col("w") / F.col("m") - F.col("dlow") * F.col("dhigh") / (2 * F.col("m") * F.col("m")), 12)
     gaining = between.withColumn("gain", gain).where("gain > 0")
-    best = gaining.groupBy("repo", "x").agg(F.max_by(F.struct("y", "w", "dx", "dy", "m"), order).alias("best"))
-    return best.select("repo", "x", "best.*")
+    sides = gaining.select(F.explode(F.array("low", "high")).alias("x"), F.struct("gain", *BETWEEN).alias("pick"))
+    return sides.groupBy("x").agg(F.max("pick").alias("pick")).select("x", *[f"pick.{c}" for c in BETWEEN])
 
 
 def _moves(picks: DataFrame) -> DataFrame:
-    """``repo, x, target, d`` for every community that takes part in a merge; ``d`` is the degree of what it becomes.
+    """``x, target, d`` for every community that takes part in a merge; ``d`` is the degree of what it becomes. A staged table.
 
     Two that pick each other merge. Others that picked one of the two follow at
     once if they gain even when all followers come: each is charged half of what
     the rest of them cost it, so a round never loses modularity and a hub takes
     its neighbourhood together.
     """
-    swapped = picks.select("repo", F.col("y").alias("x"), F.col("x").alias("y"))
-    pairs = picks.join(swapped, ["repo", "x", "y"]).select("repo", "x", F.least("x", "y").alias("target"), (F.col("dx") + F.col("dy")).alias("d_pair"))
-    followers = picks.join(pairs, ["repo", "x"], "left_anti").join(pairs.withColumnRenamed("x", "y"), ["repo", "y"])
-    load = followers.groupBy("repo", "target").agg(F.sum("dx").alias("load"))
+    both = picks.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.max("dlow").alias("dlow"), F.max("dhigh").alias("dhigh")).where("n = 2")
+    sides = F.explode(F.array(F.struct(F.col("low").alias("x"), F.col("dlow").alias("dx")), F.struct(F.col("high").alias("x"), F.col("dhigh").alias("dx"))))
+    pairs = stage(both.select("low", (F.col("dlow") + F.col("dhigh")).alias("d_pair"), sides.alias("s")).select("s.x", F.col("low").alias("target"), "s.dx", "d_pair"), "pairs")
+    is_low = F.col("x") == F.col("low")
+    others = picks.join(pairs.select("x"), ["x"], "left_anti").select(
+        "x", F.when(is_low, F.col("high")).otherwise(F.col("low")).alias("y"), F.when(is_low, F.col("dlow")).otherwise(F.col("dhigh")).alias("dx"), "w", "m"
+    )
+    followers = stage(others.join(pairs.select(F.col("x").alias("y"), "target", "d_pair"), ["y"]).drop("y"), "followers")
+    load = followers.groupBy("target").agg(F.sum("dx").alias("load"))
     cost = F.col("dx") * (F.col("d_pair") + (F.col("load") - F.col("dx")) / 2) / (2 * F.col("m") * F.col("m"))
-    follow = followers.join(load, ["repo", "target"]).where(F.round(F.col("w") / F.col("m") - cost, 12) > 0)
-    added = follow.groupBy("repo", "target").agg(F.sum("dx").alias("added"))
-    members = pairs.select("repo", "x", "target").unionByName(follow.select("repo", "x", "target"))
-    size = pairs.groupBy("repo", "target").agg(F.first("d_pair").alias("d_pair")).join(added, ["repo", "target"], "left")
-    return members.join(size.select("repo", "target", (F.col("d_pair") + F.coalesce("added", F.lit(0.0))).alias("d")), ["repo", "target"])
+    follow = followers.join(load, ["target"]).where(F.round(F.col("w") / F.col("m") - cost, 12) > 0)
+    members = stage(pairs.select("x", "target", "dx").unionByName(follow.select("x", "target", "dx")), "members")
+    moves = stage(members.join(members.groupBy("target").agg(F.sum("dx").alias("d")), ["target"]).select("x", "target", "d"), "moves")
+    unstage(pairs, followers, members)
+    return moves
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -412,43 +434,49 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A round merges communities (see ``_moves``) and contracts the links between
     them, so the next one works on a smaller graph. Rounds end when no merge
     gains; they do end, because the pair with the largest gain picks each other.
-    Degrees travel with the links, so a round takes one aggregate to pick, joins on
-    the few picks, and one aggregate to contract. The partition is one local
+    Nodes go by numbers that keep the order of their names, a link is one row, and
+    degrees travel with it, so a round takes one aggregate to pick, joins on the
+    written picks, and one aggregate to contract. The partition is one local
     optimum; its Q is the contract, not the labels.
     """
-    links = undirected(edges)
-    totals = links.groupBy("repo").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    both = links.select("repo", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
-        links.select("repo", F.col("b").alias("x"), F.col("a").alias("y"))
-    )
-    both = stage(both, "links")
-    deg = both.groupBy("repo", "x").agg(F.count(F.lit(1)).cast("double").alias("dx"))
-    weighed = both.join(deg, ["repo", "x"]).join(deg.select("repo", F.col("x").alias("y"), F.col("dx").alias("dy")), ["repo", "y"])
-    between = stage(salted_lookup(weighed.withColumn("w", F.lit(1.0)), totals, ["repo"], "inner").select(*BETWEEN), "between")
-    unstage(both)
+    links = stage(undirected(edges).where(F.col("repo").isNotNull()), "links")
+    ends = links.select("repo", F.explode(F.array("a", "b")).alias("node"))
+    numbers = _numbered(ends.groupBy("repo", "node").agg(F.count(F.lit(1)).cast("double").alias("d")))
+    totals = numbers.groupBy("repo").agg((F.sum("d") / 2).alias("m"))
+    of = lambda c, name: numbers.select("repo", F.col("node").alias(c), F.col("id").alias(name), F.col("d").alias(f"d{name}"))
+    weighed = links.join(of("a", "low"), ["repo", "a"]).join(of("b", "high"), ["repo", "b"]).withColumn("w", F.lit(1.0))
+    between = stage(salted_lookup(weighed, totals, ["repo"], "inner").select(*BETWEEN), "between")
+    unstage(links)
     levels = []
     while True:
-        moves = stage(_moves(_picks(between)), "moves")
+        picks = stage(_picks(between), "picks")
+        moves = _moves(picks)
+        unstage(picks)
         if moves.isEmpty():
             unstage(moves, between)
             break
         levels.append(moves)
-        of = lambda c: moves.select("repo", F.col("x").alias(c), F.col("target").alias(f"t{c}"), F.col("d").alias(f"n{c}"))  # noqa: E731, B023
-        joined = between.join(of("x"), ["repo", "x"], "left").join(of("y"), ["repo", "y"], "left").select(
-            "repo", F.coalesce("tx", "x").alias("x"), F.coalesce("ty", "y").alias("y"), "w", F.coalesce("nx", "dx").alias("dx"), F.coalesce("ny", "dy").alias("dy"), "m"
+        to = lambda c: moves.select(F.col("x").alias(c), F.col("target").alias(f"t{c}"), F.col("d").alias(f"n{c}"))  # noqa: E731, B023
+        joined = between.join(to("low"), ["low"], "left").join(to("high"), ["high"], "left").select(
+            F.struct(F.coalesce("tlow", "low").alias("c"), F.coalesce("nlow", "dlow").alias("d")).alias("p"),
+            F.struct(F.coalesce("thigh", "high").alias("c"), F.coalesce("nhigh", "dhigh").alias("d")).alias("q"), "w", "m",
+        )
+        ordered = joined.where("p.c <> q.c").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "w", "m")
+        contracted = ordered.groupBy(F.col("p.c").alias("low"), F.col("q.c").alias("high")).agg(
+            F.sum("w").alias("w"), F.max("p.d").alias("dlow"), F.max("q.d").alias("dhigh"), F.max("m").alias("m")
         )
-        contracted = joined.where("x <> y").groupBy("repo", "x", "y").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("dx", "dy", "m")])
         contracted = stage(contracted.select(*BETWEEN), "between")
         unstage(between)
         between = contracted
-    part = nodes.select("repo", "node", F.col("node").alias("community"))
+    part = numbers.select("repo", "node", F.col("id").alias("community"))
     for moves in levels:
-        step = moves.select("repo", F.col("x").alias("community"), "target")
-        part = part.join(step, ["repo", "community"], "left").select("repo", "node", F.coalesce("target", "community").alias("community"))
-    return part
+        step = moves.where("x <> target").select(F.col("x").alias("community"), "target")
+        part = part.join(step, ["community"], "left").select("repo", "node", F.coalesce("target", "community").alias("community"))
+    named = part.join(numbers.select(F.col("id").alias("community"), F.col("node").alias("name")), ["community"]).select("repo", "node", "name")
+    return nodes.select("repo", "node").join(named, ["repo", "node"], "left").select("repo", "node", F.coalesce("name", "node").alias("community"))
 
 
-BETWEEN = ["repo", "x", "y", "w", "dx", "dy", "m"]
+BETWEEN = ["low", "high", "w", "dlow", "dhigh", "m"]
 
 
 def _one_blocker(edges: DataFrame, nodes: DataFrame) -> DataFrame:
