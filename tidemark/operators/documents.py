@@ -84,7 +84,8 @@ def staleness(
     ``provenance(repo, doc, source_newer)`` overrides the ratio of documents
     generated from sources that have not changed since.
     """
-    counted = code.select("repo", "path").join(churn.select("repo", "path", "commits"), ["repo", "path"], "left")
+    churn = stage(churn.select("repo", "path", "commits"), "churn")
+    counted = code.select("repo", "path").join(churn, ["repo", "path"], "left")
     counted = stage(counted.withColumn("commits", F.coalesce("commits", F.lit(0))), "code")
     docs = stage(docs.select("repo", "path"), "docs")
 
@@ -106,10 +107,10 @@ def staleness(
         .groupBy("repo", "dir")
         .agg(F.sum("n").alias("n"), F.sum("churn").alias("churn"))
     )
-    parallel = skewed_join(parallel_docs(docs, code), per_dir, ["repo", "dir"])
+    parallel = skewed_join(parallel_docs(docs, counted), per_dir, ["repo", "dir"])
     links = doc_code_edges.select("repo", "doc", F.col("code").alias("path")).distinct()
     explicit = (
-        skewed_join(links, churn.select("repo", "path", "commits"), ["repo", "path"], "left")
+        skewed_join(links, churn, ["repo", "path"], "left")
         .withColumn("commits", F.coalesce("commits", F.lit(0)))
         .groupBy("repo", "doc")
         .agg(*totals)
