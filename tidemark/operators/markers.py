@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import identity, paths, scores, text
 from tidemark.operators import churn
-from tidemark.scale import running_sum, salted_lookup, top_k
+from tidemark.scale import has_hot, running_sum, salted_lookup, top_k
 from tidemark.staging import stage
 
 PROSE_FREE = ["suppression", "disabled_test"]
@@ -31,10 +33,12 @@ def scan(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     prose = paths.extension(F.col("path")).isin(fv.PROSE_EXTENSIONS)
     hits = []
     for family, pattern in fv.MARKER_FAMILIES.items():
-        hit = F.col("text").rlike(text.UNICODE + pattern)
+        literal = reduce(or_, [F.contains(F.col("text"), F.lit(x)) for x in fv.MARKER_LITERALS[family]])
+        hit = literal & F.col("text").rlike(text.UNICODE + pattern)
         hit = hit & (~prose if family in PROSE_FREE else text.in_comment(F.col("text"), text.UNICODE + pattern, prose))
-        hits.append(F.when(hit, F.lit(family)))
-    found = lines.where(is_scanned(F.col("path"))).select(
+        # a path is looked at only where its line has a hit
+        hits.append(F.when(hit & is_scanned(F.col("path")), F.lit(family)))
+    found = lines.select(
         "repo", "path", "line_no", "text", *keep, F.explode(F.array_compact(F.array(*hits))).alias("family")
     )
     return found.select(
@@ -47,20 +51,25 @@ def survived_touches(intros: DataFrame, commit_times: DataFrame) -> DataFrame:
     """Commits to the file strictly after each introduction (2.3.14).
 
     ``intros(repo, path, intro_ts)``, ``commit_times(repo, path, ts)``. Both are
-    laid on one time line per file and counted with a running sum, day by day,
-    so markers are never paired with commits.
+    laid on one time line per file and counted with a running sum, day by day
+    where a file is hot, so markers are never paired with commits.
     """
     counts = commit_times.groupBy("repo", "path", "ts").agg(F.count(F.lit(1)).alias("n"))
     line = counts.select("repo", "path", "ts", F.lit(0).alias("kind"), "n").unionByName(
         intros.select("repo", "path", F.col("intro_ts").alias("ts"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n")).distinct()
     )
     line = stage(line.withColumn("_day", F.floor(F.col("ts") / 86400)), "timeline")
-    summed = running_sum(line, ["repo", "path"], "_day", ["ts", "kind"], "n", "upto")
-    totals = commit_times.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("all_commits"))
-    marks = summed.where(F.col("kind") == 1).select("repo", "path", F.col("ts").alias("intro_ts"), "upto")
-    return marks.join(totals, ["repo", "path"], "left").select(
-        "repo", "path", "intro_ts", (F.coalesce("all_commits", F.lit(0)) - F.col("upto")).alias("survived")
-    )
+    if has_hot(line, ["repo", "path"]):
+        summed = running_sum(line, ["repo", "path"], "_day", ["ts", "kind"], "n", "upto")
+        totals = line.groupBy("repo", "path").agg(F.sum("n").alias("all_commits"))
+        marks = summed.where(F.col("kind") == 1).join(totals, ["repo", "path"])
+    else:
+        whole = Window.partitionBy("repo", "path")
+        upto = whole.orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        known = line.where(F.col("repo").isNotNull() & F.col("path").isNotNull())
+        summed = known.withColumns({"upto": F.sum("n").over(upto), "all_commits": F.sum("n").over(whole)})
+        marks = summed.where((F.col("kind") == 1) & F.col("ts").isNotNull())
+    return marks.select("repo", "path", F.col("ts").alias("intro_ts"), (F.col("all_commits") - F.col("upto")).alias("survived"))
 
 
 def marker_author(markers: DataFrame, authored: DataFrame) -> DataFrame:
@@ -70,6 +79,13 @@ def marker_author(markers: DataFrame, authored: DataFrame) -> DataFrame:
     return markers.join(commits.select("repo", "sha", agent.alias("agent_introduced")), ["repo", "sha"], "left")
 
 
+def times_counted(commit_times: DataFrame) -> DataFrame:
+    """Commits to a file by their time; rows that are counted already stay as they are."""
+    if "n" in commit_times.columns:
+        return commit_times.select("repo", "path", "ts", "n")
+    return commit_times.groupBy("repo", "path", "ts").agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_survived(marks: DataFrame, commit_times: DataFrame) -> DataFrame:
     """``marks(repo, path, intro_ts, ...)`` with ``survived``: commits to the file after each introduction.
 
@@ -79,11 +95,16 @@ def with_survived(marks: DataFrame, commit_times: DataFrame) -> DataFrame:
     """
     own = [c for c in marks.columns if c not in ("repo", "path")]
     zero = F.lit(0).cast("long")
-    counts = commit_times.groupBy("repo", "path", "ts").agg(F.count(F.lit(1)).alias("n"))
+    counts = times_counted(commit_times)
     at_marks = marks.select("repo", "path", F.coalesce("intro_ts", zero).alias("ts"), zero.alias("n"), F.struct(*own).alias("mark"))
     line = at_marks.unionByName(counts, allowMissingColumns=True)
     line = stage(line.withColumns({"_back": -F.col("ts"), "_day": -F.floor(F.col("ts") / 86400), "_later": F.col("mark").isNull()}), "timeline")
-    summed = running_sum(line, ["repo", "path"], "_day", ["_back", "_later"], "n", "upto").where(F.col("mark").isNotNull())
+    if has_hot(line, ["repo", "path"]):
+        summed = running_sum(line, ["repo", "path"], "_day", ["_back", "_later"], "n", "upto")
+    else:
+        upto = Window.partitionBy("repo", "path").orderBy("_back", "_later").rowsBetween(Window.unboundedPreceding, 0)
+        summed = line.dropna(subset=["repo", "path"]).withColumn("upto", F.sum("n").over(upto))
+    summed = summed.where(F.col("mark").isNotNull())
     return summed.select("repo", "path", "mark.*", F.when(F.col("mark.intro_ts").isNotNull(), F.col("upto")).alias("survived"))
 
 
@@ -93,8 +114,10 @@ def age(markers: DataFrame, commit_times: DataFrame, people: DataFrame) -> DataF
     ``markers`` as ``scan`` gives them, with ``sha`` and ``intro_ts`` of the line kept;
     ``commit_times(repo, path, ts)``; ``people(repo, sha, an, ae, coauthor_text)``.
     """
-    survived = with_survived(markers, commit_times)
-    deciles = churn.commit_count_decile(churn.churn_per_file(commit_times)).select("repo", "path", "decile")
+    counts = stage(times_counted(commit_times), "touches")
+    survived = with_survived(markers, counts)
+    commits = stage(counts.groupBy("repo", "path").agg(F.sum("n").alias("commits")), "churn")
+    deciles = churn.commit_count_decile(commits).select("repo", "path", "decile")
     aged = marker_author(survived, people).join(deciles, ["repo", "path"], "left").withColumn("decile", F.coalesce("decile", F.lit(0.0)))
     return aged.withColumn(
         "severity", scores.marker_severity(F.col("family"), F.col("survived"), F.col("decile"))
