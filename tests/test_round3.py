@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.operators import documents, graph, markers
+from tidemark.plans import tables
 
 
 def counted(spark, df, column):
@@ -93,3 +94,23 @@ def test_every_marker_holds_a_literal(spark, rows):
     assert all(any(lit in x for lit in fv.MARKER_LITERALS[f]) for x, fs in families.items() for f in fs)
     lines = spark.createDataFrame([("r", "a.md" if x.startswith("# ") and "noqa" not in x else "a.py", i, x) for i, x in enumerate(texts)] + [("r", "vendor/a.py", 99, "# TODO")], "repo string, path string, line_no long, text string")
     assert "# TODO" in {t for (t,) in rows(markers.scan(lines), "text")} and 99 not in {n for (n,) in rows(markers.scan(lines), "line_no")}
+
+
+def test_tracked_files_are_written_once(spark, rows, tmp_path):
+    given = {
+        "nation": ([(1, 0), (2, 1)], "n_nationkey int, n_regionkey int"),
+        "supplier": ([(1, 1), (2, 2), (None, 1), (3, None)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(3, 0), (4, 1), (4, 1), (None, 2)], "o_orderkey long, days int"),
+        "lineitem": ([(3, 1), (3, 1), (3, 2), (4, 2), (None, 1), (4, None), (9, 1), (4, 3)], "l_orderkey long, l_suppkey long"),
+    }
+    for name, (of, schema) in given.items():
+        table = spark.createDataFrame(of, schema)
+        if name == "orders":
+            table = table.select("o_orderkey", F.timestamp_seconds(F.col("days") * 86400).alias("o_orderdate"))
+        if name == "lineitem":
+            table = table.withColumn("l_shipdate", F.timestamp_seconds(F.lit(0)))
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    t = tables.Tables(spark, str(tmp_path))
+    assert rows(t.tracked, "repo", "path") == [("repo0", "r0/n1/s1.py"), ("repo0", "r1/n2/s2.py"), ("repo4", "r1/n2/s2.py")]
+    read = [f for df in (t.tracked, t.file_triple_edges) for f in df.inputFiles()]
+    assert read and not any("lineitem" in f or "orders" in f for f in read)
