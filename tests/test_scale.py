@@ -1,10 +1,13 @@
+import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import scale
+from tidemark.operators import coupling
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,19 @@ def test_top_k_is_planned_as_a_group_limit(skewed):
     assert top.groupBy("k").count().agg(F.max("count")).first()[0] == 3
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_pairs_are_counted_in_parts_of_a_size(spark, monkeypatch, hot):
+    """Twice the commits are twice the parts, not twice the pairs of a part, however few partitions a shuffle has."""
+    monkeypatch.setattr(coupling, "PAIRS_A_PART", 40 if hot else 60)
+    for commits in (100, 200):
+        held = {("r", s, f"d{s % 9}/f{(s * k) % 37}") for s in range(commits) for k in (1, 2, 3)} | {("r", s, p) for s in range(commits // 2 if hot else 9) for p in ("a", "b")}
+        held |= {(None, None, "a"), (None, None, "b"), ("r", 1, None)}
+        want = Counter((r, *p) for r, s in {x[:2] for x in held} for p in itertools.combinations(sorted(f for q, t, f in held if (q, t) == (r, s) and f), 2))
+        assert any(n > commits // 3 for n in want.values()) == hot
+        sets = coupling.change_sets(spark.createDataFrame([*held, *held], "repo string, sha long, path string").distinct()).localCheckpoint()
+        counts = coupling.pair_counts(sets)
+        assert {tuple(r)[:3]: r.co_change_count for r in counts.collect()} == want
+        parts = -(-sum(want.values()) // coupling.PAIRS_A_PART)
+        assert counts.rdd.getNumPartitions() == parts > 4
